@@ -10,8 +10,18 @@ but the last return the columns they were given; the last tells each document's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm import common, decontamination, mixing, sharding
+from quillspark.llm import common, decontamination, mixing, ngram_join, sharding, toxicity
+
+
+def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, common.table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.drop_toxic(docs, model)
+
+
+def stage_ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +37,8 @@ def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("toxicity", stage_toxicity),
+    ("n-gram Jaccard join", stage_ngram_join),
     ("benchmark decontamination", stage_decontamination),
     ("mixing sources", stage_mixing),
     ("sharding", stage_sharding),
