@@ -9,58 +9,70 @@ ids reaches its bucket only once from each block of about ``FLUSH`` entries.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import cut
+from quillspark.llm.common import written
 
 FLUSH = 400_000
 BUCKET_BYTES = 8 << 20
 
-ENTRY = np.dtype([("t", "<u8"), ("s", "<i8"), ("n", "<i4"), ("f", "u1")])
+#: A token's upper 40 bits (its bucket comes from the lower ones), whether its task met it
+#: in several ids, the id, and what is carried along.
+ENTRY = [("t", "<u4"), ("u", "u1"), ("f", "u1"), ("s", "<i8")]
+CARRY = ("n", "<i4")
 
 
-def _blocks(t: np.ndarray, s: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def _blocks(t: np.ndarray, s: np.ndarray, n: np.ndarray | None, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(kind, bucket, packed entries): kind 1 is to be matched, kind 0 known to be shared."""
     order = np.lexsort((s, t))
-    t, s, n = t[order], s[order], n[order]
+    t, s = t[order], s[order]
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-    t, s, n = t[new], s[new], n[new]
+    t, s = t[new], s[new]
     first = np.ones(len(t), bool)
     first[1:] = t[1:] != t[:-1]
     follows = np.append(~first[1:], False)  # the next entry is of the same token
-    e = np.zeros(len(t), ENTRY)
-    e["t"], e["s"], e["n"], e["f"] = t, s, n, first & follows
-    for kind, part in ((1, e[first]), (0, e[~first])):
-        by = part["t"] if kind else part["s"].view("<u8") * np.uint64(0x9E3779B97F4A7C15)
-        bucket = (by >> np.uint64(32)) % np.uint64(buckets)
+    home = (t & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    e = np.zeros(len(t), ENTRY + [CARRY] * (n is not None))
+    e["t"], e["u"], e["f"], e["s"] = t >> np.uint64(32), (t >> np.uint64(24)) & np.uint64(0xFF), first & follows, s
+    if n is not None:
+        e["n"] = n[order][new]
+    for kind, part, bucket in ((1, e[first], home[first]), (0, e[~first], home[~first])):
+        if not len(part):
+            continue
         order = np.argsort(bucket, kind="stable")
         ids, at = np.unique(bucket[order], return_index=True)
         for b, rows in zip(ids.tolist(), np.split(order, at[1:]), strict=True):
             yield kind, b, part[rows].tobytes()
 
 
-def shared(docs: DataFrame, entries: Callable, total: int) -> DataFrame:
-    """Distinct (key, sid, n) of all tokens held by two ids or more.
+def shared(docs: DataFrame, entries: Callable, total: int, carry: bool = False) -> DataFrame:
+    """Distinct (key, sid) of all tokens held by two ids or more, and n with ``carry``.
 
-    ``entries`` maps a record batch of ``docs`` to arrays (token, sid, n); ``total`` is about
-    how many entries there will be, and sets the number of buckets."""
+    ``entries`` maps a record batch of ``docs`` to arrays (token, sid, n), n None without
+    ``carry``; ``total`` is about how many entries there will be, and sets the number of
+    buckets. Two tokens rarely count as one, as 40 bits and the bucket tell them apart."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least * 2, -(-total * ENTRY.itemsize // BUCKET_BYTES))
+    kind_ = np.dtype(ENTRY + [CARRY] * carry)
+    buckets = min(max(least * 2, -(-total * kind_.itemsize // BUCKET_BYTES)), 1 << 23)
 
     def emit(batches):
         held, size = [], 0
 
         def flush():
-            kinds, ids, blobs = [], [], []
-            for kind, b, blob in _blocks(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets):
+            kinds, ids, blobs, salts = [], [], [], []
+            t, s, n = zip(*held, strict=True)
+            for kind, b, blob in _blocks(np.concatenate(t), np.concatenate(s), np.concatenate(n) if carry else None, buckets):
                 kinds.append(kind)
                 ids.append(b)
                 blobs.append(blob)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
+                # what is known to be shared needn't meet others of its token
+                salts.append(0 if kind else 1 + crc32(blob) % 64)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(salts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "salt", "kind", "blob"])
 
         for batch in batches:
             for t, s, n in entries(batch):
@@ -73,20 +85,17 @@ def shared(docs: DataFrame, entries: Callable, total: int) -> DataFrame:
             yield flush()
 
     def match(group: pa.Table) -> pa.Table:
-        out = []
-        for kind in (0, 1):
-            e = np.frombuffer(b"".join(x.as_py() for k, x in zip(group["kind"], group["blob"], strict=True) if k.as_py() == kind), ENTRY)
-            if kind and len(e):
-                e = e[np.lexsort((e["s"], e["t"]))]
-                same = np.zeros(len(e) + 1, bool)
-                same[1:-1] = e["t"][1:] == e["t"][:-1]
-                many = same[1:] | same[:-1] | (e["f"] > 0)
-                e = e[many]
-            out.append(e)
-        e = np.concatenate(out)
-        return pa.table({"key": e["t"].view("<i8") if len(e) else np.zeros(0, np.int64), "sid": e["s"], "n": e["n"]})
-
-    packed = docs.mapInArrow(emit, "bucket int, kind int, blob binary")
-    found = packed.groupBy("bucket").applyInArrow(match, "key long, sid long, n int")
-    # an id may come from several blocks
-    return cut(found.distinct())
+        e = np.frombuffer(b"".join(x.as_py() for x in group["blob"]), kind_)
+        key = (e["t"].astype(np.int64) << 8) | e["u"] | (np.int64(group["bucket"][0].as_py()) << 40)
+        if group["kind"][0].as_py():
+            order = np.lexsort((e["s"], key))
+            e, key = e[order], key[order]
+            same = np.zeros(len(e) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            many = same[1:] | same[:-1] | (e["f"] > 0)
+            e, key = e[many], key[many]
+        return pa.table({"key": key, "sid": e["s"].astype(np.int64)} | ({"n": e["n"].astype(np.int32)} if carry else {}))
+
+    packed = docs.mapInArrow(emit, "bucket int, salt int, kind int, blob binary")
+    found = packed.groupBy("bucket", "salt").applyInArrow(match, "key long, sid long" + ", n int" * carry)
+    return written(found.distinct())  # an id may come from several blocks

@@ -82,7 +82,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
     with_b = pairs.select("a", "b").join(sets.select(F.col("sid").alias("b"), F.col("toks").alias("tb")), "b")
     both = with_b.join(sets.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), "a")
-    return both.select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long")
+    return both.select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Substring dedup: passages that repeat across documents or within one.
+"""Substring dedup: passages that repeat across documents.
 
 A document is cut into paragraphs in two ways. Its lines of ``MIN_WORDS`` words or more
 are natural paragraphs: they are banded by MinHash over 5-word shingles, colliding ones are
@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
-from quillspark.llm.common import cut, table
+from quillspark.llm.common import cut, table, written
 from quillspark.llm.linking import link
-from quillspark.llm.ngram_join import fingerprint
 from quillspark.llm.textkit import NOT_SPACE, chunks, mix64, windows, words
 
 SHINGLE = 5
@@ -36,36 +35,54 @@ NUM, DEN = 80, 100
 MIN_WORDS = 24
 SPAN = 32
 WINNOW = 18
-RECALL = 0.98
-MAX_BANDS = 8
-
-
-def tune_bands(similarity: float, recall: float = RECALL, most: int = MAX_BANDS) -> tuple[int, int]:
-    """(bands, rows): the most rows for which up to ``most`` bands reach the recall."""
-    found = (most, 1)
-    for rows in range(1, 9):
-        for bands in range(1, most + 1):
-            if 1 - (1 - similarity**rows) ** bands >= recall:
-                found = (bands, rows)
-                break
-    return found
-
-
-def _minhash(g: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    return mix64(g[None, :] ^ seeds[:, None]).min(axis=1)
-
-
-def _lines(chunk):
-    """Words with hashes, and (document, first word, end word) of the lines with enough words."""
-    w = words(chunk, NOT_SPACE, lower=True)
-    breaks = np.cumsum(chunk.buf == 0x0A)
-    mark = breaks[w.start] if len(w.start) else np.zeros(0, np.int64)
-    new = np.ones(len(w.start), bool)
-    new[1:] = (mark[1:] != mark[:-1]) | (w.doc[1:] != w.doc[:-1])
-    first = np.flatnonzero(new)
-    end = np.append(first[1:], len(w.start))
-    long = end - first >= MIN_WORDS
-    return w, w.hashes(), first[long], end[long]
+RECALL = 0.99
+ROWS = 2
+
+
+def tune_bands(similarity: float, recall: float = RECALL, rows: int = ROWS) -> int:
+    """The fewest bands of ``rows`` minima each that reach the recall at the similarity."""
+    bands = 1
+    while 1 - (1 - similarity**rows) ** bands < recall:
+        bands += 1
+    return bands
+
+
+class _Lines:
+    """The lines of a chunk: words, their hashes, and each line's first and end word."""
+
+    def __init__(self, chunk):
+        self.w = w = words(chunk, NOT_SPACE, lower=True)
+        self.h = w.hashes()
+        mark = np.cumsum(chunk.buf == 0x0A)[w.start] if len(w.start) else np.zeros(0, np.int64)
+        new = np.ones(len(w.start), bool)
+        new[1:] = (mark[1:] != mark[:-1]) | (w.doc[1:] != w.doc[:-1])
+        self.first = np.flatnonzero(new)
+        self.end = np.append(self.first[1:], len(w.start)).astype(np.int64)[: len(self.first)]
+        self.long = self.end - self.first >= MIN_WORDS
+        self.g, _ = windows(self.h, w.doc, SHINGLE)
+
+    def ids(self) -> np.ndarray:
+        """A hash of each line's words in order."""
+        if not len(self.first):
+            return np.zeros(0, np.int64)
+        size = self.end - self.first
+        powers = np.multiply.accumulate(np.full(int(size.max()), np.uint64(0x9FB21C651E98DF25)))
+        at = np.arange(len(self.h)) - np.repeat(self.first, size)
+        return mix64(np.add.reduceat(self.h * powers[at], self.first) + size.astype(np.uint64)).view(np.int64)
+
+    def minima(self, seeds: np.ndarray) -> np.ndarray:
+        """For each seed the least hash of each line's shingles."""
+        ok = np.arange(len(self.h)) + SHINGLE <= np.repeat(self.end, self.end - self.first)
+        out = np.empty((len(seeds), len(self.first)), np.uint64)
+        v = np.full(len(self.h), np.iinfo(np.uint64).max)
+        at = np.flatnonzero(ok)
+        for i, seed in enumerate(seeds):
+            v[at] = mix64(self.g[at] ^ seed)
+            out[i] = np.minimum.reduceat(v, self.first)
+        return out
+
+    def shingles(self, i: int) -> np.ndarray:
+        return np.unique(self.g[self.first[i] : self.end[i] - SHINGLE + 1])
 
 
 def _spans(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,52 +100,38 @@ def _spans(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """sid, n, doc_id, first and end word of every natural paragraph (a document's words
-    are counted from 0)."""
+    """sid, doc_id, first and end word of every natural paragraph (a document's words are
+    counted from 0). Paragraphs of equal words have the same sid."""
 
     def run(batches):
         for batch in batches:
             for chunk in chunks(batch.column(1)):
-                w, h, first, end = _lines(chunk)
-                g, _ = windows(h, w.doc, SHINGLE)
-                s = [np.unique(g[a : b - SHINGLE + 1]) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
-                doc = w.doc[first]
-                at = w.wo[:-1][doc]
+                x = _Lines(chunk)
+                first, end = x.first[x.long], x.end[x.long]
+                doc = x.w.doc[first]
+                at = x.w.wo[:-1][doc]
                 ids = batch.column(0).slice(chunk.first, len(chunk)).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in s], pa.int64()), pa.array([len(x) for x in s], pa.int32()), ids, pa.array(first - at), pa.array(end - at)], ["sid", "n", "doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids()[x.long]), ids, pa.array(first - at), pa.array(end - at)], ["sid", "doc_id", "a", "b"])
 
-    return docs.mapInArrow(run, "sid long, n int, doc_id long, a long, b long")
+    return docs.mapInArrow(run, "sid long, doc_id long, a long, b long")
 
 
 def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """class, doc_id, a, b of natural paragraphs that have a similar or equal one."""
-    bands, rows = tune_bands(num / den)
-    seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64))
+    bands = tune_bands(num / den)
+    seeds = mix64(np.arange(1, bands * ROWS + 1, dtype=np.uint64))
 
     def entries(batch):
-        t, s, n = [], [], []
         for chunk in chunks(batch.column(1)):
-            w, h, first, end = _lines(chunk)
-            g, _ = windows(h, w.doc, SHINGLE)
-            seen = set()
-            for a, b in zip(first.tolist(), end.tolist(), strict=True):
-                x = np.unique(g[a : b - SHINGLE + 1])
-                sid = fingerprint(x)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                m = _minhash(x, seeds).reshape(bands, rows)
-                k = mix64(np.bitwise_xor.reduce(mix64(m + np.arange(rows, dtype=np.uint64)), axis=1) + np.arange(bands, dtype=np.uint64))
-                t.append(k)
-                s.append(np.full(bands, sid, np.int64))
-                n.append(np.full(bands, len(x), np.int32))
-        if t:
-            yield np.concatenate(t), np.concatenate(s), np.concatenate(n)
-
-    all_lines = cut(paragraphs(docs))
-    distinct = all_lines.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    total = all_lines.count() * bands
-    group = shared(docs, entries, total)
+            x = _Lines(chunk)
+            if x.long.any():
+                m, sid = x.minima(seeds)[:, x.long], x.ids()[x.long]
+                t = [mix64(np.bitwise_xor.reduce(mix64(m[b * ROWS : (b + 1) * ROWS] + np.arange(ROWS, dtype=np.uint64)[:, None]), axis=0) + np.uint64(b)) for b in range(bands)]
+                yield np.concatenate(t), np.tile(sid, bands), None
+
+    lines = written(paragraphs(docs))
+    distinct = cut(lines.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    group = shared(docs, entries, lines.count() * bands)
     # the sets of the ids in candidate groups, from one document of each
     wanted = group.select("sid").distinct().join(distinct, "sid").groupBy("doc_id").agg(F.collect_set("sid").alias("want"))
 
@@ -136,21 +139,20 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
         for batch in batches:
             sids, toks = [], []
             for chunk in chunks(batch.column(1)):
-                w, h, first, end = _lines(chunk)
-                g, _ = windows(h, w.doc, SHINGLE)
-                want = [set(x.as_py()) for x in batch.column(2).slice(chunk.first, len(chunk))]
-                for a, b in zip(first.tolist(), end.tolist(), strict=True):
-                    x = np.unique(g[a : b - SHINGLE + 1])
-                    sid = fingerprint(x)
-                    if sid in want[w.doc[a]]:
-                        sids.append(sid)
-                        toks.append(x.astype(">u8").tobytes())
+                x = _Lines(chunk)
+                ids = x.ids()
+                want = [set(v.as_py()) for v in batch.column(2).slice(chunk.first, len(chunk))]
+                for i in np.flatnonzero(x.long).tolist():
+                    if int(ids[i]) in want[x.w.doc[x.first[i]]]:
+                        sids.append(int(ids[i]))
+                        toks.append(x.shingles(i).astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(toks, pa.binary())], ["sid", "toks"])
 
-    sets = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"]))
+    sets = written(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"]))
+    group = group.join(sets.select("sid", (F.octet_length("toks") / 8).cast("int").alias("n")), "sid")
     linked = link(group, sets, num, den)
     again = distinct.join(linked, "sid", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("sid", F.coalesce("root", "sid").alias("class"))
-    return all_lines.join(again, "sid").select("class", "doc_id", "a", "b")
+    return lines.join(again, "sid").select("class", "doc_id", "a", "b")
 
 
 def repeated_spans(docs: DataFrame, words_total: int) -> DataFrame:
@@ -165,7 +167,7 @@ def repeated_spans(docs: DataFrame, words_total: int) -> DataFrame:
             # (token, document); the position goes along as the size
             yield hs, ids[doc], (at - w.wo[:-1][doc]).astype(np.int32)
 
-    got = shared(docs, entries, words_total * 2 // (WINNOW + 1))
+    got = shared(docs, entries, words_total * 2 // (WINNOW + 1), carry=True)
     return got.select(F.col("key").alias("class"), F.col("sid").alias("doc_id"), F.col("n").cast("long").alias("a"), (F.col("n") + SPAN).cast("long").alias("b"))
 
 
