@@ -8,8 +8,11 @@ Leaders first: in each round every open group names a few leaders by hash, every
 compared with those not yet in its own component, and verified links merge components. A
 group is closed once all its members are in one component, as no pair within it can then
 change the result. Groups of near copies close after a round or two, with work in
-proportion to their size. What is still open at the end is compared pair by pair, so no
-link is lost. Groups with the same members count as one.
+proportion to their size. What is still open then is compared whole, so no link is lost:
+groups of up to ``SMALL`` pair by pair; larger ones in blocks of about ``BLOCK`` ids, where
+a task has two blocks, counts the overlaps of all their pairs at once and gives out only
+the links that merge components. So no join makes all pairs of a large group, and no
+task holds more than two blocks of it. Groups with the same members count as one.
 
 Pairs are verified with a prefix tree: the sets to compare with one leader, in a global
 order of hashes, form a trie (sorted sequences and their common prefix lengths). It is
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut
 
-LEADERS = (1, 6, 36)
+LEADERS = (1, 6)
+SMALL = 48
+BLOCK = 256
 
 
 def _set(x) -> np.ndarray:
@@ -85,6 +90,59 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets: products of their incidence matrix, made over
+    a few thousand hashes at a time, of those only that two sets hold."""
+    size = [len(x) for x in sets]
+    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    number = np.cumsum(count > 1) - 1
+    held = count[col] > 1
+    row, col = row[held], number[col[held]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float64), 4096
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, [first, first + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[a:b], col[a:b] - first] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def block_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of links that connect the components of large groups; members: key, sid, c."""
+    n_blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(n_blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.join(sets, "sid").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "c", "toks")
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(group["sid"].to_numpy(), kind="stable")
+        sid, comp, block = (group[k].to_numpy()[order] for k in ("sid", "c", "block"))
+        toks = [_set(group["toks"][int(i)].as_buffer()).astype(np.uint64) for i in order]
+        n, o = np.array([len(t) for t in toks]), overlaps(toks)
+        ok = den * o >= num * (n[:, None] + n[None, :] - o)
+        ok &= comp[:, None] != comp[None, :]
+        if group["lo"][0].as_py() != group["hi"][0].as_py():
+            ok &= block[:, None] != block[None, :]
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(sid[i]), int(sid[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node reachable.
 
@@ -140,14 +198,19 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, leaders=LEADER
             both = group.join(lead.select("key", "l"), "key").select("sid", "n", "c", F.col("l.sid").alias("sid2"), F.col("l.n").alias("n2"), F.col("l.c").alias("c2"))
             both = both.where(F.col("sid") != F.col("sid2"))
         else:
-            other = group.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            both = group.join(other, "key").where(F.col("sid") < F.col("sid2"))
+            size = group.groupBy("key").agg((F.count("*") <= SMALL).alias("small"))
+            small = group.join(size.where("small"), "key", "left_semi")
+            other = small.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+            both = small.join(other, "key").where(F.col("sid") < F.col("sid2"))
         pairs = both.where((F.col("c") != F.col("c2")) & _close(F.col("n"), F.col("n2"), num, den)).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         done = pairs if done is None else done.union(pairs)
-        found = cut(verified(pairs, sets, num, den))
+        found = verified(pairs, sets, num, den)
+        if not k:
+            found = found.union(block_links(group.join(size.where("not small"), "key", "left_semi"), sets, num, den))
+        found = cut(found)
         links = found if links is None else links.union(found)
         root = components(links)
     if links is None:
