@@ -130,8 +130,9 @@ def span_tokens(query: Column | str) -> Column:
 def excerpt(description: Column | str, limit: int = 160) -> Column:
     """First sentence with white space collapsed, cut to ``limit``; ``-`` if empty."""
     flat = F.trim(F.regexp_replace(_text(description), r"\s+", " "))
-    cut = F.substring(F.substring_index(flat, ". ", 1), 1, limit)
-    return F.when(cut == "", "-").otherwise(cut)
+    first = F.substring_index(flat, ". ", 1)
+    cut = F.substring(F.when((first == flat) | first.endswith("."), first).otherwise(F.concat(first, F.lit("."))), 1, limit)
+    return F.when(flat == "", "-").otherwise(cut)
 
 
 def word_stream(text: Column | str) -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # They must equal the evaluation's definition for equal results.
 WRITE_METHODS = ("POST", "PUT", "PATCH", "DELETE")
-ID_PATTERN = r"^(s|rn|rp|h|n)-[0-9]{3}$"
-ORIGIN_PATTERN = r"^(seed|held_out(-r[0-9]+)?|negative(-r[0-9]+)?|promoted-r[0-9]+|.*-r0)$"
+ID_PATTERN = r"^(s|rn|h|n)-[0-9]{3}$"
+ORIGIN_PATTERN = r"^(seed|held_out|negative|promoted)-r[0-9]+$"
 NEGATIVE_SECTIONS = ("negative", "regression_negative")
 ACCEPT_COMPONENTS = ("wv", "fr", "ir", "sr3", "src", "srk", "rp3", "rpk", "nab")
 BONUS_KEYS = ("path_coverage_bonus", "method_order_bonus")
@@ -68,7 +68,7 @@ def usage(records: DataFrame, ranked: DataFrame) -> DataFrame:
         F.coalesce(F.array_contains("expected", F.get("keys", F.lit(0))), no).alias("top1_correct"),
         F.arrays_overlap("expected", F.slice("keys", 1, 3)).alias("top3"),
         "recommended", rec.isNull().alias("abstained"), right.alias("rec_correct"),
-        F.coalesce(rec.isNotNull() & ~right & F.split(rec, ":")[1].isin(*WRITE_METHODS), no).alias("wrong_write"),
+        F.coalesce(rec.isNotNull() & ~right & F.get(F.split(rec, ":"), F.lit(1)).isin(*WRITE_METHODS), no).alias("wrong_write"),
         F.coalesce(F.array_contains("forbidden", rec), no).alias("forbidden_recommended"), "eligible",
     )
 
@@ -147,7 +147,7 @@ def select_point(vectors: DataFrame, axes: dict[str, list[float]], baseline: dic
     fewer grid steps from the baseline, a smaller sum of magnitudes, and the smaller tuple."""
     step = lambda k: F.array_position(F.array(*[F.lit(float(v)) for v in axes[k]]), F.col(k).cast("double"))
     distance = sum((F.abs(step(k) - (axes[k].index(baseline[k]) + 1)) for k in axes), F.lit(0))
-    magnitude = sum((F.col(k).cast("double") for k in axes), F.lit(0.0))
+    magnitude = sum((F.col(k).cast("double") for k in axes if k != "path_unmatched_cap"), F.lit(0.0))
     bonuses = [F.col(k).cast("double") for k in BONUS_KEYS if k in axes]
     pool = F.when(accepted(), 0).otherwise(1)
     fallback = F.when(accepted(), F.lit(None)).otherwise(fallback_key())

@@ -15,8 +15,8 @@ ASCII_QUERY = r"^[A-Za-z0-9 '\-]+$"
 
 
 def _bigrams(tokens: Column) -> Column:
-    n = F.size(tokens)
-    return F.when(n > 1, F.transform(F.arrays_zip(F.slice(tokens, 1, F.greatest(n - 1, F.lit(1))).alias("a"), F.slice(tokens, 2, F.greatest(n - 1, F.lit(1))).alias("b")), lambda p: F.concat_ws(" ", p["a"], p["b"]))).otherwise(F.array().cast("array<string>"))
+    firsts = F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.transform(firsts, lambda t, i: F.concat_ws(" ", t, F.get(tokens, i + 1)))
 
 
 def _content(text) -> Column:

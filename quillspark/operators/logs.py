@@ -63,7 +63,7 @@ def attribute_in_order(log: DataFrame) -> DataFrame:
 def agreement(attributed: DataFrame, log: DataFrame) -> DataFrame:
     """Share of selections equal to the recommendation, and how many write recommendations."""
     a = attributed.agg(F.count("*").alias("selections"), F.count_if("recommended_matches").alias("agreeing"))
-    b = log.where(F.coalesce("kind", F.lit("search")) == "search").agg(F.count_if(F.split("recommended", ":")[1].isin(*WRITE_METHODS)).alias("write_recommendations"))
+    b = log.where(F.coalesce("kind", F.lit("search")) == "search").agg(F.count_if(F.get(F.split("recommended", ":"), F.lit(1)).isin(*WRITE_METHODS)).alias("write_recommendations"))
     return a.crossJoin(b).select("selections", "agreeing", F.when(F.col("selections") > 0, F.col("agreeing") / F.col("selections")).alias("agreement"), "write_recommendations")
 
 

@@ -74,7 +74,11 @@ def postings(operations: DataFrame) -> DataFrame:
         "method": F.array(F.lower("method")),
         "description": T.token_set(F.substring(F.coalesce("description", F.lit("")), 1, DESCRIPTION_CHARS)),
     }
-    each = F.concat(*[F.transform(tokens, lambda t, w=FIELD_WEIGHTS[name]: F.struct(t.alias("token"), F.lit(w).alias("weight"))) for name, tokens in fields.items()])
+
+    def weighted(weight):
+        return lambda t: F.struct(t.alias("token"), F.lit(weight).alias("weight"))
+
+    each = F.concat(*[F.transform(tokens, weighted(FIELD_WEIGHTS[name])) for name, tokens in fields.items()])
     rows = operations.select("key", T.forms(T.terminal_tokens("path")).alias("_last"), F.explode(each).alias("p"))
     return rows.groupBy(F.col("p.token").alias("token"), "key").agg(F.sum("p.weight").alias("weight"), F.first(F.array_contains("_last", F.col("p.token"))).alias("terminal"))
 
