@@ -18,6 +18,10 @@ Pairs are verified with a prefix tree: the sets to compare with one leader, in a
 order of hashes, form a trie (sorted sequences and their common prefix lengths). It is
 walked once per leader: overlap along a shared prefix is counted once, and a subtree is
 left as soon as what remains on either side can't reach the overlap needed.
+
+Before sets are fetched, a pair's profiles are compared: how many hashes a set has in each
+of ``CELLS`` ranges. Two sets can't share more than the smaller count of each range, so
+pairs whose bound is too low go without their sets being moved.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from quillspark.llm.common import cut
 LEADERS = (1, 6)
 SMALL = 48
 BLOCK = 256
+CELLS = 128
 
 
 def _set(x) -> np.ndarray:
@@ -69,6 +74,35 @@ def trie_join(probe: np.ndarray, items: list[np.ndarray], num: int, den: int) ->
     return out
 
 
+def profiles(sets: DataFrame) -> DataFrame:
+    """(sid, prof): counts of each set's hashes in CELLS ranges."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t in batch.column(1):
+                cell = (_set(t.as_buffer()).astype(np.uint64) >> np.uint64(32)) % np.uint64(CELLS)
+                out.append(np.bincount(cell.astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sid", "prof"])
+
+    return sets.select("sid", "toks").mapInArrow(run, "sid long, prof binary")
+
+
+def possible(pairs: DataFrame, profs: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose profiles allow the overlap needed."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+                most = np.minimum(x, y).sum(axis=1)
+                ok = den * most >= num * (x.sum(axis=1) + y.sum(axis=1) - most)
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
+
+    j = pairs.select("a", "b").join(profs.select(F.col("sid").alias("b"), F.col("prof").alias("pb")), "b").join(profs.select(F.col("sid").alias("a"), F.col("prof").alias("pa")), "a")
+    return j.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets have den * intersection >= num * union."""
 
@@ -184,6 +218,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, leaders=LEADER
     ``members``: distinct (key, sid, n), n the size of the set. n_links counts the links
     that were verified for the id, which are enough to connect its class."""
     spark = members.sparkSession
+    profs = cut(profiles(sets))
     group, links, done, root = cut(one_key_for_each_group(members)), None, None, None
     for k in (*leaders, None):
         m = group.select("key", "sid", "n")
@@ -207,7 +242,7 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, leaders=LEADER
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         done = pairs if done is None else done.union(pairs)
-        found = verified(pairs, sets, num, den)
+        found = verified(cut(possible(pairs, profs, num, den)), sets, num, den)
         if not k:
             found = found.union(block_links(group.join(size.where("not small"), "key", "left_semi"), sets, num, den))
         found = cut(found)
