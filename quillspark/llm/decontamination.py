@@ -168,13 +168,18 @@ def _scan(block: Block, counts: dict[int, np.ndarray]):
     return scan.asNondeterministic()
 
 
-@F.arrow_udf(SPANS)
-def _count_words(text: pa.Array) -> pa.Array:
-    parts = []
-    for chunk in chunks(text):
-        none = lists([np.zeros(0, np.int64)] * len(chunk), pa.int64())
-        parts.append(structs(n_words=np.diff(words(chunk, ALNUM, lower=True).wo).astype(np.int64), starts=none, ends=none, items=none))
-    return pa.concat_arrays(parts)
+def _count_words():
+    """What ``_scan`` gives where there is nothing to find."""
+
+    @F.arrow_udf(SPANS)
+    def count(text: pa.Array) -> pa.Array:
+        parts = []
+        for chunk in chunks(text):
+            none = lists([np.zeros(0, np.int64)] * len(chunk), pa.int64())
+            parts.append(structs(n_words=np.diff(words(chunk, ALNUM, lower=True).wo).astype(np.int64), starts=none, ends=none, items=none))
+        return pa.concat_arrays(parts)
+
+    return count
 
 
 def _add(a, b):
@@ -199,7 +204,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, name: str = "hits", blo
             out = out.withColumn(tmp, _add(F.col(tmp)["a"], F.col(tmp)["b"]))
         first = False
     if first:
-        out = out.withColumn(tmp, _count_words(F.col("text")))
+        out = out.withColumn(tmp, _count_words()(F.col("text")))
     s = F.col(tmp)
     # union of the blocks' spans: sorted by start, each adds what lies beyond the furthest end so far
     n_hit = F.aggregate(

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import labelled_sample, remainder, table
 from quillspark.llm.textkit import ALNUM, Chunk, Words, chunks, mix64, structs, words
 
-SAMPLE_DOCS = 8000
+SAMPLE_DOCS = 5000
 BITS = 18
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
