@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The schema keywords that are walked.
 SCHEMA_KEYS = ("allOf", "oneOf", "anyOf", "items", "properties", "additionalProperties", "not")
@@ -40,14 +41,13 @@ def extract_spec(marker: str) -> object:
     Exactly one marker must stand before a JSON value; what follows the value is ignored.
     The value must hold exactly one specification, at any depth."""
     pattern = re.compile(marker)
-    decoder = json.JSONDecoder()
 
     def one(page):
         hits = list(pattern.finditer(page or ""))
         if len(hits) != 1:
             return "error_marker_count", len(hits), 0, None
         try:
-            data, _ = decoder.raw_decode(page, hits[0].end())
+            data, _ = json.JSONDecoder().raw_decode(page, hits[0].end())
         except (ValueError, RecursionError):
             return "error_bad_json", 1, 0, None
         todo, found = [data], []
@@ -69,7 +69,7 @@ def extract_spec(marker: str) -> object:
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """Sorted keys, no blanks; null for what isn't JSON."""
     return texts.map(lambda t: None if t is None or (v := _load(t)) is None and t.strip() != "null" else canonical(v))
@@ -125,7 +125,7 @@ def ref_names(max_depth: int = 6):
     return run
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def all_refs(texts: pd.Series) -> pd.Series:
     """Every reference inside a schema, in the order of a walk over its schema keywords."""
 
@@ -212,7 +212,7 @@ class _Title(HTMLParser):
             self.title += data
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def page_title(pages: pd.Series) -> pd.Series:
     """Text of the first h1 if it has any, else the title up to `` | ``; blanks collapsed."""
 

@@ -119,7 +119,7 @@ def failure_classes(records: DataFrame, operations: DataFrame, ranking: Ranking,
     """(id, classes): R5 where no verb allows an expected method, R6 where a token is unknown."""
     safe = method_safety(records, ranking)
     no = F.lit(False)
-    r5 = safe.select("id", ~F.coalesce(F.arrays_overlap("allowed", "expected_methods"), no).alias("_").cast("boolean").alias("r5"))
+    r5 = safe.select("id", (~F.coalesce(F.arrays_overlap("allowed", "expected_methods"), no)).alias("r5"))
     r6 = _token_reasons(records, operations, ranking, alias_words).groupBy("id").agg(F.bool_or(F.col("reason").isNull()).alias("r6"))
     j = records.select("id").join(r5, "id").join(r6, "id", "left")
     return j.select("id", F.filter(F.array(F.when(F.col("r5"), "R5"), F.when(F.coalesce("r6", no), "R6")), lambda x: x.isNotNull()).alias("classes"))

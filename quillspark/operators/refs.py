@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import jsonwalk
+from quillspark.operators.jsonwalk import expand as expand_schema
 
 MAX_DEPTH = 8
 MAX_NODES = 2000
@@ -65,7 +66,7 @@ def expand(roots: DataFrame, components: DataFrame, max_depth: int = 2, max_node
             if node is not None:
                 known.setdefault(section, {})[name] = json.loads(node)
         root = pdf["root"].iloc[0]
-        out = jsonwalk.expand({"$ref": f"#/components/{root}"}, known, depth, max_nodes)
+        out = expand_schema({"$ref": f"#/components/{root}"}, known, depth, max_nodes)
         found = root.split("/", 1)[1] in known.get("schemas", {})
         return pd.DataFrame([{"source": pdf["source"].iloc[0], "name": root.split("/", 1)[1], "found": found, "schema_json": json.dumps(out["schema"], ensure_ascii=False), "truncated": out["truncated"], "unresolved": out["unresolved"], "cycles": out["cycles"], "node_count": out["node_count"]}])
 
