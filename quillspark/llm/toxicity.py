@@ -3,8 +3,8 @@
 A sentence's probability is a logistic function of its words' weights. A document is
 toxic unless every sentence is clean and no unseen cause acts (a leaky noisy-or):
 ``P = 1 - (1 - leak) * prod(1 - p_sentence)``. The leak takes up labels that no sentence
-explains, so that a long clean document doesn't add up to a toxic one. Weights, bias and
-leak are fitted to document labels alone, by AdaGrad with an L1 penalty. The fitted
+explains, and a sentence without evidence has fixed log odds of ``BIAS``, so that a long
+clean document doesn't add up to a toxic one. Weights and leak are fitted to document labels alone, by AdaGrad with an L1 penalty. The fitted
 sentence model then names the offending sentences.
 
 The fit takes at most ``SAMPLE_DOCS`` labelled documents (a documented bound, drawn by a
@@ -32,7 +32,11 @@ BITS = 18
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
-STEPS = 80
+#: Log odds of a sentence without evidence: 10,000 such sentences stay under 0.16 together.
+BIAS = -11.0
+#: Pseudo-counts and standard deviations of a word's evidence at the start.
+PRIOR, SIGMAS = 3, 5
+STEPS = 100
 
 _END = np.isin(np.arange(256), np.frombuffer(b".!?\n", np.uint8))
 
@@ -41,8 +45,8 @@ def _sentences(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
     """Words, each word's features, and the index of each sentence's first word.
 
     Sentences end at . ! ? and line breaks, and with their document. A word's features are
-    itself and its first 4, 5 and 6 bytes, so that inflected forms share weight; feature 0
-    stands for none, where the word is shorter."""
+    itself and its first 4, 5 and 6 bytes, so that inflected forms share weight; where the
+    word is no longer than that it is itself again, so every word has as many features."""
     w = words(chunk, ALNUM, lower=True)
     feature = np.zeros((len(w.start), 1 + len(STEMS)), np.int64)
     feature[:, 0] = 1 + (w.hashes() >> np.uint64(64 - BITS)).astype(np.int64) % ((1 << BITS) - 1)
@@ -51,7 +55,7 @@ def _sentences(chunk: Chunk) -> tuple[Words, np.ndarray, np.ndarray]:
         for j in range(j, k):
             h = h * np.uint64(0x100000001B3) + w.buf[np.minimum(w.start + j, len(w.buf) - 1)]
         j = k
-        feature[:, i] = np.where(size > k, 1 + (mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64) % ((1 << BITS) - 1), 0)
+        feature[:, i] = np.where(size > k, 1 + (mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64) % ((1 << BITS) - 1), feature[:, 0])
     mark = np.cumsum(_END[chunk.buf], dtype=np.int64)[w.start] if len(w.start) else np.zeros(0, np.int64)
     new = np.ones(len(w.start), bool)
     new[1:] = (mark[1:] != mark[:-1]) | (w.doc[1:] != w.doc[:-1])
@@ -73,17 +77,16 @@ def _segments(doc: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(doc, np.arange(n + 1))
 
 
-def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1: float = 1e-5, rate: float = 0.1, steps: int = STEPS) -> Model:
+def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> Model:
     """``features``: one row for each word of each document; ``firsts``: where its sentences
     begin, in words."""
     base = float(np.clip(y.mean(), 1e-3, 0.999)) if len(y) else 0.05
-    model = Model(np.zeros(1 << BITS, np.float32), -7.0, base)
+    model = Model(np.zeros(1 << BITS, np.float32), BIAS, base)
     if not len(y) or y.min() == y.max():
         return model
     docs_with = np.zeros(1 << BITS, np.int32)
     for f in features:
         docs_with[np.unique(f)] += 1
-    docs_with[0] = 0
     # noise in a rare word's labels looks like evidence, so words in few documents get no weight
     used = np.flatnonzero(docs_with >= MIN_DOCS)
     number = np.full(1 << BITS, -1)
@@ -106,12 +109,13 @@ def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1:
         toxic[np.unique(f)] += label
     toxic = toxic[used]
     seen = docs_with[used].astype(np.float64)
-    w = np.log((toxic + 1) / (seen - toxic + 1)) - np.log(base / (1 - base))
-    w[np.abs(toxic - base * seen) < 4 * np.sqrt(seen * base * (1 - base))] = 0
-    bias, lk = model.bias, np.log(base / (1 - base)) - 0.5
-    gw, gb, gl = np.full(len(used), 1e-12), 1e-12, 1e-12
+    odds = np.log((toxic + PRIOR) / (seen - toxic + PRIOR)) - np.log(base / (1 - base))
+    odds[toxic - base * seen < SIGMAS * np.sqrt(seen * base * (1 - base))] = 0
+    w = -model.bias * np.minimum(odds / 4, 1) / (1 + len(STEMS))
+    lk = np.log(base / (1 - base)) - 0.5
+    gw, gl = np.full(len(used), 1e-12), 1e-12
     for _ in range(steps):
-        p = _sigmoid(bias + np.bincount(sent, w[flat], s))
+        p = _sigmoid(model.bias + np.bincount(sent, w[flat], s))
         leak = _sigmoid(lk)
         log_q = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + np.log1p(-leak)
         q = np.exp(log_q)
@@ -122,13 +126,12 @@ def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1:
         gw += dw**2
         step = rate / np.sqrt(gw)
         w -= step * dw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        db, dl = dz.sum(), (factor * leak).sum()
-        gb, gl = gb + db**2, gl + dl**2
-        bias = min(bias - 0.1 * db / np.sqrt(gb), -5.0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1 / n, 0)
+        dl = (factor * leak).sum()
+        gl += dl**2
         lk -= 0.1 * dl / np.sqrt(gl)
     model.weight[used] = w
-    model.bias, model.leak = float(bias), float(min(_sigmoid(lk), 0.9 * THRESHOLD))
+    model.leak = float(min(_sigmoid(lk), 0.9 * THRESHOLD))
     return model
 
 
