@@ -81,8 +81,8 @@ def test_contamination_matches_plain_python(spark, block_words):
         assert f["contaminated"] == (hit > 0 and 20 * hit >= n)
     kept = decontamination.drop_contaminated(d, bench)
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} >= {0, 1, 7}
-    assert decontamination.contamination(d.where("false"), bench).count() == 0
-    assert decontamination.contamination(d, bench.where("false")).where("hits.contaminated").count() == 0
+    assert decontamination.contamination(d.where("false"), bench, "found").count() == 0
+    assert decontamination.contamination(d, bench.where("false"), "found").where("found.contaminated").count() == 0
 
 
 def shingles(text, n=4):
