@@ -78,9 +78,9 @@ def reuse(records: DataFrame) -> DataFrame:
     return got.select("id", F.when(text_wins, F.col("by_text.id")).otherwise(F.col("by_set.id")).alias("earlier_id"), F.when(text_wins, "string").otherwise("set").alias("how"))
 
 
-def distribution(records: DataFrame, product_words=("jira", "confluence")) -> DataFrame:
+def distribution(records: DataFrame, product_words) -> DataFrame:
     """(dimension, value, n): records by source and method of their first key (forbidden for
-    negatives), and by whether a product is named, in one grouping-sets aggregate."""
+    negatives), and by whether one of the product words is in the query, in one grouping-sets aggregate."""
     first = F.get(F.when(F.col("section") == "negative", F.col("forbidden")).otherwise(F.col("expected")), F.lit(0))
     parts = F.when(F.size(F.split(first, ":")) >= 3, F.split(first, ":"))
     named = F.arrays_overlap(T.unigrams("query"), F.array(*map(F.lit, product_words)))
