@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import labelled_sample, remainder, table
 from quillspark.llm.textkit import ALNUM, Chunk, Words, chunks, mix64, structs, words
 
-SAMPLE_DOCS = 5000
+SAMPLE_DOCS = 4000
 BITS = 18
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
@@ -84,11 +84,16 @@ def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1:
     model = Model(np.zeros(1 << BITS, np.float32), BIAS, base)
     if not len(y) or y.min() == y.max():
         return model
-    docs_with = np.zeros(1 << BITS, np.int32)
-    for f in features:
-        docs_with[np.unique(f)] += 1
-    # noise in a rare word's labels looks like evidence, so words in few documents get no weight
-    used = np.flatnonzero(docs_with >= MIN_DOCS)
+    y = y.astype(np.float64)
+    docs_with, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for f, label in zip(features, y, strict=True):
+        held = np.unique(f)
+        docs_with[held] += 1
+        toxic[held] += label
+    # Noise in a rare word's labels looks like evidence, and where a sentence's odds have a
+    # floor, evidence for clean is of no use: other words get no weight.
+    spread = np.sqrt(docs_with * base * (1 - base))
+    used = np.flatnonzero((docs_with >= MIN_DOCS) & (toxic - base * docs_with >= spread))
     number = np.full(1 << BITS, -1)
     number[used] = np.arange(len(used))
     flat, sent, sent_doc, s = [], [], [], 0
@@ -99,18 +104,15 @@ def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1:
         sent.append(np.broadcast_to(of[:, None], f.shape)[keep])
         sent_doc.append(np.full(len(first), d))
         s += len(first)
+    if not len(used):
+        return model
     flat, sent, sent_doc = np.concatenate(flat), np.concatenate(sent), np.concatenate(sent_doc)
-    y = y.astype(np.float64)
     n = len(y)
     # Start from the log odds of words whose documents' labels differ from the others' beyond
     # chance: with all weights 0 no sentence of a toxic document would stand out.
-    toxic = np.zeros(1 << BITS)
-    for f, label in zip(features, y, strict=True):
-        toxic[np.unique(f)] += label
-    toxic = toxic[used]
-    seen = docs_with[used].astype(np.float64)
+    toxic, seen, spread = toxic[used], docs_with[used], spread[used]
     odds = np.log((toxic + PRIOR) / (seen - toxic + PRIOR)) - np.log(base / (1 - base))
-    odds[toxic - base * seen < SIGMAS * np.sqrt(seen * base * (1 - base))] = 0
+    odds[toxic - base * seen < SIGMAS * spread] = 0
     w = -model.bias * np.minimum(odds / 4, 1) / (1 + len(STEMS))
     lk = np.log(base / (1 - base)) - 0.5
     gw, gl = np.full(len(used), 1e-12), 1e-12
