@@ -148,7 +148,7 @@ def test_ngram_join_edges(spark):
 
 def test_repeated_passages_are_found_wherever_they_stand(spark):
     rng = random.Random(4)
-    passage, line = sentence(rng, 60), sentence(rng, 40)
+    passage, line = sentence(rng, 60), sentence(rng, 64)  # a changed word leaves 55 of 65 shingles
     rows = [(i, "\n".join(sentence(rng, 30) for _ in range(5))) for i in range(20)]
     rows += [(100 + i, f"{sentence(rng, 20 + i)} {passage} {sentence(rng, 15)}") for i in range(4)]
     w = line.split()
