@@ -14,7 +14,7 @@ def test_first_trial_that_mends_and_harms_nothing_is_taken(spark):
             mended = ("a", "good") in t
             harm = ("a", "bad") in t
             rows.append((i, "seed", "s-001", mended or harm, False, mended or harm, False, False, True))
-            rows.append((i, "seed", "s-002", not harm, False, not harm, False, False, True))
+            rows.append((i, "seed", "s-002", True, False, True, harm, False, True))
         return spark.createDataFrame(rows, ROW)
 
     got = N.propose_aliases([("s-001", "seed")], {"s-001": [("a", "bad"), ("a", "good"), ("b", "x")]}, usage_of)
