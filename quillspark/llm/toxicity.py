@@ -8,7 +8,7 @@ clean document doesn't add up to a toxic one. Weights and leak are fitted to doc
 sentence model then names the offending sentences.
 
 The fit takes at most ``SAMPLE_DOCS`` labelled documents (a documented bound, drawn by a
-hash of doc_id); their words are hashed in the tasks. Scoring covers every whole text.
+hash of doc_id); tasks hash and count their words and pass on those with evidence. Scoring covers every whole text.
 
 Defined results: null, empty and word-less texts score the leak; null labels teach
 nothing; without labels of both kinds all weights are 0; repeated rows score alike.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import labelled_sample, remainder, table
 from quillspark.llm.textkit import ALNUM, Chunk, Words, chunks, mix64, structs, words
 
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 8000
 BITS = 18
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
@@ -73,88 +73,115 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _segments(doc: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(doc, np.arange(n + 1))
+def evidence(docs_with: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Features that get weights, and the weights they start from.
 
-
-def fit(features: list[np.ndarray], firsts: list[np.ndarray], y: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> Model:
-    """``features``: one row for each word of each document; ``firsts``: where its sentences
-    begin, in words."""
-    base = float(np.clip(y.mean(), 1e-3, 0.999)) if len(y) else 0.05
-    model = Model(np.zeros(1 << BITS, np.float32), BIAS, base)
-    if not len(y) or y.min() == y.max():
-        return model
-    y = y.astype(np.float64)
-    docs_with, toxic = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for f, label in zip(features, y, strict=True):
-        held = np.unique(f)
-        docs_with[held] += 1
-        toxic[held] += label
-    # Noise in a rare word's labels looks like evidence, and where a sentence's odds have a
-    # floor, evidence for clean is of no use: other words get no weight.
+    Noise in a rare word's labels looks like evidence, and where a sentence's odds have a
+    floor, evidence for clean is of no use: other words get no weight."""
     spread = np.sqrt(docs_with * base * (1 - base))
     used = np.flatnonzero((docs_with >= MIN_DOCS) & (toxic - base * docs_with >= spread))
-    number = np.full(1 << BITS, -1)
-    number[used] = np.arange(len(used))
-    flat, sent, sent_doc, s = [], [], [], 0
-    for d, (f, first) in enumerate(zip(features, firsts, strict=True)):
-        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(f)))) + s
-        keep = number[f] >= 0
-        flat.append(number[f][keep])
-        sent.append(np.broadcast_to(of[:, None], f.shape)[keep])
-        sent_doc.append(np.full(len(first), d))
-        s += len(first)
-    if not len(used):
-        return model
-    flat, sent, sent_doc = np.concatenate(flat), np.concatenate(sent), np.concatenate(sent_doc)
-    n = len(y)
+    toxic, seen, spread = toxic[used], docs_with[used], spread[used]
     # Start from the log odds of words whose documents' labels differ from the others' beyond
     # chance: with all weights 0 no sentence of a toxic document would stand out.
-    toxic, seen, spread = toxic[used], docs_with[used], spread[used]
     odds = np.log((toxic + PRIOR) / (seen - toxic + PRIOR)) - np.log(base / (1 - base))
     odds[toxic - base * seen < SIGMAS * spread] = 0
-    w = -model.bias * np.minimum(odds / 4, 1) / (1 + len(STEMS))
+    return used, -BIAS * np.minimum(odds / 4, 1) / (1 + len(STEMS))
+
+
+def fit(features: list[np.ndarray], sentences: list[np.ndarray], plain: np.ndarray, y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and leak, from weights ``w``. ``features``: numbers of the features in each
+    document; ``sentences``: the sentence of each, numbered in its document; ``plain``: how
+    many sentences of a document hold none."""
+    n, base = len(y), float(np.clip(y.mean(), 1e-3, 0.999))
+    flat = np.concatenate(features)
+    sent_of = np.array([x[-1] + 1 if len(x) else 0 for x in sentences])
+    sent = np.concatenate(sentences) + np.repeat(np.cumsum(sent_of) - sent_of, [len(x) for x in sentences])
+    sent_doc, s = np.repeat(np.arange(n), sent_of), int(sent_of.sum())
+    rest = plain * np.log1p(-_sigmoid(BIAS))
     lk = np.log(base / (1 - base)) - 0.5
-    gw, gl = np.full(len(used), 1e-12), 1e-12
+    # A document's part in a gradient is up to 1 / n. Sums that start far below make steps
+    # without bound, and the L1 step then clears weights that already separate the labels.
+    gw, gl = np.full(len(w), 1.0 / n**2), 1e-12
     for _ in range(steps):
-        p = _sigmoid(model.bias + np.bincount(sent, w[flat], s))
+        p = _sigmoid(BIAS + np.bincount(sent, w[flat], s))
         leak = _sigmoid(lk)
-        log_q = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + np.log1p(-leak)
+        log_q = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + rest + np.log1p(-leak)
         q = np.exp(log_q)
         # d loss / d z of a sentence: p for a clean document, -p q / (1 - q) for a toxic one
         factor = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0) / n
         dz = factor[sent_doc] * p
-        dw = np.bincount(flat, dz[sent], len(used))
+        dw = np.bincount(flat, dz[sent], len(w))
         gw += dw**2
         step = rate / np.sqrt(gw)
-        w -= step * dw
+        w = w - step * dw
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1 / n, 0)
         dl = (factor * leak).sum()
         gl += dl**2
         lk -= 0.1 * dl / np.sqrt(gl)
-    model.weight[used] = w
-    model.leak = float(min(_sigmoid(lk), 0.9 * THRESHOLD))
-    return model
+    return w, float(min(_sigmoid(lk), 0.9 * THRESHOLD))
+
+
+def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and toxic documents with each feature, counted in tasks; in the last place
+    those of the whole sample."""
+
+    def run(batches):
+        n = np.zeros((2, (1 << BITS) + 1), np.int64)
+        for batch in batches:
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for chunk in chunks(batch.column(0)):
+                w, feature, _ = _sentences(chunk)
+                for i, (a, b) in enumerate(zip(w.wo[:-1], w.wo[1:], strict=True)):
+                    held = np.append(np.unique(feature[a:b]), 1 << BITS)
+                    n[0, held] += 1
+                    n[1, held] += y[chunk.first + i] > 0
+        at = np.flatnonzero(n[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[0, at]), pa.array(n[1, at])], ["slot", "n", "toxic"])
+
+    got = sample.mapInArrow(run, "slot int, n long, toxic long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    out = np.zeros((2, (1 << BITS) + 1))
+    out[:, got["slot"].to_numpy()] = got["n"].to_numpy(), got["toxic"].to_numpy()  # as many rows as features at most
+    return out[0], out[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, keep, sample_docs: int = SAMPLE_DOCS, label: str = "toxic") -> Model:
-    """Fits to at most ``sample_docs`` documents for which ``keep`` holds on ``labels``."""
+    """Fits to at most ``sample_docs`` documents for which ``keep`` holds on ``labels``.
+
+    Features are chosen by counts made in tasks; of the documents only those features reach
+    the driver, so its memory doesn't depend on the lengths of other words' runs."""
+    sample = labelled_sample(docs, labels, label, keep, sample_docs)
+    docs_with, toxic = _counts(sample)
+    n, n_toxic = docs_with[-1], toxic[-1]
+    base = float(np.clip(n_toxic / n, 1e-3, 0.999)) if n else 0.05
+    model = Model(np.zeros(1 << BITS, np.float32), BIAS, base)
+    used, start = evidence(docs_with[:-1], toxic[:-1], base)
+    if not n or n_toxic in (0, n) or not len(used):
+        return model
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used))
 
-    def hashed(batches):
+    def numbered(batches):
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 w, feature, first = _sentences(chunk)
-                cut = np.searchsorted(first, w.wo)
+                of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
+                in_doc = np.diff(np.searchsorted(first, w.wo))
+                f, s, plain = [], [], []
+                for i, (a, b) in enumerate(zip(w.wo[:-1], w.wo[1:], strict=True)):
+                    at = number[feature[a:b]]
+                    held, k = np.unique(np.broadcast_to(of[a:b, None], at.shape)[at >= 0], return_inverse=True)
+                    f.append(at[at >= 0].tobytes())
+                    s.append(k.astype(np.int32).tobytes())
+                    plain.append(int(in_doc[i]) - len(held))
                 y = batch.column(1).slice(chunk.first, len(chunk))
-                f = [feature[a:b].astype(np.int32).tobytes() for a, b in zip(w.wo[:-1], w.wo[1:], strict=True)]
-                s = [(first[a:b] - w.wo[i]).astype(np.int32).tobytes() for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(s, pa.binary()), y], ["f", "s", "y"])
-
-    got = labelled_sample(docs, labels, label, keep, sample_docs).mapInArrow(hashed, "f binary, s binary, y int").toArrow()
-    got = got.filter(pa.array([f is not None for f in got["f"].to_pylist()]))
-    order = sorted(range(len(got)), key=lambda i: (got["f"][i].as_py(), got["y"][i].as_py()))  # sums don't depend on the order of rows
-    rows = got.take(order).to_pydict()
-    return fit([np.frombuffer(x, np.int32).reshape(-1, 1 + len(STEMS)) for x in rows["f"]], [np.frombuffer(x, np.int32) for x in rows["s"]], np.array(rows["y"], np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(s, pa.binary()), pa.array(plain, pa.int64()), y], ["f", "s", "plain", "y"])
+
+    got = sample.mapInArrow(numbered, "f binary, s binary, plain long, y int").toArrow().to_pydict()
+    rows = sorted(zip(*(got[k] for k in ("f", "s", "plain", "y")), strict=True))  # sums don't depend on the order of rows
+    f, s = ([np.frombuffer(r[i], np.int32) for r in rows] for i in (0, 1))
+    weight, model.leak = fit(f, s, np.array([r[2] for r in rows]), (np.array([r[3] for r in rows]) > 0).astype(np.float64), start)
+    model.weight[used] = weight
+    return model
 
 
 def scorer(model: Model, threshold: float = THRESHOLD):

@@ -202,6 +202,14 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert not one.weight.any()
 
 
+def test_toxicity_keeps_weights_that_separate_few_labels(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{sentence(rng, 30)}. you vile {sentence(rng, 2)}. {sentence(rng, 5)}" if i % 5 == 0 else sentence(rng, 50)) for i in range(200)]
+    d, lab = docs(spark, rows), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(d, toxicity.train(d, lab, F.lit(True))).collect()}
+    assert kept == {i for i, _ in rows if i % 5}
+
+
 def test_quality_gam_learns_and_interacts(spark):
     rng = random.Random(6)
     rows, labels = [], []
