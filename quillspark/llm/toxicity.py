@@ -3,8 +3,8 @@
 A sentence's probability is a logistic function of its words' weights. A document is
 toxic unless every sentence is clean and no unseen cause acts (a leaky noisy-or):
 ``P = 1 - (1 - leak) * prod(1 - p_sentence)``. The leak takes up labels that no sentence
-explains, and a sentence without evidence has fixed log odds of ``BIAS``, so that a long
-clean document doesn't add up to a toxic one. Weights and leak are fitted to document labels alone, by AdaGrad with an L1 penalty. The fitted
+explains. A sentence's probability is what its words add to log odds of ``BIAS``: one without
+weighted words has 0, so length alone doesn't make a clean document toxic. Weights and leak are fitted to document labels alone, by AdaGrad with an L1 penalty. The fitted
 sentence model then names the offending sentences.
 
 The fit takes at most ``SAMPLE_DOCS`` labelled documents (a documented bound, drawn by a
@@ -32,7 +32,7 @@ BITS = 18
 MIN_DOCS = 5
 STEMS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Log odds of a sentence without evidence: 10,000 such sentences stay under 0.16 together.
+#: Log odds from which a sentence's words count.
 BIAS = -11.0
 #: Pseudo-counts and standard deviations of a word's evidence at the start.
 PRIOR, SIGMAS = 3, 5
@@ -73,6 +73,13 @@ def _sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _clean(z: np.ndarray) -> np.ndarray:
+    """Log of a sentence's probability to be clean, by the sum of its words' weights; 0 where
+    that isn't above 0."""
+    p = _sigmoid(BIAS + np.maximum(z, 0))
+    return np.log1p(-np.minimum(p, 1 - 1e-12)) - np.log1p(-_sigmoid(BIAS))
+
+
 def evidence(docs_with: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
     """Features that get weights, and the weights they start from.
 
@@ -88,28 +95,27 @@ def evidence(docs_with: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.
     return used, -BIAS * np.minimum(odds / 4, 1) / (1 + len(STEMS))
 
 
-def fit(features: list[np.ndarray], sentences: list[np.ndarray], plain: np.ndarray, y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
+def fit(features: list[np.ndarray], sentences: list[np.ndarray], y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and leak, from weights ``w``. ``features``: numbers of the features in each
-    document; ``sentences``: the sentence of each, numbered in its document; ``plain``: how
-    many sentences of a document hold none."""
+    document; ``sentences``: the sentence of each, numbered in its document."""
     n, base = len(y), float(np.clip(y.mean(), 1e-3, 0.999))
     flat = np.concatenate(features)
     sent_of = np.array([x[-1] + 1 if len(x) else 0 for x in sentences])
     sent = np.concatenate(sentences) + np.repeat(np.cumsum(sent_of) - sent_of, [len(x) for x in sentences])
     sent_doc, s = np.repeat(np.arange(n), sent_of), int(sent_of.sum())
-    rest = plain * np.log1p(-_sigmoid(BIAS))
     lk = np.log(base / (1 - base)) - 0.5
     # A document's part in a gradient is up to 1 / n. Sums that start far below make steps
     # without bound, and the L1 step then clears weights that already separate the labels.
     gw, gl = np.full(len(w), 1.0 / n**2), 1e-12
     for _ in range(steps):
-        p = _sigmoid(BIAS + np.bincount(sent, w[flat], s))
+        z = np.bincount(sent, w[flat], s)
         leak = _sigmoid(lk)
-        log_q = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n) + rest + np.log1p(-leak)
+        log_q = np.bincount(sent_doc, _clean(z), n) + np.log1p(-leak)
         q = np.exp(log_q)
-        # d loss / d z of a sentence: p for a clean document, -p q / (1 - q) for a toxic one
+        # d loss / d z of a sentence: p for a clean document, -p q / (1 - q) for a toxic one,
+        # p being the logistic function of its odds; none where z is under 0
         factor = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0) / n
-        dz = factor[sent_doc] * p
+        dz = factor[sent_doc] * np.where(z < 0, 0, _sigmoid(BIAS + z))
         dw = np.bincount(flat, dz[sent], len(w))
         gw += dw**2
         step = rate / np.sqrt(gw)
@@ -165,21 +171,19 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample_docs: int = SAMPLE_DO
             for chunk in chunks(batch.column(0)):
                 w, feature, first = _sentences(chunk)
                 of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
-                in_doc = np.diff(np.searchsorted(first, w.wo))
-                f, s, plain = [], [], []
-                for i, (a, b) in enumerate(zip(w.wo[:-1], w.wo[1:], strict=True)):
+                f, s = [], []
+                for a, b in zip(w.wo[:-1], w.wo[1:], strict=True):
                     at = number[feature[a:b]]
-                    held, k = np.unique(np.broadcast_to(of[a:b, None], at.shape)[at >= 0], return_inverse=True)
+                    _, k = np.unique(np.broadcast_to(of[a:b, None], at.shape)[at >= 0], return_inverse=True)
                     f.append(at[at >= 0].tobytes())
                     s.append(k.astype(np.int32).tobytes())
-                    plain.append(int(in_doc[i]) - len(held))
                 y = batch.column(1).slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(s, pa.binary()), pa.array(plain, pa.int64()), y], ["f", "s", "plain", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(s, pa.binary()), y], ["f", "s", "y"])
 
-    got = sample.mapInArrow(numbered, "f binary, s binary, plain long, y int").toArrow().to_pydict()
-    rows = sorted(zip(*(got[k] for k in ("f", "s", "plain", "y")), strict=True))  # sums don't depend on the order of rows
+    got = sample.mapInArrow(numbered, "f binary, s binary, y int").toArrow().to_pydict()
+    rows = sorted(zip(*(got[k] for k in ("f", "s", "y")), strict=True))  # sums don't depend on the order of rows
     f, s = ([np.frombuffer(r[i], np.int32) for r in rows] for i in (0, 1))
-    weight, model.leak = fit(f, s, np.array([r[2] for r in rows]), (np.array([r[3] for r in rows]) > 0).astype(np.float64), start)
+    weight, model.leak = fit(f, s, (np.array([r[2] for r in rows]) > 0).astype(np.float64), start)
     model.weight[used] = weight
     return model
 
@@ -196,9 +200,9 @@ def scorer(model: Model, threshold: float = THRESHOLD):
             n = len(chunk)
             out, bad = np.full(n, model.leak), [[] for _ in range(n)]
             if len(first):
-                p = _sigmoid(model.bias + np.add.reduceat(model.weight[feature].sum(axis=1, dtype=np.float64), first))
-                doc = w.doc[first]
-                out = 1 - (1 - model.leak) * np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+                clean = _clean(np.add.reduceat(model.weight[feature].sum(axis=1, dtype=np.float64), first))
+                p, doc = -np.expm1(clean), w.doc[first]
+                out = 1 - (1 - model.leak) * np.exp(np.bincount(doc, clean, n))
                 last = np.append(first[1:], len(w.start)) - 1
                 for i in np.flatnonzero(p >= threshold).tolist():
                     d, a, b = int(doc[i]), int(w.start[first[i]]), int(w.end[last[i]])

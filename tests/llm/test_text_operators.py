@@ -210,6 +210,17 @@ def test_toxicity_keeps_weights_that_separate_few_labels(spark):
     assert kept == {i for i, _ in rows if i % 5}
 
 
+def test_toxicity_of_long_clean_text_is_the_leak(spark):
+    model = toxicity.Model(toxicity.np.zeros(1 << toxicity.BITS, "float32"), toxicity.BIAS, 0.9 * toxicity.THRESHOLD)
+    _, feature, _ = toxicity._sentences(next(toxicity.chunks(toxicity.pa.array(["vile"]))))
+    model.weight[feature] = 5
+    d = docs(spark, [(1, "clean words. " * 100_000), (2, "clean words. " * 100_000 + "you vile.")])
+    got = {r["doc_id"]: r["t"] for r in d.select("doc_id", toxicity.scorer(model)("text").alias("t")).collect()}
+    assert got[1]["score"] == pytest.approx(model.leak) and not got[1]["sentences"]
+    assert got[2]["score"] > 0.99 and [x["text"] for x in got[2]["sentences"]] == ["you vile"]
+    assert [r["doc_id"] for r in toxicity.drop_toxic(d, model).collect()] == [1]
+
+
 def test_quality_gam_learns_and_interacts(spark):
     rng = random.Random(6)
     rows, labels = [], []
