@@ -19,6 +19,10 @@ order of hashes, form a trie (sorted sequences and their common prefix lengths).
 walked once per leader: overlap along a shared prefix is counted once, and a subtree is
 left as soon as what remains on either side can't reach the overlap needed.
 
+An id's number of links isn't known from those that connect its class. Every link lies within
+one class, so once classes are known, ``link_counts`` compares all ids of each class of three
+or more, in pairs of blocks too, and gives out counts only, however many links there are.
+
 Before sets are fetched, a pair's profiles are compared: how many hashes a set has in each
 of ``CELLS`` ranges. Two sets can't share more than the smaller count of each range, so
 pairs whose bound is too low go without their sets being moved.
@@ -36,6 +40,8 @@ from quillspark.llm.common import cut
 LEADERS = (1, 6)
 SMALL = 48
 BLOCK = 256
+#: Ids and hashes of a block where links are counted.
+COUNT_BLOCK, BLOCK_HASHES = 1024, 1 << 20
 CELLS = 128
 
 
@@ -213,10 +219,9 @@ def one_key_for_each_group(members: DataFrame) -> DataFrame:
 
 
 def link(members: DataFrame, sets: DataFrame, num: int, den: int, leaders=LEADERS) -> DataFrame:
-    """(sid, root, n_links) of every id in a class of two or more; root is its smallest id.
+    """(sid, root) of every id in a class of two or more; root is its smallest id.
 
-    ``members``: distinct (key, sid, n), n the size of the set. n_links counts the links
-    that were verified for the id, which are enough to connect its class."""
+    ``members``: distinct (key, sid, n), n the size of the set."""
     spark = members.sparkSession
     profs = cut(profiles(sets))
     group, links, done, root = cut(one_key_for_each_group(members)), None, None, None
@@ -249,6 +254,32 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, leaders=LEADER
         links = found if links is None else links.union(found)
         root = components(links)
     if links is None:
-        return spark.createDataFrame([], "sid long, root long, n_links long")
-    n = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    return root.join(n, "node").select(F.col("node").alias("sid"), "root", "n_links")
+        return spark.createDataFrame([], "sid long, root long")
+    return root.select(F.col("node").alias("sid"), "root")
+
+
+def link_counts(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, n_links) of every id of ``classes`` (sid, root, n): with how many others of its
+    class it has den * intersection >= num * union. No id of another class has that."""
+    ids = F.greatest(F.ceil(F.count("*") / COUNT_BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    size = classes.groupBy("root").agg(F.count("*").alias("ids"), ids.alias("blocks"))
+    sized = classes.join(size, "root")
+    dealt = sized.where("ids > 2").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.join(sets, "sid").select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "toks")
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(np.unique(group["sid"].to_numpy(), return_index=True)[1])  # rows of ``sets`` may repeat
+        block = group["block"].to_numpy()
+        toks = [_set(x.as_buffer()).astype(np.uint64) for x in group["toks"]]
+        n, o = np.array([len(x) for x in toks]), overlaps(toks)
+        ok = den * o >= num * (n[:, None] + n[None, :] - o)
+        if group["lo"][0].as_py() != group["hi"][0].as_py():
+            ok &= block[:, None] != block[None, :]
+        else:
+            np.fill_diagonal(ok, False)
+        return pa.table({"sid": group["sid"], "n": pa.array(ok.sum(axis=1), pa.int64())})
+
+    # both ids of a class of two have one link, the one that makes it a class
+    two = sized.where("ids = 2").select("sid", F.lit(1).cast("long").alias("n"))
+    many = rows.groupBy("root", "lo", "hi").applyInArrow(run, "sid long, n long")
+    return two.union(many).groupBy("sid").agg(F.sum("n").alias("n_links"))

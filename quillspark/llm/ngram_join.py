@@ -12,7 +12,8 @@ prefixes of several ids give the candidate groups, whose sets are joined in a pr
 Defined results: a document without words or with a null text has an empty set and is
 linked with nothing; fewer words than n make one n-gram of the whole sequence; a null id
 has a null component and links nothing; repeated rows get the same component; an empty
-table gives no rows. Ids of sets are 64-bit fingerprints: among a thousand million
+table gives no rows. n_links is the number of different sets that are similar to a row's
+own, exact copies counting as one. Ids of sets are 64-bit fingerprints: among a thousand million
 different sets two are expected to agree with a chance of 3 %.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
 from quillspark.llm.common import cut, table, written
-from quillspark.llm.linking import link
+from quillspark.llm.linking import link, link_counts
 from quillspark.llm.textkit import chunks, mix64, shingle_sets, windows, words
 
 N = 4
@@ -89,8 +90,9 @@ def order_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > mean + 8 * np.sqrt(mean) + 8, counts, 0)
 
 
-def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row of ``docs`` (doc_id, text)."""
+def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, where ``counted``, n_links of every row of
+    ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     member = cut(membership(docs, n))
     known = member.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -127,15 +129,18 @@ def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
 
     sets = written(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary"))
     linked = link(group, sets, num, den)
-    root = sets_of.join(linked, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    root = sets_of.join(linked, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = root.join(least, "root").select("sid", "component_id", "n_links")
+    final = root.join(least, "root").select("sid", "component_id")
+    if counted:
+        final = final.join(link_counts(linked.join(active.select("sid", "n"), "sid"), sets, num, den), "sid", "left")
     empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []
     return member.join(final, "sid", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNull(), None).when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *links,
     )
 
 
@@ -144,7 +149,7 @@ def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Dat
 
     Rows are told apart by doc_id, so rows that repeat the smallest id all stay; documents
     without words, or with a null id, stay as they are."""
-    found = similar(docs, n, num, den)
+    found = similar(docs, n, num, den, counted=False)
     losers = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti")
 

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, language_id, ngram_join, quality_gam, quality_rules, substring_dedup, toxicity, url_filter
+from quillspark.llm import decontamination, language_id, linking, ngram_join, quality_gam, quality_rules, substring_dedup, toxicity, url_filter
 
 WORDS = [f"w{i}" for i in range(400)]
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,6 +139,23 @@ def test_ngram_join_matches_all_pairs(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(want.values())
 
 
+def test_ngram_join_counts_all_links(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [x for size in (60, 120) for x in near_copies(rng, sentence(rng, size), 30)] + [f"a b c d e {x}" for x in range(3)]
+    base = sentence(rng, 80).split()
+    chain = [" ".join(base[i * 3 :] + [f"new{j}" for j in range(i * 3)]) for i in range(6)]  # ends aren't alike
+    texts += [*chain, chain[2].upper()]
+    sets = [frozenset(zip(*(x.lower().split()[i:] for i in range(4)), strict=False)) for x in texts]
+    alike = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+    want = {i: sum(alike(x, y) for y in set(sets) if y != x) for i, x in enumerate(sets)}
+    assert {1, 2} < set(want.values()) and max(want.values()) > 5
+    rows = [*enumerate(texts), (0, texts[0])]
+    for block in (1024, 4):
+        monkeypatch.setattr(linking, "COUNT_BLOCK", block)
+        got = ngram_join.similar(docs(spark, rows)).collect()
+        assert len(got) == len(rows) and {r["doc_id"]: r["n_links"] for r in got} == want
+
+
 def test_ngram_join_edges(spark):
     d = docs(spark, [(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (5, "A b C d e")])
     got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.similar(d).collect()), key=str)
