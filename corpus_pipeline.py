@@ -51,5 +51,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        docs = common.cut(stage(spark, docs, sf_dir))
     return docs

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import written
+from quillspark.llm.common import cut
 
 FLUSH = 400_000
 BUCKET_BYTES = 8 << 20
@@ -98,4 +98,4 @@ def shared(docs: DataFrame, entries: Callable, total: int, carry: bool = False)
 
     packed = docs.mapInArrow(emit, "bucket int, salt int, kind int, blob binary")
     found = packed.groupBy("bucket", "salt").applyInArrow(match, "key long, sid long" + ", n int" * carry)
-    return written(found.distinct())  # an id may come from several blocks
+    return cut(found.distinct())  # an id may come from several blocks

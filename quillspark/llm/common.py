@@ -18,15 +18,34 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is unset (tests on one machine) a temporary folder is made."""
-    spark = df.sparkSession
+    Only where that setting is unset, and all runs on one machine (tests), one is made."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it names a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: cuts the lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*cuts: DataFrame) -> None:
+    """Deletes the files of cuts that nothing reads any more."""
+    for df in cuts:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, limit: int, seed: int = 7) -> DataFrame:
@@ -42,14 +61,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .limit(limit)
     )
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    path = f"{sc.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)

@@ -1,193 +1,212 @@
-"""Exact similarity classes from candidate groups, without listing all pairs of a group.
+"""Exact similarity links and classes from candidate groups, compared in prefix trees.
 
 Input are groups of ids that may be similar (``members``: key, sid, n) and the ids' sets
-of hashes (``sets``: sid, toks). Wanted are the connected components of all pairs that
-share a key and whose Jaccard similarity is high enough.
-
-Leaders first: in each round every open group names a few leaders by hash, every member is
-compared with those not yet in its own component, and verified links merge components. A
-group is closed once all its members are in one component, as no pair within it can then
-change the result. Groups of near copies close after a round or two, with work in
-proportion to their size. What is still open then is compared whole, so no link is lost:
-groups of up to ``SMALL`` pair by pair; larger ones in blocks of about ``BLOCK`` ids, where
-a task has two blocks, counts the overlaps of all their pairs at once and gives out only
-the links that merge components. So no join makes all pairs of a large group, and no
-task holds more than two blocks of it. Groups with the same members count as one.
-
-Pairs are verified with a prefix tree: the sets to compare with one leader, in a global
-order of hashes, form a trie (sorted sequences and their common prefix lengths). It is
-walked once per leader: overlap along a shared prefix is counted once, and a subtree is
-left as soon as what remains on either side can't reach the overlap needed.
-
-An id's number of links isn't known from those that connect its class. Every link lies within
-one class, so once classes are known, ``link_counts`` compares all ids of each class of three
-or more, in pairs of blocks too, and gives out counts only, however many links there are.
-
-Before sets are fetched, a pair's profiles are compared: how many hashes a set has in each
-of ``CELLS`` ranges. Two sets can't share more than the smaller count of each range, so
-pairs whose bound is too low go without their sets being moved.
+of hashes (``sets``: sid, toks). Wanted are, for all pairs that share a key and whose
+Jaccard similarity is high enough, the number of links of each id and the connected
+components.
+
+Groups of copies share many keys, so comparing key by key would move and compare them again
+for each. Every group is named by its member of least hash, and groups of one name are one
+family: groups with nearly the same members nearly always get the same name. A pair that
+meets in several families counts in the first of them only. Families of any size are
+compared in the same way: they are dealt into blocks of about ``BLOCK_IDS`` ids or
+``BLOCK_HASHES`` hashes, and a task has two blocks. So no task holds more than two blocks
+of a family, no pair is written anywhere, and what a task gives out is one row for each
+linked id: how many links it has there, and the smallest id it is tied to there.
+
+Two blocks are compared by a prefix tree: the sets of one, ordered by how common their
+hashes are in the blocks (the commonest first, so that similar sets share long paths), form
+a tree whose edges hold runs of hashes. All sets of the other block walk it together, level
+by level: the overlap along a shared path is counted once for all sets below it, and a
+subtree is left as soon as its sizes don't fit, or what remains on either side can't reach
+the overlap that its smallest set needs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut
-
-LEADERS = (1, 6)
-SMALL = 48
-BLOCK = 256
-#: Ids and hashes of a block where links are counted.
-COUNT_BLOCK, BLOCK_HASHES = 1024, 1 << 20
-CELLS = 128
-
-
-def _set(x) -> np.ndarray:
-    return np.frombuffer(x, ">u8")
-
-
-def trie_join(probe: np.ndarray, items: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Which of the ``items`` have den * intersection >= num * union with ``probe``.
-
-    All are sorted distinct hashes. Items are walked in the order of their sequences."""
-    order = sorted(range(len(items)), key=lambda i: items[i].tobytes())
-    out = np.zeros(len(items), bool)
-    # den * o >= num * (x + y - o): the least overlap by size
-    need = np.array([-(-num * (len(probe) + len(y)) // (num + den)) for y in items])
-    least, longest = int(need.min()), max(map(len, items))
-    before, hits, pruned = np.zeros(0, np.uint64), np.zeros(1, np.int64), None
-    for i in order:
-        y = items[i]
-        m = min(len(y), len(before))
-        differs = np.flatnonzero(y[:m] != before[:m])
-        shared = int(differs[0]) if len(differs) else m
-        if pruned is not None and shared >= pruned:
-            continue  # in a subtree that was left
-        tail = y[shared:]
-        at = np.searchsorted(probe, tail)
-        found = probe[np.minimum(at, len(probe) - 1)] == tail if len(probe) else np.zeros(len(tail), bool)
-        hits = np.concatenate([hits[: shared + 1], hits[shared] + np.cumsum(found)])
-        # at depth d the probe has len - at[d] hashes to come, the subtree longest - d at most
-        depth = np.arange(shared + 1, len(y) + 1)
-        most = hits[shared + 1 :] + np.minimum(len(probe) - at - found, longest - depth)
-        low = np.flatnonzero(most < least)
-        pruned = shared + 1 + int(low[0]) if len(low) else None
-        before = y
-        out[i] = hits[-1] >= need[i]
+from quillspark.llm.common import cut, drop_cut
+
+BLOCK_IDS, BLOCK_HASHES = 512, 1 << 20
+#: Cells of the table (probes x hashes) that the tree's walkers are looked up in, and hashes
+#: that a step of the walk looks up at once.
+TABLE, STEP = 1 << 23, 1 << 21
+#: A family's rows are dealt over so many keys where its number of blocks is looked up.
+SALTS = 32
+
+
+class Trie:
+    """A prefix tree of sequences of numbers, each sorted; edges hold runs of numbers."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        order = sorted(range(len(seqs)), key=lambda i: seqs[i].astype(">u4").tobytes())
+        parent, begin, end, rep = [-1], [0], [0], [0]
+        self.items: list[list[int]] = [[]]
+        stack, before = [0], np.zeros(0, np.int64)
+        for i in order:
+            x = seqs[i]
+            m = min(len(x), len(before))
+            differs = np.flatnonzero(x[:m] != before[:m])
+            shared = int(differs[0]) if len(differs) else m
+            last = -1
+            while end[stack[-1]] > shared:
+                last = stack.pop()
+            if end[stack[-1]] < shared:  # the edge is divided where the sequences part
+                parent.append(stack[-1]), begin.append(end[stack[-1]]), end.append(shared), rep.append(rep[last]), self.items.append([])
+                stack.append(len(parent) - 1)
+                parent[last], begin[last] = stack[-1], shared
+            if len(x) > shared:
+                parent.append(stack[-1]), begin.append(shared), end.append(len(x)), rep.append(i), self.items.append([])
+                stack.append(len(parent) - 1)
+            self.items[stack[-1]].append(i)
+            before = x
+        n = len(parent)
+        least, most = [1 << 60] * n, [0] * n
+        for v in sorted(range(n), key=begin.__getitem__, reverse=True):  # children before parents
+            if self.items[v]:
+                least[v], most[v] = min(least[v], end[v]), max(most[v], end[v])
+            if v:
+                p = parent[v]
+                least[p], most[p] = min(least[p], least[v]), max(most[p], most[v])
+        self.end, self.least, self.most = np.array(end), np.array(least), np.array(most)
+        self.held = np.array([len(x) for x in self.items])
+        by_parent = np.argsort(np.array(parent), kind="stable")[1:]
+        self.children, self.n_children = by_parent, np.bincount(np.array(parent)[by_parent], minlength=n)
+        self.first = np.cumsum(self.n_children) - self.n_children
+        runs = [seqs[rep[v]][begin[v] : end[v]] for v in range(n)]
+        self.size = np.array([len(r) for r in runs])
+        self.at = np.cumsum(self.size) - self.size
+        self.run = np.concatenate(runs) if n > 1 else np.zeros(0, np.int64)
+        self.last = np.array([r[-1] if len(r) else -1 for r in runs])
+
+    def below(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each child of each of the nodes: the place of its parent in ``node``, and itself."""
+        return _ranges(self.first[node], self.n_children[node], self.children)
+
+
+def _ranges(first: np.ndarray, size: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    of = np.repeat(np.arange(len(size)), size)
+    return of, values[np.arange(len(of)) + np.repeat(first - (np.cumsum(size) - size), size)]
+
+
+def _walk(tree: Trie, probes: list[np.ndarray], width: int, num: int, den: int, out: np.ndarray) -> None:
+    """Marks in ``out`` (probes x sets of the tree) the pairs that are similar enough."""
+    n = np.array([len(x) for x in probes])
+    held = np.zeros((len(probes), width + 1), np.int32)
+    held[np.repeat(np.arange(len(probes)), n), np.concatenate(probes) + 1] = 1
+    rank = np.cumsum(held, axis=1, dtype=np.int32).ravel()  # how many of a probe's numbers are below each
+    held = held.ravel()
+    work = [(np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64))]
+    while work:
+        p, node, hits = work.pop()
+        of, child = tree.below(node)
+        p, hits = p[of], hits[of]
+        fits = (tree.most[child] * den >= n[p] * num) & (n[p] * den >= tree.least[child] * num)
+        p, hits, child = p[fits], hits[fits], child[fits]
+        while len(p):
+            at = max(1, int(np.searchsorted(np.cumsum(tree.size[child]), STEP, "right")))
+            q, v, h = p[:at], child[:at], hits[:at]
+            p, child, hits = p[at:], child[at:], hits[at:]
+            of, run = _ranges(tree.at[v], tree.size[v], tree.run)
+            h = h + np.add.reduceat(held[q[of] * (width + 1) + run + 1], np.cumsum(tree.size[v]) - tree.size[v])
+            rest = np.minimum(n[q] - rank[q * (width + 1) + tree.last[v] + 1], tree.most[v] - tree.end[v])
+            # den * o >= num * (x + y - o) is the overlap needed of the smallest set below
+            ok = (h + rest) * (num + den) >= num * (n[q] + tree.least[v])
+            q, v, h = q[ok], v[ok], h[ok]
+            for i in np.flatnonzero((tree.held[v] > 0) & (h * (num + den) >= num * (n[q] + tree.end[v]))).tolist():
+                out[q[i], tree.items[v[i]]] = True
+            down = tree.n_children[v] > 0
+            if down.any():
+                work.append((q[down], v[down], h[down]))
+
+
+def trie_join(probes: list[np.ndarray], items: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs have den * intersection >= num * union: a mask of probes x items.
+
+    All are non-empty arrays of distinct hashes. The tree is made of ``items``."""
+    out = np.zeros((len(probes), len(items)), bool)
+    if not len(probes) or not len(items):
+        return out
+    _, number, count = np.unique(np.concatenate([*probes, *items]), return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")  # equally common ones by hash
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    number = place[number]
+    cuts = np.cumsum([len(x) for x in (*probes, *items)])[:-1]
+    seqs = [np.sort(x) for x in np.split(number, cuts)]
+    tree, width = Trie(seqs[len(probes) :]), len(order)
+    step = max(1, TABLE // (width + 1))
+    for a in range(0, len(probes), step):
+        _walk(tree, seqs[a : min(a + step, len(probes))], width, num, den, out[a : a + step])
     return out
 
 
-def profiles(sets: DataFrame) -> DataFrame:
-    """(sid, prof): counts of each set's hashes in CELLS ranges."""
+def _hashes(col: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), ">u8").astype(np.uint64) for x in col]
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for t in batch.column(1):
-                cell = (_set(t.as_buffer()).astype(np.uint64) >> np.uint64(32)) % np.uint64(CELLS)
-                out.append(np.bincount(cell.astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["sid", "prof"])
-
-    return sets.select("sid", "toks").mapInArrow(run, "sid long, prof binary")
-
-
-def possible(pairs: DataFrame, profs: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose profiles allow the overlap needed."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
-                most = np.minimum(x, y).sum(axis=1)
-                ok = den * most >= num * (x.sum(axis=1) + y.sum(axis=1) - most)
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
-
-    j = pairs.select("a", "b").join(profs.select(F.col("sid").alias("b"), F.col("prof").alias("pb")), "b").join(profs.select(F.col("sid").alias("a"), F.col("prof").alias("pa")), "a")
-    return j.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
+def _seen_before(families: list[np.ndarray], family: int) -> np.ndarray:
+    """Pairs of ids that share a family before ``family``: there they are counted."""
+    size = np.array([len(x) for x in families])
+    row, name = np.repeat(np.arange(len(families)), size), np.concatenate(families)
+    row, name = row[name < family], name[name < family]
+    _, col, count = np.unique(name, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    row, col = row[count[col] > 1], number[col[count[col] > 1]]
+    held = np.zeros((len(families), int((count > 1).sum())), np.float32)
+    held[row, col] = 1
+    return held @ held.T > 0
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets have den * intersection >= num * union."""
 
-    def check(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            ta, tb = batch.column(1), batch.column(3)
-            order = np.argsort(a, kind="stable")
-            cuts = np.flatnonzero(np.diff(a[order])) + 1
-            ok = np.zeros(len(a), bool)
-            for rows in np.split(order, cuts):
-                ok[rows] = trie_join(_set(ta[int(rows[0])].as_buffer()), [_set(tb[int(r)].as_buffer()) for r in rows], num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+def _tied(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least number tied to each of 0..n-1 by the pairs (a, b)."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
 
-    with_b = pairs.select("a", "b").join(sets.select(F.col("sid").alias("b"), F.col("toks").alias("tb")), "b")
-    both = with_b.join(sets.select(F.col("sid").alias("a"), F.col("toks").alias("ta")), "a")
-    return both.select("a", "ta", "b", "tb").mapInArrow(check, "a long, b long").distinct()
 
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of the sets: products of their incidence matrix, made over
-    a few thousand hashes at a time, of those only that two sets hold."""
-    size = [len(x) for x in sets]
-    _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    number = np.cumsum(count > 1) - 1
-    held = count[col] > 1
-    row, col = row[held], number[col[held]]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    out, width = np.zeros((len(sets), len(sets)), np.float64), 4096
-    for first in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        a, b = np.searchsorted(col, [first, first + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[row[a:b], col[a:b] - first] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
-
-
-def block_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of links that connect the components of large groups; members: key, sid, c."""
-    n_blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(n_blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.join(sets, "sid").select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "c", "toks")
+def compared(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(sid, other, n): links of each id in the tasks it meets others in, and the smallest
+    id it is tied to there. ``rows``: family, lo, hi, block, sid, families, toks."""
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["sid"].to_numpy(), kind="stable")
-        sid, comp, block = (group[k].to_numpy()[order] for k in ("sid", "c", "block"))
-        toks = [_set(group["toks"][int(i)].as_buffer()).astype(np.uint64) for i in order]
-        n, o = np.array([len(t) for t in toks]), overlaps(toks)
-        ok = den * o >= num * (n[:, None] + n[None, :] - o)
-        ok &= comp[:, None] != comp[None, :]
-        if group["lo"][0].as_py() != group["hi"][0].as_py():
-            ok &= block[:, None] != block[None, :]
-        parent: dict[int, int] = {}
-
-        def find(x):
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
-        out = []
-        for i, j in zip(*np.nonzero(np.triu(ok, 1)), strict=True):
-            x, y = find(int(comp[i])), find(int(comp[j]))
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                out.append((int(sid[i]), int(sid[j])))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+        group = group.take(np.argsort(group["sid"].to_numpy(), kind="stable"))
+        sid, block = group["sid"].to_numpy(), group["block"].to_numpy()
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        toks = _hashes(group["toks"])
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        ok = trie_join([toks[i] for i in left], [toks[i] for i in right], num, den)
+        families = [np.array(x.as_py(), np.int64) for x in group["families"]]
+        ok &= ~_seen_before(families, group["family"][0].as_py())[np.ix_(left, right)]
+        if lo == hi:
+            np.fill_diagonal(ok, False)
+        a, b = (x for x in np.nonzero(ok))
+        n = np.bincount(left[a], minlength=len(sid))
+        if lo != hi:
+            n = n + np.bincount(right[b], minlength=len(sid))
+        root = _tied(left[a], right[b], len(sid))
+        has = n > 0
+        return pa.table({"sid": pa.array(sid[has]), "other": pa.array(sid[root[has]]), "n": pa.array(n[has], pa.int64())})
+
+    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "sid long, other long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b): root is the smallest node reachable.
 
     Large-star and small-star steps in turn: every node's neighbours are tied to the
-    smallest of them, until all edges are stars. Each step is cut by a checkpoint."""
+    smallest of them, until all edges are stars. Each step is cut by a checkpoint, and the
+    one before is deleted."""
 
     def step(e: DataFrame, larger: bool) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else e
@@ -199,87 +218,38 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
-        e = cut(step(step(e, True), False))
+        before, e = e, cut(step(step(e, True), False))
+        drop_cut(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
 
 
-def _close(n: Column, m: Column, num: int, den: int) -> Column:
-    """Sizes so different that the pair can't be similar are left out."""
-    return F.least(n, m) * den >= F.greatest(n, m) * num
-
-
-def one_key_for_each_group(members: DataFrame) -> DataFrame:
-    """``members`` without keys held by one id only, and with one key for equal groups."""
-    h = lambda seed: F.bit_xor(F.xxhash64(F.col("sid"), F.lit(seed)))
-    groups = members.groupBy("key").agg(F.count("*").alias("c"), h(1).alias("x"), h(2).alias("y")).where("c > 1")
-    return members.join(groups.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-
-
-def link(members: DataFrame, sets: DataFrame, num: int, den: int, leaders=LEADERS) -> DataFrame:
-    """(sid, root) of every id in a class of two or more; root is its smallest id.
+def families(members: DataFrame) -> DataFrame:
+    """(sid, families): of each id the families it is in, as (family, blocks), sorted.
 
     ``members``: distinct (key, sid, n), n the size of the set."""
-    spark = members.sparkSession
-    profs = cut(profiles(sets))
-    group, links, done, root = cut(one_key_for_each_group(members)), None, None, None
-    for k in (*leaders, None):
-        m = group.select("key", "sid", "n")
-        m = m.join(root.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root") if root is not None else m.withColumn("c", F.col("sid"))
-        mixed = m.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        group = cut(m.join(mixed, "key", "left_semi").select("key", "sid", "n", "c"))
-        if group.isEmpty():
-            break
-        if k:
-            slot = F.pmod(F.xxhash64("sid", F.lit(k)), F.lit(k))
-            lead = group.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("sid", "n", "c")).alias("l"))
-            both = group.join(lead.select("key", "l"), "key").select("sid", "n", "c", F.col("l.sid").alias("sid2"), F.col("l.n").alias("n2"), F.col("l.c").alias("c2"))
-            both = both.where(F.col("sid") != F.col("sid2"))
-        else:
-            size = group.groupBy("key").agg((F.count("*") <= SMALL).alias("small"))
-            small = group.join(size.where("small"), "key", "left_semi")
-            other = small.select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            both = small.join(other, "key").where(F.col("sid") < F.col("sid2"))
-        pairs = both.where((F.col("c") != F.col("c2")) & _close(F.col("n"), F.col("n2"), num, den)).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        done = pairs if done is None else done.union(pairs)
-        found = verified(cut(possible(pairs, profs, num, den)), sets, num, den)
-        if not k:
-            found = found.union(block_links(group.join(size.where("not small"), "key", "left_semi"), sets, num, den))
-        found = cut(found)
-        links = found if links is None else links.union(found)
-        root = components(links)
-    if links is None:
-        return spark.createDataFrame([], "sid long, root long")
-    return root.select(F.col("node").alias("sid"), "root")
-
-
-def link_counts(classes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(sid, n_links) of every id of ``classes`` (sid, root, n): with how many others of its
-    class it has den * intersection >= num * union. No id of another class has that."""
-    ids = F.greatest(F.ceil(F.count("*") / COUNT_BLOCK), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
-    size = classes.groupBy("root").agg(F.count("*").alias("ids"), ids.alias("blocks"))
-    sized = classes.join(size, "root")
-    dealt = sized.where("ids > 2").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.join(sets, "sid").select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "toks")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.take(np.unique(group["sid"].to_numpy(), return_index=True)[1])  # rows of ``sets`` may repeat
-        block = group["block"].to_numpy()
-        toks = [_set(x.as_buffer()).astype(np.uint64) for x in group["toks"]]
-        n, o = np.array([len(x) for x in toks]), overlaps(toks)
-        ok = den * o >= num * (n[:, None] + n[None, :] - o)
-        if group["lo"][0].as_py() != group["hi"][0].as_py():
-            ok &= block[:, None] != block[None, :]
-        else:
-            np.fill_diagonal(ok, False)
-        return pa.table({"sid": group["sid"], "n": pa.array(ok.sum(axis=1), pa.int64())})
-
-    # both ids of a class of two have one link, the one that makes it a class
-    two = sized.where("ids = 2").select("sid", F.lit(1).cast("long").alias("n"))
-    many = rows.groupBy("root", "lo", "hi").applyInArrow(run, "sid long, n long")
-    return two.union(many).groupBy("sid").agg(F.sum("n").alias("n_links"))
+    hashed = F.struct(F.xxhash64("sid").alias("h"), "sid")
+    # cut, so that a join on a hot key is one that can be split at run time
+    name = cut(members.groupBy("key").agg(F.min(hashed)["sid"].alias("family"), F.count("*").alias("ids")).where("ids > 1").select("key", "family"))
+    rows = cut(members.join(name, "key").select("family", "sid", "n").distinct())
+    drop_cut(name)
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_IDS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
+    # one row in BLOCK_IDS at most, each for SALTS keys
+    large = rows.groupBy("family").agg(blocks.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).join(large, ["family", "salt"], "left")
+    return dealt.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("family", F.coalesce("blocks", F.lit(1)).alias("blocks")))).alias("families"))
+
+
+def link(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """((sid, n_links), (sid, root)) of every id with a link; root is the smallest id of its class.
+
+    ``members``: distinct (key, sid, n); ``sets``: one row for each sid that a key holds."""
+    own = families(members).join(sets.select("sid", "toks"), "sid")
+    each = own.select("sid", F.col("families.family").alias("families"), "toks", F.explode("families").alias("f")).select("sid", "families", "toks", "f.family", "f.blocks")
+    dealt = each.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "families", "toks")
+    found = cut(compared(rows, num, den))
+    root = components(found.select(F.col("sid").alias("a"), F.col("other").alias("b")))
+    return found.groupBy("sid").agg(F.sum("n").alias("n_links")), root.select(F.col("node").alias("sid"), "root")

@@ -6,13 +6,14 @@ a table of ``2 ** SKETCH_BITS`` counters). Similar sets share n-grams within the
 of that order. Of n n-grams the prefix has ``n - ceil(t * n) + 1 + e`` with e a twentieth
 of n, so that a similar pair shares more than e' of them, e' being the smaller set's e; a
 set with fewer n-grams in its prefix that any other prefix has is left out. N-grams in
-prefixes of several ids give the candidate groups, whose sets are joined in a prefix tree
+prefixes of several ids give the candidate groups, whose sets are joined in prefix trees
 (see ``linking``).
 
 Defined results: a document without words or with a null text has an empty set and is
 linked with nothing; fewer words than n make one n-gram of the whole sequence; a null id
 has a null component and links nothing; repeated rows get the same component; an empty
-table gives no rows. n_links is the number of different sets that are similar to a row's
+table gives no rows. Very long texts are taken whole; other columns aren't read, whatever
+their names. n_links is the number of different sets that are similar to a row's
 own, exact copies counting as one. Ids of sets are 64-bit fingerprints: among a thousand million
 different sets two are expected to agree with a chance of 3 %.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
-from quillspark.llm.common import cut, table, written
-from quillspark.llm.linking import link, link_counts
+from quillspark.llm.common import cut, table
+from quillspark.llm.linking import link
 from quillspark.llm.textkit import chunks, mix64, shingle_sets, windows, words
 
 N = 4
@@ -90,9 +91,8 @@ def order_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > mean + 8 * np.sqrt(mean) + 8, counts, 0)
 
 
-def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, counted: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id and, where ``counted``, n_links of every row of
-    ``docs`` (doc_id, text)."""
+def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     member = cut(membership(docs, n))
     known = member.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -116,7 +116,6 @@ def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, counted
     # the smallest similar set has ceil(t * n) n-grams, and shares one more than its extra
     least = 1 + F.floor(F.ceil(F.col("n") * num / den) / EXTRA)
     active = cut(group.groupBy("sid").count().join(sets_of, "sid").where(F.col("count") >= least).select("sid", "n", "rep"))
-    group = group.join(active.select("sid", "n"), "sid")
     wanted = active.select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"))
 
     def hashed(batches):
@@ -127,20 +126,18 @@ def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN, counted
                     rows.append((int(want[i]), x.astype(">u8").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sid", "toks"])
 
-    sets = written(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary"))
-    linked = link(group, sets, num, den)
+    # rows of one id may repeat, so a set may come several times
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"])
+    links, linked = link(group.join(active.select("sid", "n"), "sid"), sets, num, den)
     root = sets_of.join(linked, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = root.join(least, "root").select("sid", "component_id")
-    if counted:
-        final = final.join(link_counts(linked.join(active.select("sid", "n"), "sid"), sets, num, den), "sid", "left")
+    final = root.join(least, "root").select("sid", "component_id").join(links, "sid", "left")
     empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
-    links = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if counted else []
     return member.join(final, "sid", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNull(), None).when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        *links,
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
     )
 
 
@@ -149,7 +146,7 @@ def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Dat
 
     Rows are told apart by doc_id, so rows that repeat the smallest id all stay; documents
     without words, or with a null id, stay as they are."""
-    found = similar(docs, n, num, den, counted=False)
+    found = similar(docs, n, num, den)
     losers = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(losers, "doc_id", "left_anti")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
-from quillspark.llm.common import cut, table, written
+from quillspark.llm.common import cut, table
 from quillspark.llm.linking import link
 from quillspark.llm.textkit import NOT_SPACE, chunks, mix64, windows, words
 
@@ -129,7 +129,7 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
                 t = [mix64(np.bitwise_xor.reduce(mix64(m[b * ROWS : (b + 1) * ROWS] + np.arange(ROWS, dtype=np.uint64)[:, None]), axis=0) + np.uint64(b)) for b in range(bands)]
                 yield np.concatenate(t), np.tile(sid, bands), None
 
-    lines = written(paragraphs(docs))
+    lines = cut(paragraphs(docs))
     distinct = cut(lines.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     group = shared(docs, entries, lines.count() * bands)
     # the sets of the ids in candidate groups, from one document of each
@@ -148,9 +148,9 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
                         toks.append(x.shingles(i).astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(toks, pa.binary())], ["sid", "toks"])
 
-    sets = written(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"]))
+    sets = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"]))
     group = group.join(sets.select("sid", (F.octet_length("toks") / 8).cast("int").alias("n")), "sid")
-    linked = link(group, sets, num, den)
+    _, linked = link(group, sets, num, den)
     again = distinct.join(linked, "sid", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("sid", F.coalesce("root", "sid").alias("class"))
     return lines.join(again, "sid").select("class", "doc_id", "a", "b")
 

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,12 +151,49 @@ def test_ngram_join_counts_all_links(spark, monkeypatch):
     want = {i: sum(alike(x, y) for y in set(sets) if y != x) for i, x in enumerate(sets)}
     assert {1, 2} < set(want.values()) and max(want.values()) > 5
     rows = [*enumerate(texts), (0, texts[0])]
-    for block in (1024, 4):
-        monkeypatch.setattr(linking, "COUNT_BLOCK", block)
+    for block in (512, 4):
+        monkeypatch.setattr(linking, "BLOCK_IDS", block)
         got = ngram_join.similar(docs(spark, rows)).collect()
         assert len(got) == len(rows) and {r["doc_id"]: r["n_links"] for r in got} == want
 
 
+def test_prefix_tree_matches_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 2**63, 60, np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.05 * (i % 5), rng.integers(1, 2**63, 60, np.uint64), base)[: rng.integers(40, 61)]) for i in range(80)]
+    sets += [base[:1], rng.integers(1, 2**63, 3000, np.uint64), sets[0].copy()]
+    sets = [np.unique(x) for x in sets]
+    both = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    size = np.array([len(x) for x in sets])
+    want = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    assert 200 < want.sum() < want.size / 2
+    assert np.array_equal(linking.trie_join(sets, sets, 85, 100), want)
+    assert np.array_equal(linking.trie_join(sets[:7], sets[20:], 85, 100), want[:7, 20:])
+
+
+def test_ngram_join_of_a_large_open_group(spark, monkeypatch):
+    """300 different near copies of which few are alike, 50 repeated rows, a very long text."""
+    rng = random.Random(31)
+    base, out = sentence(rng, 60).split(), []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [*enumerate(out), *[(7, out[7])] * 50, (400, long), (401, long + " end")]
+    want, sizes = plain_components([*enumerate(out), (400, long), (401, long + " end")])
+    sets = {i: shingles(t) for i, t in rows}
+    distinct = set(sets.values())
+    alike = {x: sum(100 * len(x & y) >= 85 * len(x | y) for y in distinct if y != x) for x in distinct}
+    assert len(set(want.values())) > 20 and max(alike.values()) > 20
+    for block in (512, 60):
+        monkeypatch.setattr(linking, "BLOCK_IDS", block)
+        got = ngram_join.similar(docs(spark, rows)).collect()
+        assert len(got) == len(rows)
+        assert all(r["component_id"] == want[r["doc_id"]] and r["n_shingles"] == sizes[r["doc_id"]] and r["n_links"] == alike[sets[r["doc_id"]]] for r in got)
+
+
 def test_ngram_join_edges(spark):
     d = docs(spark, [(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (5, "A b C d e")])
     got = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.similar(d).collect()), key=str)
