@@ -52,7 +52,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     """(text, y) of at most ``limit`` labelled documents, drawn by a hash of doc_id.
 
     Several labels of one document count as their largest; null labels and ids are left
-    out. The ids (at most ``limit``) are the broadcast side, so no text is shuffled."""
+    out. The ids (at most ``limit``) are the broadcast side, so only their texts are moved:
+    of rows that repeat an id the least text counts, once, so ``limit`` bounds rows too."""
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep)
         .groupBy("doc_id")
@@ -60,4 +61,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")

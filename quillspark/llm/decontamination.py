@@ -13,7 +13,10 @@ words, so what one pass ships to the tasks has a fixed size however large it gro
 
 Defined results: a null or empty text has no words and is clean; an item without words
 has no windows; items with a null id or equal text each count by themselves (a null id
-is left out of the list of ids); repeated documents are judged alike, each by itself.
+is left out of the list of ids); ids may be of any type; repeated
+documents are judged alike, each by itself; an empty table gives no rows; very long texts
+are scanned whole; other columns stay, whatever their names. Words are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from quillspark.llm.common import table
 from quillspark.llm.textkit import ALNUM, chunks, lists, structs, windows, words
@@ -33,7 +38,8 @@ SHINGLE = 5
 BLOCK_WORDS = 200_000
 MIN_SHARE = 20  # contaminated where MIN_SHARE * n_hit >= n_words
 
-SPANS = "struct<n_words long, starts array<long>, ends array<long>, items array<long>>"
+def _spans(item: DataType) -> str:
+    return f"struct<n_words long, starts array<long>, ends array<long>, items array<{item.simpleString()}>>"
 
 
 @dataclass
@@ -42,11 +48,11 @@ class Block:
 
     lengths: np.ndarray
     words: list[np.ndarray]
-    items: list[list[int]]
+    items: list[list]
     shingles: dict[int, np.ndarray]
 
 
-def _block(rows: list[tuple[int | None, str | None]]) -> Block:
+def _block(rows: list[tuple[object, str | None]]) -> Block:
     windows_of: dict[bytes, tuple[np.ndarray, set]] = {}
     col = pa.array([t for _, t in rows], pa.string())
     for chunk in chunks(col):
@@ -119,8 +125,9 @@ def shingle_counts(docs: DataFrame, block: Block) -> dict[int, np.ndarray]:
     return out
 
 
-def _scan(block: Block, counts: dict[int, np.ndarray]):
-    """The join of one block as an expression of the text column, of type ``SPANS``."""
+def _scan(block: Block, counts: dict[int, np.ndarray], item: DataType):
+    """The join of one block as an expression of the text column, of type ``_spans(item)``."""
+    kind = pa.list_(to_arrow_type(item))
     prefix: dict[int, dict[int, list[tuple[int, int]]]] = {}
     for i, w in enumerate(block.words):
         m = min(SHINGLE, len(w))
@@ -132,7 +139,7 @@ def _scan(block: Block, counts: dict[int, np.ndarray]):
     keys = {m: np.array(sorted(p), np.uint64) for m, p in prefix.items()}
     held = {m: [prefix[m][int(k)] for k in ks] for m, ks in keys.items()}
 
-    @F.arrow_udf(SPANS)
+    @F.arrow_udf(_spans(item))
     def scan(text: pa.Array) -> pa.Array:
         finds = {m: _Lookup(k) for m, k in keys.items()}
         parts = []
@@ -161,22 +168,24 @@ def _scan(block: Block, counts: dict[int, np.ndarray]):
                         merged.append([a, b])
                 starts.append(np.array([a for a, _ in merged], np.int64))
                 ends.append(np.array([b for _, b in merged], np.int64))
-                names.append(np.array(sorted(items.get(d, ())), np.int64))
-            parts.append(structs(n_words=np.diff(w.wo).astype(np.int64), starts=lists(starts, pa.int64()), ends=lists(ends, pa.int64()), items=lists(names, pa.int64())))
+                names.append(sorted(items.get(d, ())))
+            parts.append(structs(n_words=np.diff(w.wo).astype(np.int64), starts=lists(starts, pa.int64()), ends=lists(ends, pa.int64()), items=pa.array(names, kind)))
         return pa.concat_arrays(parts)
 
     return scan.asNondeterministic()
 
 
-def _count_words():
+def _count_words(item: DataType):
     """What ``_scan`` gives where there is nothing to find."""
 
-    @F.arrow_udf(SPANS)
+    kind = pa.list_(to_arrow_type(item))
+
+    @F.arrow_udf(_spans(item))
     def count(text: pa.Array) -> pa.Array:
         parts = []
         for chunk in chunks(text):
             none = lists([np.zeros(0, np.int64)] * len(chunk), pa.int64())
-            parts.append(structs(n_words=np.diff(words(chunk, ALNUM, lower=True).wo).astype(np.int64), starts=none, ends=none, items=none))
+            parts.append(structs(n_words=np.diff(words(chunk, ALNUM, lower=True).wo).astype(np.int64), starts=none, ends=none, items=pa.array([[]] * len(chunk), kind)))
         return pa.concat_arrays(parts)
 
     return count
@@ -194,17 +203,18 @@ def _add(a, b):
 def contamination(docs: DataFrame, benchmark: DataFrame, name: str = "hits", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` and a struct column ``name``: n_words, n_hit, items, contaminated."""
     tmp = "_" * (1 + max(map(len, docs.columns), default=0))
+    item = benchmark.schema["item_id"].dataType
     out, first = docs, True
     for block in _blocks(benchmark, block_words):
         if not len(block.lengths):
             continue
-        hit = _scan(block, shingle_counts(docs, block))(F.col("text"))
+        hit = _scan(block, shingle_counts(docs, block), item)(F.col("text"))
         out = out.withColumn(tmp, hit if first else F.struct(F.col(tmp).alias("a"), hit.alias("b")))
         if not first:
             out = out.withColumn(tmp, _add(F.col(tmp)["a"], F.col(tmp)["b"]))
         first = False
     if first:
-        out = out.withColumn(tmp, _count_words()(F.col("text")))
+        out = out.withColumn(tmp, _count_words(item)(F.col("text")))
     s = F.col(tmp)
     # union of the blocks' spans: sorted by start, each adds what lies beyond the furthest end so far
     n_hit = F.aggregate(

@@ -12,7 +12,9 @@ hash of doc_id); counting and prediction cover every whole text.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or if no
 language was learned; a null language teaches nothing; with one learned language that one
-is predicted with score 1; repeated rows are predicted alike; extra columns are untouched.
+is predicted with score 1; repeated rows are predicted alike and teach once for each id
+(the least text); very long texts are taken whole; an empty table teaches nothing and gives
+no rows; extra columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -142,7 +144,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, langs: list[st
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """``docs``: (doc_id, text, lang), all of them open to training."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = known.select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).orderBy("h", "doc_id").limit(sample_docs)
+    # rows that repeat an id count once, so the bound holds for rows too
+    ids = known.select("doc_id").distinct().select("doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h")).orderBy("h", "doc_id").limit(sample_docs)
 
     def described(batches):
         for batch in batches:
@@ -156,7 +159,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                     share.append((c / max(c.sum(), 1)).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(share, pa.binary()), batch.column(1).slice(chunk.first, len(chunk)), batch.column(2).slice(chunk.first, len(chunk))], ["at", "share", "lang", "h"])
 
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang", "h")
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "h").agg(F.min(F.struct("text", "lang")).alias("r"))
+    sample = rows.select("r.text", "r.lang", "h")
     got = sample.mapInArrow(described, "at binary, share binary, lang string, h long").toArrow().to_pylist()
     got.sort(key=lambda r: (r["h"], r["at"], r["lang"]))  # the order of training is fixed
     langs = sorted({r["lang"] for r in got})
@@ -169,7 +173,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
 
 def _letters() -> np.ndarray:
-    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x30000)] , bool)
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(sys.maxunicode + 1)], bool)
 
 
 def predictor(model: Model):
@@ -181,7 +185,7 @@ def predictor(model: Model):
         parts = []
         for chunk in chunks(text):
             grams, off, cp = _grams(chunk)
-            has_letter = _per_doc(letter[np.minimum(cp, len(letter) - 1)], off) > 0
+            has_letter = _per_doc(letter[cp], off) > 0
             if not model.langs:
                 parts.append(structs(lang=pa.array([UNKNOWN] * len(chunk)), score=np.zeros(len(chunk))))
                 continue

@@ -7,7 +7,8 @@ The order changes the cost and the reported rule, never whether a document is ke
 
 Defined results: a null or empty text has no words, so all counts are 0, the word-count
 base rule fails and it is not kept. Repeated rows are judged alike, each by itself. Rows
-with a null id are kept as rows. Extra columns are untouched, whatever their names.
+with a null id are kept as rows. An empty table gives no rows. Very long texts are counted
+whole, one at a time. Extra columns are untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ _LETTER |= np.isin(np.arange(256) | 0x20, np.arange(0x61, 0x7B))
 class Facts:
     """Counts of one chunk's documents, each made when first asked for."""
 
-    def __init__(self, chunk: Chunk):
-        self.chunk, self._memo = chunk, {}
+    def __init__(self, chunk: Chunk | None, memo: dict | None = None):
+        self._memo = dict(memo or {})
+        if chunk is not None:
+            self._memo["chunk"] = chunk
 
     def __getattr__(self, name: str):
         if name.startswith("_") or name not in _FACTS:
@@ -48,6 +51,13 @@ class Facts:
             self._memo[name] = _FACTS[name](self)
         return self._memo[name]
 
+    def only(self, keep: np.ndarray) -> Facts:
+        """Of some of the documents: counts already made are kept, others are made for them
+        alone, and their bytes are only copied once such a count is asked for."""
+        out = Facts(None, {k: v[keep] for k, v in self._memo.items() if k in COUNTS})
+        out._memo["whole"], out._memo["keep"] = self, keep
+        return out
+
 
 def _per_doc(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
@@ -106,7 +116,12 @@ def _letter_words(f: Facts) -> np.ndarray:
     return _per_doc(held, w.wo)
 
 
+#: Facts with one number for each document.
+COUNTS = ("n_words", "n_lines", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letter_words")
+BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 _FACTS: dict[str, Callable[[Facts], np.ndarray]] = {
+    "chunk": lambda f: _subset(f._memo["whole"].chunk, f._memo["keep"]),
     "words": lambda f: words(f.chunk),
     "hash": lambda f: f.words.hashes(),
     "lines": _lines,
@@ -150,8 +165,9 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample_docs: int = SAMPLE_DOCS) -
     The sample has the ``sample_docs`` smallest hashes of doc_id, so that it is drawn from
     all documents; only ids are sorted and broadcast, and no text is moved. Each rule is
     timed on it from scratch, in the tasks. Without ids the rules keep their given order."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    # rows that repeat an id count once
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     names = [r.name for r in rules]
 
     def timed(batches):
@@ -172,8 +188,10 @@ def plan_cascade(docs: DataFrame, rules=RULES, sample_docs: int = SAMPLE_DOCS) -
 def judge(order: list[str], rules=RULES, counts: bool = True):
     """The cascade as an expression of the text column.
 
-    Gives kept and the name of the rule that rejected the text. With ``counts`` it also
-    gives the base counts, which then are made for all texts and not for survivors only."""
+    Gives kept and the name of the rule that rejected the text (which depends on timings,
+    so no result may hold it). Each rule sees only the texts that all earlier rules kept.
+    With ``counts`` the base counts are made first, for all texts, and given out too; rules
+    then find those counts made, and what else they need is counted for survivors only."""
     by_name = {r.name: r for r in rules}
     chain = [by_name[n] for n in order]
     fields = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " if counts else ""
@@ -183,20 +201,18 @@ def judge(order: list[str], rules=RULES, counts: bool = True):
         parts = []
         for chunk in chunks(text):
             n = len(chunk)
-            full = Facts(chunk) if counts else None
-            alive, by = np.arange(n), np.full(n, None, object)
-            facts = full or Facts(chunk)
+            alive, by, facts = np.arange(n), np.full(n, None, object), Facts(chunk)
+            cols = {k: getattr(facts, k) for k in BASE_COUNTS} if counts else {}
             for rule in chain:
                 if not len(alive):
                     break
-                gone = rule.rejects(facts)[alive] if counts else rule.rejects(facts)
+                gone = rule.rejects(facts)
                 by[alive[gone]] = rule.name
                 alive = alive[~gone]
-                if not counts and gone.any() and len(alive):
-                    facts = Facts(_subset(facts.chunk, ~gone))
+                if gone.any() and len(alive):
+                    facts = facts.only(~gone)
             kept = np.zeros(n, bool)
             kept[alive] = True
-            cols = {k: getattr(full, k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} if counts else {}
             parts.append(structs(**cols, kept=kept, rejected_by=pa.array(by, pa.string())))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([]))
 

@@ -4,20 +4,25 @@ A sentence's probability is a logistic function of its words' weights. A documen
 toxic unless every sentence is clean and no unseen cause acts (a leaky noisy-or):
 ``P = 1 - (1 - leak) * prod(1 - p_sentence)``. The leak takes up labels that no sentence
 explains. A sentence's probability is what its words add to log odds of ``BIAS``: one without
-weighted words has 0, so length alone doesn't make a clean document toxic. Weights and leak are fitted to document labels alone, by AdaGrad with an L1 penalty. The fitted
-sentence model then names the offending sentences.
+weighted words has 0, so length alone doesn't make a clean document toxic. Weights and leak
+are fitted to document labels alone, by AdaGrad with an L1 penalty. The fitted sentence
+model then names the offending sentences.
 
 The fit takes at most ``SAMPLE_DOCS`` labelled documents (a documented bound, drawn by a
-hash of doc_id); tasks hash and count their words and pass on those with evidence. Scoring covers every whole text.
+hash of doc_id); tasks hash and count their words and pass on those with evidence, so the
+driver holds numbers of learned words and no text. Scoring covers every whole text.
 
 Defined results: null, empty and word-less texts score the leak; null labels teach
-nothing; without labels of both kinds all weights are 0; repeated rows score alike.
-Extra columns are untouched, whatever their names.
+nothing; without labels of both kinds all weights are 0 and the leak is the share of label
+1 (0.05 without any); repeated rows score alike and teach once for each id (the least text);
+very long texts are scored whole, one at a time; an empty table gives no rows. Extra columns
+are untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -95,13 +100,14 @@ def evidence(docs_with: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.
     return used, -BIAS * np.minimum(odds / 4, 1) / (1 + len(STEMS))
 
 
-def fit(features: list[np.ndarray], sentences: list[np.ndarray], y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and leak, from weights ``w``. ``features``: numbers of the features in each
-    document; ``sentences``: the sentence of each, numbered in its document."""
+def fit(flat: np.ndarray, sent: np.ndarray, size: np.ndarray, y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and leak, from weights ``w``. ``flat``: numbers of the features of all
+    documents in turn; ``size``: how many each has; ``sent``: the sentence of each feature,
+    numbered in its document from 0 on without a gap, in order."""
     n, base = len(y), float(np.clip(y.mean(), 1e-3, 0.999))
-    flat = np.concatenate(features)
-    sent_of = np.array([x[-1] + 1 if len(x) else 0 for x in sentences])
-    sent = np.concatenate(sentences) + np.repeat(np.cumsum(sent_of) - sent_of, [len(x) for x in sentences])
+    has, last = size > 0, np.cumsum(size) - 1
+    sent_of = np.where(has, sent[np.maximum(last, 0)] + 1 if len(sent) else 0, 0).astype(np.int64)
+    sent = sent + np.repeat((np.cumsum(sent_of) - sent_of).astype(np.int32), size)
     sent_doc, s = np.repeat(np.arange(n), sent_of), int(sent_of.sum())
     lk = np.log(base / (1 - base)) - 0.5
     # A document's part in a gradient is up to 1 / n. Sums that start far below make steps
@@ -124,7 +130,7 @@ def fit(features: list[np.ndarray], sentences: list[np.ndarray], y: np.ndarray,
         dl = (factor * leak).sum()
         gl += dl**2
         lk -= 0.1 * dl / np.sqrt(gl)
-    return w, float(min(_sigmoid(lk), 0.9 * THRESHOLD))
+    return w, float(_sigmoid(lk))
 
 
 def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -171,19 +177,21 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample_docs: int = SAMPLE_DO
             for chunk in chunks(batch.column(0)):
                 w, feature, first = _sentences(chunk)
                 of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
-                f, s = [], []
+                pairs, size = [], []
                 for a, b in zip(w.wo[:-1], w.wo[1:], strict=True):
                     at = number[feature[a:b]]
                     _, k = np.unique(np.broadcast_to(of[a:b, None], at.shape)[at >= 0], return_inverse=True)
-                    f.append(at[at >= 0].tobytes())
-                    s.append(k.astype(np.int32).tobytes())
+                    pairs.append(np.stack([at[at >= 0], k.astype(np.int32)]).tobytes())
+                    size.append(len(k))
                 y = batch.column(1).slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), pa.array(s, pa.binary()), y], ["f", "s", "y"])
-
-    got = sample.mapInArrow(numbered, "f binary, s binary, y int").toArrow().to_pydict()
-    rows = sorted(zip(*(got[k] for k in ("f", "s", "y")), strict=True))  # sums don't depend on the order of rows
-    f, s = ([np.frombuffer(r[i], np.int32) for r in rows] for i in (0, 1))
-    weight, model.leak = fit(f, s, (np.array([r[2] for r in rows]) > 0).astype(np.float64), start)
+                yield pa.RecordBatch.from_arrays([pa.array([crc32(p) for p in pairs], pa.int64()), pa.array(size, pa.int32()), y, pa.array(pairs, pa.binary())], ["h", "size", "y", "pairs"])
+
+    # sums don't depend on the order in which rows come
+    got = sample.mapInArrow(numbered, "h long, size int, y int, pairs binary").toArrow().combine_chunks().sort_by([("h", "ascending"), ("size", "ascending"), ("y", "ascending")])
+    size = got["size"].to_numpy().astype(np.int64)
+    both = [np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in got["pairs"]]
+    flat, sent = (np.concatenate([p[i] for p in both]) for i in (0, 1))
+    weight, model.leak = fit(flat, sent, size, (got["y"].to_numpy() > 0).astype(np.float64), start)
     model.weight[used] = weight
     return model
 
@@ -228,5 +236,5 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (remainder(F.col("doc_id"), 4) == 2).alias("held_out"),
         F.col("t.score").alias("score"),
         (F.col("t.score") >= THRESHOLD).cast("int").alias("predicted"),
-        F.size("t.sentences").alias("n_offending"),
+        F.transform("t.sentences", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"))).alias("offending"),
     )
