@@ -1,37 +1,42 @@
 """Exact similarity links and classes from candidate groups, compared in prefix trees.
 
-Input are groups of ids that may be similar (``members``: key, sid, n) and the ids' sets
-of hashes (``sets``: sid, toks). Wanted are, for all pairs that share a key and whose
+Input are groups of ids that may be similar (``members``: key, sid, n; n is the size of the
+id's set) and the ids' sets of hashes (``sets``: sid, toks). Wanted are, for all pairs that share enough keys and whose
 Jaccard similarity is high enough, the number of links of each id and the connected
 components.
 
 Groups of copies share many keys, so comparing key by key would move and compare them again
-for each. Every group is named by its member of least hash, and groups of one name are one
-family: groups with nearly the same members nearly always get the same name. A pair that
-meets in several families counts in the first of them only. Families of any size are
-compared in the same way: they are dealt into blocks of about ``BLOCK_IDS`` ids or
-``BLOCK_HASHES`` hashes, and a task has two blocks. So no task holds more than two blocks
-of a family, no pair is written anywhere, and what a task gives out is one row for each
-linked id: how many links it has there, and the smallest id it is tied to there.
-
-Two blocks are compared by a prefix tree: the sets of one, ordered by how common their
-hashes are in the blocks (the commonest first, so that similar sets share long paths), form
-a tree whose edges hold runs of hashes. All sets of the other block walk it together, level
-by level: the overlap along a shared path is counted once for all sets below it, and a
-subtree is left as soon as its sizes don't fit, or what remains on either side can't reach
-the overlap that its smallest set needs.
+for each. Groups of equal members are one group that weighs as many keys. Every group is
+named by its member of least hash, and groups of one name are one family: groups with nearly
+the same members nearly always get the same name. A pair that meets in several families
+counts in the first of them only. Families of any size are treated in the same way: they are
+dealt into blocks of about ``BLOCK_IDS`` ids or ``BLOCK_HASHES`` hashes, and a task has two
+blocks. So no task holds more than two blocks of a family, and no pair is written anywhere.
+
+First only the groups' names are moved: a member stays in its family if it shares enough keys
+with another one of a size that fits. Then the sets of those that stay are moved, and the two
+blocks are compared by a prefix tree: the sets of one, ordered by how common their hashes are
+in the blocks (the commonest first, so that similar sets share long paths), form a tree whose
+edges hold runs of hashes. All sets of the other block walk it together, level by level: the
+overlap along a shared path is counted once for all sets below it, and a subtree is left as
+soon as its sizes don't fit, or what remains on either side can't reach the overlap that its
+smallest set needs. What a task gives out is one row for each linked id: how many links it
+has there, and the smallest id it is tied to there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, drop_cut
 
-BLOCK_IDS, BLOCK_HASHES = 512, 1 << 20
+BLOCK_IDS, BLOCK_HASHES = 256, 1 << 20
 #: Cells of the table (probes x hashes) that the tree's walkers are looked up in, and hashes
 #: that a step of the walk looks up at once.
 TABLE, STEP = 1 << 23, 1 << 21
@@ -145,21 +150,33 @@ def trie_join(probes: list[np.ndarray], items: list[np.ndarray], num: int, den:
     return out
 
 
-def _hashes(col: pa.ChunkedArray) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), ">u8").astype(np.uint64) for x in col]
+def _overlaps(row: np.ndarray, name: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the names that each two of n rows both hold, a few thousand names at a time."""
+    _, col, count = np.unique(name, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    held = count[col] > 1
+    row, col, weight = row[held], number[col[held]], weight[held]
+    order = np.argsort(col, kind="stable")
+    row, col, weight = row[order], col[order], weight[order]
+    out, width = np.zeros((n, n), np.float32), 4096
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+        a, b = np.searchsorted(col, [first, first + width])
+        m = np.zeros((n, min(width, int(col[-1]) + 1 - first)), np.float32)
+        m[row[a:b], col[a:b] - first] = np.sqrt(weight[a:b])
+        out += m @ m.T
+    return out
+
+
+def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Row numbers and values of a list column."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.repeat(np.arange(len(col)), pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)), col.flatten()
 
 
-def _seen_before(families: list[np.ndarray], family: int) -> np.ndarray:
+def _seen_before(row: np.ndarray, families: np.ndarray, family: int, n: int) -> np.ndarray:
     """Pairs of ids that share a family before ``family``: there they are counted."""
-    size = np.array([len(x) for x in families])
-    row, name = np.repeat(np.arange(len(families)), size), np.concatenate(families)
-    row, name = row[name < family], name[name < family]
-    _, col, count = np.unique(name, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    row, col = row[count[col] > 1], number[col[count[col] > 1]]
-    held = np.zeros((len(families), int((count > 1).sum())), np.float32)
-    held[row, col] = 1
-    return held @ held.T > 0
+    pairs = np.unique(np.stack([row, families], axis=1)[families < family], axis=0)
+    return _overlaps(pairs[:, 0], pairs[:, 1], np.ones(len(pairs)), n) > 0.5
 
 
 def _tied(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -175,24 +192,47 @@ def _tied(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
+def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of the table are of its two blocks, and which pairs of them are to be compared."""
+    block, lo, hi = group["block"].to_numpy(), group["lo"][0].as_py(), group["hi"][0].as_py()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    return left, right, left[:, None] != right[None, :]
+
+
+def staying(rows: DataFrame, num: int, den: int, need: Callable) -> DataFrame:
+    """(family, sid, n) of the ids that share at least ``need`` (of the smaller size) keys with
+    another. ``rows``: family, lo, hi, block, sid, n, held."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right, ok = _pairs(group)
+        n = group["n"].to_numpy().astype(np.int64)
+        row, held = _lists(group["held"])
+        keys = _overlaps(row, held.field("g").to_numpy(), held.field("w").to_numpy(), len(n))
+        less, more = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+        ok &= (less * den >= more * num) & (keys[np.ix_(left, right)] + 0.5 >= need(less))
+        if ok.any():
+            ok &= ~_seen_before(row, held.field("family").to_numpy(), group["family"][0].as_py(), len(n))[np.ix_(left, right)]
+        has = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
+        return group.select(["family", "sid", "n"]).take(has)
+
+    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "family long, sid long, n int")
+
+
 def compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(sid, other, n): links of each id in the tasks it meets others in, and the smallest
     id it is tied to there. ``rows``: family, lo, hi, block, sid, families, toks."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.take(np.argsort(group["sid"].to_numpy(), kind="stable"))
-        sid, block = group["sid"].to_numpy(), group["block"].to_numpy()
-        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        toks = _hashes(group["toks"])
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        ok = trie_join([toks[i] for i in left], [toks[i] for i in right], num, den)
-        families = [np.array(x.as_py(), np.int64) for x in group["families"]]
-        ok &= ~_seen_before(families, group["family"][0].as_py())[np.ix_(left, right)]
-        if lo == hi:
-            np.fill_diagonal(ok, False)
-        a, b = (x for x in np.nonzero(ok))
+        sid = group["sid"].to_numpy()
+        left, right, other = _pairs(group)
+        toks = [np.frombuffer(x.as_buffer(), ">u8").astype(np.uint64) for x in group["toks"]]
+        ok = trie_join([toks[i] for i in left], [toks[i] for i in right], num, den) & other
+        row, families = _lists(group["families"])
+        ok &= ~_seen_before(row, families.to_numpy(), group["family"][0].as_py(), len(sid))[np.ix_(left, right)]
+        a, b = np.nonzero(ok)
         n = np.bincount(left[a], minlength=len(sid))
-        if lo != hi:
+        if group["lo"][0].as_py() != group["hi"][0].as_py():
             n = n + np.bincount(right[b], minlength=len(sid))
         root = _tied(left[a], right[b], len(sid))
         has = n > 0
@@ -226,30 +266,51 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def families(members: DataFrame) -> DataFrame:
-    """(sid, families): of each id the families it is in, as (family, blocks), sorted.
-
-    ``members``: distinct (key, sid, n), n the size of the set."""
-    hashed = F.struct(F.xxhash64("sid").alias("h"), "sid")
-    # cut, so that a join on a hot key is one that can be split at run time
-    name = cut(members.groupBy("key").agg(F.min(hashed)["sid"].alias("family"), F.count("*").alias("ids")).where("ids > 1").select("key", "family"))
-    rows = cut(members.join(name, "key").select("family", "sid", "n").distinct())
+def grouped(members: DataFrame) -> DataFrame:
+    """(family, g, w, sid, n): members of groups of two or more; g stands for the w groups that
+    have the same members. ``members``: distinct (key, sid, n), n the size of the set."""
+    h = lambda seed: F.bit_xor(F.xxhash64(F.col("sid"), F.lit(seed)))
+    least = F.min(F.struct(F.xxhash64("sid").alias("h"), "sid"))["sid"]
+    keys = members.groupBy("key").agg(F.count("*").alias("ids"), h(1).alias("x"), h(2).alias("y"), least.alias("family")).where("ids > 1")
+    # cut, so that the join on a hot key is one that can be split at run time
+    name = cut(keys.groupBy("ids", "x", "y").agg(F.min("key").alias("key"), F.count("*").cast("int").alias("w"), F.first("family").alias("family")).select("key", "w", "family"))
+    out = cut(members.join(name, "key").select("family", F.col("key").alias("g"), "w", "sid", F.col("n").cast("int").alias("n")))
     drop_cut(name)
+    return out
+
+
+def with_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (family, sid, n and more) and the number of blocks of their family."""
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_IDS), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int")
     # one row in BLOCK_IDS at most, each for SALTS keys
-    large = rows.groupBy("family").agg(blocks.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).join(large, ["family", "salt"], "left")
-    return dealt.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("family", F.coalesce("blocks", F.lit(1)).alias("blocks")))).alias("families"))
+    large = rows.select("family", "sid", "n").distinct().groupBy("family").agg(blocks.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).join(large, ["family", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).drop("salt")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (family, blocks, sid and more) once for each pair of blocks (lo, hi) of theirs."""
+    each = rows.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def candidates(members: DataFrame, num: int, den: int, need: Callable) -> DataFrame:
+    """(family, sid, n) of all that may have a link; ``link`` needs the sets of these sids only.
 
+    ``members``: distinct (key, sid, n); ``need``: how many keys similar sets share at least,
+    by the size of the smaller one."""
+    rows = grouped(members)
+    held = with_blocks(rows).groupBy("sid", "n").agg(F.collect_list(F.struct("family", "g", "w")).alias("held"), F.collect_set(F.struct("family", "blocks")).alias("f"))
+    first = dealt(held.select("sid", "n", "held", F.explode("f").alias("f")).select("sid", "n", "held", "f.*"))
+    stay = cut(staying(first, num, den, need).distinct())
+    drop_cut(rows)
+    return stay
 
-def link(members: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """((sid, n_links), (sid, root)) of every id with a link; root is the smallest id of its class.
 
-    ``members``: distinct (key, sid, n); ``sets``: one row for each sid that a key holds."""
-    own = families(members).join(sets.select("sid", "toks"), "sid")
-    each = own.select("sid", F.col("families.family").alias("families"), "toks", F.explode("families").alias("f")).select("sid", "families", "toks", "f.family", "f.blocks")
-    dealt = each.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "sid", "families", "toks")
+def link(stay: DataFrame, sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """((sid, n_links), (sid, root)) of every id with a link; root is the smallest id of its
+    class. ``stay``: as ``candidates`` gives it; ``sets``: sid and toks, one row for each sid."""
+    own = with_blocks(stay).groupBy("sid").agg(F.collect_list(F.struct("family", "blocks")).alias("f")).join(sets.select("sid", "toks"), "sid")
+    rows = dealt(own.select("sid", "toks", F.col("f.family").alias("families"), F.explode("f").alias("x")).select("sid", "toks", "families", "x.*"))
     found = cut(compared(rows, num, den))
     root = components(found.select(F.col("sid").alias("a"), F.col("other").alias("b")))
     return found.groupBy("sid").agg(F.sum("n").alias("n_links")), root.select(F.col("node").alias("sid"), "root")

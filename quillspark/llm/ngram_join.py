@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
 from quillspark.llm.common import cut, table
-from quillspark.llm.linking import link
+from quillspark.llm.linking import candidates, link
 from quillspark.llm.textkit import chunks, mix64, shingle_sets, windows, words
 
 N = 4
@@ -115,8 +115,9 @@ def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
     group = shared(docs, prefixes, size * (den - num) // den + size // EXTRA)
     # the smallest similar set has ceil(t * n) n-grams, and shares one more than its extra
     least = 1 + F.floor(F.ceil(F.col("n") * num / den) / EXTRA)
-    active = cut(group.groupBy("sid").count().join(sets_of, "sid").where(F.col("count") >= least).select("sid", "n", "rep"))
-    wanted = active.select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"))
+    active = group.groupBy("sid").count().join(sets_of, "sid").where(F.col("count") >= least).select("sid", "n")
+    stay = candidates(group.join(active, "sid"), num, den, lambda size: 1 + size // EXTRA)
+    wanted = stay.select("sid").distinct().join(sets_of, "sid").select(F.col("rep").alias("doc_id"), F.col("sid").alias("want"))
 
     def hashed(batches):
         for batch in batches:
@@ -128,10 +129,12 @@ def similar(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
 
     # rows of one id may repeat, so a set may come several times
     sets = docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"])
-    links, linked = link(group.join(active.select("sid", "n"), "sid"), sets, num, den)
-    root = sets_of.join(linked, "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
-    least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = root.join(least, "root").select("sid", "component_id").join(links, "sid", "left")
+    links, linked = link(stay, sets, num, den)
+    classes = sets_of.join(linked, "sid").select("sid", "rep", "root")
+    # cut, so that joins on a hot class or a hot set are such that can be split at run time
+    least = cut(classes.groupBy("root").agg(F.min("rep").alias("least")))
+    found = sets_of.join(classes.join(least, "root").select("sid", "least"), "sid", "left").join(links, "sid", "left")
+    final = cut(found.select("sid", F.coalesce("least", "rep").alias("component_id"), "n_links"))
     empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
     return member.join(final, "sid", "left").select(
         "doc_id",

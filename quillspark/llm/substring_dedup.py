@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
 from quillspark.llm.common import cut, table
-from quillspark.llm.linking import link
+from quillspark.llm.linking import candidates, link
 from quillspark.llm.textkit import NOT_SPACE, chunks, mix64, windows, words
 
 SHINGLE = 5
@@ -150,7 +150,7 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
 
     sets = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"]))
     group = group.join(sets.select("sid", (F.octet_length("toks") / 8).cast("int").alias("n")), "sid")
-    _, linked = link(group, sets, num, den)
+    _, linked = link(candidates(group, num, den, np.ones_like), sets, num, den)
     again = distinct.join(linked, "sid", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("sid", F.coalesce("root", "sid").alias("class"))
     return lines.join(again, "sid").select("class", "doc_id", "a", "b")
 
