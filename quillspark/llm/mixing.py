@@ -4,9 +4,14 @@ Every source offers its documents in shuffled order (by a hash of doc_id), and a
 last again from the first, twice over at most. A document's virtual start and finish are
 the words its source has offered before and after it, divided by the source's target. All
 documents are served in the order of virtual finish (a global range sort), until the
-total budget is spent. As the targets sum to the budget, that is at virtual time 1, when
-every source has been served its target exactly: documents that finish by then are taken
-whole, and of the one in service the words up to then.
+total budget is spent. By virtual time v each source has been served v times its target, so
+all together v times the budget: the stream is truncated at virtual time 1, wherever that
+falls in the order. Documents that finish by then are taken whole, and of each one in service
+the words up to then, so every source meets its target to a word.
+
+``stream`` is that stream, truncated: one row for each copy that is served. ``mix`` range-sorts
+it and gives it out. ``op6_mixing`` sums a document's copies, for which their order is of no
+use, so it leaves out the sort.
 
 Targets: the budget is shared by weight; a target stops at twice its source's size and
 the excess is shared anew, until none is above. Sorted by size/weight, capped sources
@@ -17,7 +22,8 @@ within each. So a source with a third of all rows spreads over all tasks.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
 order; an empty table gives no rows; sources without words have target 0; repeated rows
-are served one after the other; equal hashes are ordered by id, then by size.
+are served one after the other; equal hashes are ordered by id, then by size; very long
+texts are counted whole; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -82,13 +88,26 @@ def words_taken(copy: int) -> Column:
 
 
 def finish(copy: int) -> Column:
-    return (F.col("offered") + copy * F.col("source_size")) / F.col("target")
+    return F.try_divide(F.col("offered") + copy * F.col("source_size"), F.col("target"))  # null where nothing is served
+
+
+def copies() -> Column:
+    """The copies of a row of ``served`` in the truncated stream: finish and words of each."""
+    each = F.array(*[F.struct(finish(c).alias("finish"), words_taken(c).alias("words")) for c in range(MAX_REPEATS)])
+    return F.filter(each, lambda x: x["words"] > 0)
+
+
+def stream(rows: DataFrame) -> DataFrame:
+    """``rows`` (from ``served``) once for each copy that is served until the budget ends, with
+    its virtual ``_finish`` and the ``_words`` of it that are taken."""
+    return rows.select("*", F.explode(copies()).alias("_c")).select(*rows.columns, F.col("_c.finish").alias("_finish"), F.col("_c.words").alias("_words"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = served(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    taken = sum((words_taken(c) for c in range(1, MAX_REPEATS)), words_taken(0))
+    # a document's copies stand in one row, so their words are summed without an exchange
+    taken = F.aggregate(copies(), F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
@@ -99,7 +118,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT,
     A document is repeated where its source's target is above its size."""
     names = docs.columns
     packed = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    copies = F.filter(F.array(*[F.when(words_taken(c) > 0, finish(c)) for c in range(MAX_REPEATS)]), lambda x: x.isNotNull())
-    stream = served(packed, weights, budget_percent).select("_row", "doc_id", F.explode(copies).alias("_finish"))
+    served_rows = stream(served(packed, weights, budget_percent)).select("_row", "doc_id", "_finish")
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stream.repartitionByRange(n, "_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").select("_row.*")
+    return served_rows.repartitionByRange(n, "_finish", "doc_id").sortWithinPartitions("_finish", "doc_id").select("_row.*")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, sharding
@@ -107,6 +108,34 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(d.where("false")).count() == 0
 
 
+def test_mixing_is_the_stream_truncated_at_the_budget(spark):
+    """Against a plain fair queue: words served one time step after the other, until the budget
+    is spent; the copies that are served are those of the sorted stream, in its order."""
+    rng = random.Random(16)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(1, 30))), "en", rng.choice(["a", "b", None, "c", "c"]), 0) for i in range(120)]
+    rows += [rows[3]] * 3 + [(500, "long " * 900, "en", "c", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = mixing.served(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    plain = got.collect()
+    budget = 1.5 * sum(r["size"] for r in plain)
+    copies = sorted(((r["offered"] + c * r["source_size"]) / r["target"], str(r["source"]), r["doc_id"], r["size"], r["target"]) for r in plain for c in (0, 1))
+    left, taken, last = budget, [], {}
+    for fin, source, doc, size, target in copies:  # whole copies, in the order of finish
+        if fin <= 1 + 1e-12:
+            left -= size
+            taken.append((doc, size))
+        elif source not in last:
+            last[source] = (doc, target - (fin * target - size))
+    assert left == pytest.approx(sum(x for _, x in last.values()))  # what is left is what those in service have had
+    taken += [(doc, round(x)) for doc, x in last.values() if round(x) > 0]
+    stream = mixing.stream(got)
+    assert sorted(taken) == sorted((r["doc_id"], r["_words"]) for r in stream.collect())
+    assert abs(sum(x for _, x in taken) - budget) <= len(last)
+    mixed = mixing.mix(d, partitions=1)
+    order = [r["doc_id"] for r in mixed.collect()]
+    assert order == [r["doc_id"] for r in stream.orderBy("_finish", "doc_id").collect()]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
