@@ -3,9 +3,11 @@
 Given rules (a host with its subdomains and a path prefix, the longest fitting one wins)
 judge the urls they fit, and so label them. Each labelled url is a basket of tokens: the
 labels of its host, its path's segments with digits folded, its file ending, the names in
-its query. FP-growth mines token combinations that occur with a label. Kept are rules of
-enough support and confidence, less those with a shorter rule inside them that is no less
-sure of the same verdict. They judge the urls that no given rule fits: rules are indexed
+its query. Tokens that occur in the same urls are one item (all parts of a template stand
+together, and would make a combination of each subset of them), named by its first token.
+FP-growth mines combinations of items of any length that occur with a label. Kept are rules
+of enough support and confidence, less those with a shorter rule inside them that is no less
+sure of the same verdict; such parts are found by an inverted index over their rarest token. They judge the urls that no given rule fits: rules are indexed
 by their rarest token, so a url only meets rules that share it, and the others' tokens are
 then checked for containment. The surest rule decides (then the better supported, then
 the first by name); a url that no mined rule matches is allowed.
@@ -13,7 +15,8 @@ the first by name); a url that no mined rule matches is allowed.
 Urls of equal tokens are judged once. Defined results: a null url, and one without
 ``://``, has empty host and path, matches no given rule and holds no tokens, so it is
 allowed; repeated rows are judged alike; an empty table gives no rows; where no url is
-labelled nothing is mined.
+labelled nothing is mined. Very long urls are taken whole; other columns aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ RULES = (
 )
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
-MAX_LENGTH = 4  # tokens in a basket item set, the verdict included
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,45 +83,61 @@ def url_tokens(url: Column) -> Column:
     )
 
 
+def named_items(labelled: DataFrame) -> DataFrame:
+    """(token) that stand for themselves and all tokens in the same baskets: the first of each."""
+    h = lambda seed: F.sum(F.xxhash64("tokens", F.lit(seed)).cast("decimal(38,0)"))  # noqa: E731  of repeated baskets too
+    each = labelled.select("tokens", F.explode("tokens").alias("token"))
+    return each.groupBy("token").agg(F.count("*").alias("n"), h(1).alias("x"), h(2).alias("y")).groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token")
+
+
+def parts(rules: DataFrame, of: DataFrame) -> DataFrame:
+    """Rows of ``of`` (tokens and more) with each rule (need, key) that they hold whole.
+
+    A rule is looked up by its token that is rarest among ``of``."""
+    each = of.withColumn("token", F.explode("tokens"))
+    count = each.groupBy("token").agg(F.count("*").alias("n"))
+    # cut, so that the join on a hot token is one that can be split at run time
+    rarest = cut(
+        rules.select("need", "key", F.explode("need").alias("token"))
+        .join(count, "token")
+        .groupBy("need", "key")
+        .agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    )
+    return each.join(rarest, "token").where(F.size(F.array_except("need", "tokens")) == 0)
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, verdict, confidence, support) of the kept rules, from (tokens, verdict)."""
+    labelled = labelled.where(F.size("tokens") > 0)
     n = labelled.count()
     if not n:
         return labelled.select("tokens", "verdict", F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support"))
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v:"), "verdict"))).alias("items"))
+    # baskets of equal tokens and verdict are few among urls; each goes to the miner as often as it occurs
+    alike = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("copies"))
+    held = alike.withColumn("token", F.explode("tokens")).join(named_items(labelled), "token").groupBy("tokens", "verdict", "copies").agg(F.collect_list("token").alias("items"))
+    verdict = F.array(F.concat(F.lit("v:"), "verdict"))
+    baskets = held.select(F.concat("items", verdict).alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("items")
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
     is_verdict = lambda x: x.startswith("v:")
-    every = cut(sets.where(F.size("items") <= MAX_LENGTH).select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.get(F.filter("items", is_verdict), F.lit(0)).alias("v"), "freq"))
+    every = cut(sets.select(F.array_sort(F.filter("items", lambda x: ~is_verdict(x))).alias("tokens"), F.get(F.filter("items", is_verdict), F.lit(0)).alias("v"), "freq"))
     with_verdict = every.where(F.col("v").isNotNull() & (F.size("tokens") > 0))
     alone = every.where(F.col("v").isNull()).select("tokens", F.col("freq").alias("n_tokens"))
-    rules = (
+    rules = cut(
         with_verdict.join(alone, "tokens")
         .select("tokens", F.substring("v", 3, 100).alias("verdict"), (F.col("freq") / F.col("n_tokens")).alias("confidence"), (F.col("freq") / F.lit(n)).alias("support"))
         .where(F.col("confidence") >= min_confidence)
     )
-    # a rule goes if a part of it, one token shorter or more, is as sure of the same verdict
-    parts = F.filter(
-        F.transform(F.sequence(F.lit(1), (F.pow(F.lit(2), F.size("tokens")) - 2).cast("int")), lambda m: F.filter("tokens", lambda x, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1)),
-        lambda a: F.size(a) > 0,
-    )
-    longer = rules.where(F.size("tokens") > 1).select(F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("sure"), F.explode(parts).alias("tokens"))
-    beaten = longer.join(rules, ["tokens", "verdict"]).where(F.col("confidence") >= F.col("sure")).select(F.col("whole").alias("tokens"), "verdict").distinct()
-    return rules.join(beaten, ["tokens", "verdict"], "left_anti")
+    # a rule goes if a part of it is as sure of the same verdict
+    short = rules.select(F.col("tokens").alias("need"), F.struct("verdict", "confidence").alias("key"))
+    inside = parts(short, rules).where((F.size("need") < F.size("tokens")) & (F.col("key.verdict") == F.col("verdict")) & (F.col("key.confidence") >= F.col("confidence")))
+    return rules.join(inside.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
 
 
 def match(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """(tokens, verdict) of the distinct ``token_sets`` that some mined rule matches."""
-    each = token_sets.select("tokens", F.explode("tokens").alias("token"))
-    count = each.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = (
-        rules.select(F.col("tokens").alias("need"), "verdict", "confidence", "support", F.explode("tokens").alias("token"))
-        .join(count, "token", "left")
-        .groupBy("need", "verdict", "confidence", "support")
-        .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), F.col("token"))).alias("token"))
-    )
-    hits = each.join(rarest, "token").where(F.size(F.array_except("need", "tokens")) == 0)
-    best = F.struct(-F.col("confidence"), -F.col("support"), F.size("need"), F.array_join("need", " "), F.col("verdict"))
-    return hits.groupBy("tokens").agg(F.min_by("verdict", best).alias("mined"))
+    known = rules.select(F.col("tokens").alias("need"), F.struct("verdict", "confidence", "support").alias("key"))
+    best = F.struct(-F.col("key.confidence"), -F.col("key.support"), F.size("need"), F.array_join("need", " "), F.col("key.verdict"))
+    return parts(known, token_sets.select("tokens")).groupBy("tokens").agg(F.min_by("key.verdict", best).alias("mined"))
 
 
 def judge_urls(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -127,10 +145,13 @@ def judge_urls(pages: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT,
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"), given_rule(host, path, rules).alias("given"), url_tokens(F.col("url")).alias("tokens"))
     labelled = urls.where(F.col("given").isNotNull()).select("tokens", F.col("given.verdict").alias("verdict"))
-    open_sets = urls.where(F.col("given").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    mined = match(open_sets, mine(labelled, min_support, min_confidence)).select(F.col("tokens").alias("_tokens"), "mined")
-    key = F.when(F.col("given").isNull(), F.col("tokens"))  # pages with a given rule need no look-up
-    return urls.join(mined, key == F.col("_tokens"), "left").select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.coalesce("given.verdict", "mined", F.lit("allow")).alias("verdict"))
+    is_open = F.col("given").isNull() & (F.size("tokens") > 0)
+    open_sets = urls.where(is_open).select("tokens").distinct()
+    # cut, so that a hot set of tokens can be split in the join
+    mined = cut(match(open_sets, mine(labelled, min_support, min_confidence)))
+    out = lambda rows, verdict: rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), verdict.alias("verdict"))
+    # pages with a given rule, and those without tokens, need no look-up
+    return out(urls.where(is_open).join(mined, "tokens", "left"), F.coalesce("mined", F.lit("allow"))).union(out(urls.where(~is_open), F.coalesce("given.verdict", F.lit("allow"))))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
