@@ -30,7 +30,7 @@ def api_version(url: Column | str, pattern: str = VERSION_PATTERN) -> Column:
 
 def extract_specs(pages: DataFrame, marker: str = MARKER, version_pattern: str = VERSION_PATTERN) -> DataFrame:
     """source, url, status, counts, spec_json, its canonical sha256, api_version and its source."""
-    got = pages.withColumn("_x", jsonwalk.extract_spec(marker)(F.col("html")))
+    got = pages.withColumn("_x", jsonwalk.extract_spec(F.col("html"), marker))
     version = api_version(F.coalesce("final_url", "url"), version_pattern)
     return got.select("source", "url", "_x.status", "_x.n_markers", "_x.n_candidates", "_x.spec_json", jsonwalk.canonical_sha256(F.col("_x.spec_json")).alias("sha256"), version.alias("api_version"), F.when(version.isNotNull(), "documentation_url").alias("api_version_source"))
 

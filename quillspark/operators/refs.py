@@ -19,13 +19,14 @@ _TARGET = jsonwalk.LOCAL_REF
 
 def schema_names(nodes: DataFrame, column: str = "schema_json", max_depth: int = 6) -> DataFrame:
     """Adds ``names``: local references reachable inline in each schema."""
-    return nodes.withColumn("names", jsonwalk.ref_names(max_depth)(F.col(column)))
+    return nodes.withColumn("names", jsonwalk.ref_names(F.col(column), max_depth))
 
 
 def edges(components: DataFrame) -> DataFrame:
     """(source, section, name, ref, to_section, to_name, state) of every reference of every
     component; state is ok, missing or external."""
-    rows = components.select("source", "section", "name", F.explode(jsonwalk.all_refs(F.col("node"))).alias("ref"))
+    held = components.select("source", "section", "name", jsonwalk.ref_rows(F.col("node")).alias("refs"))
+    rows = held.select("source", "section", "name", F.explode(jsonwalk.outermost_refs(F.col("refs"))).alias("ref"))
     rows = rows.withColumn("to_section", F.nullif(F.regexp_extract("ref", _TARGET, 1), F.lit(""))).withColumn("to_name", F.nullif(F.regexp_extract("ref", _TARGET, 2), F.lit("")))
     have = components.select("source", F.col("section").alias("to_section"), F.col("name").alias("to_name")).withColumn("_has", F.lit(True))
     state = F.when(F.col("to_section").isNull(), "external").when(F.col("_has"), "ok").otherwise("missing")
@@ -66,7 +67,7 @@ def expand(roots: DataFrame, components: DataFrame, max_depth: int = 2, max_node
             if node is not None:
                 known.setdefault(section, {})[name] = json.loads(node)
         root = pdf["root"].iloc[0]
-        out = expand_schema({"$ref": f"#/components/{root}"}, known, depth, max_nodes)
+        out = expand_schema({"$ref": f"#/components/{root}"}, lambda s, n: known.get(s, {}).get(n), depth, max_nodes)
         found = root.split("/", 1)[1] in known.get("schemas", {})
         return pd.DataFrame([{"source": pdf["source"].iloc[0], "name": root.split("/", 1)[1], "found": found, "schema_json": json.dumps(out["schema"], ensure_ascii=False), "truncated": out["truncated"], "unresolved": out["unresolved"], "cycles": out["cycles"], "node_count": out["node_count"]}])
 
