@@ -273,3 +273,17 @@ def trim(specs: DataFrame, wanted: DataFrame) -> DataFrame:
         new = found.join(have, ["source", "target"], "left_anti").persist()
         have = have.union(new)
     return have.join(nodes, ["source", "target"], "left_semi").select("source", F.split("target", "/")[0].alias("section"), F.regexp_replace("target", "^[^/]*/", "").alias("name"))
+
+
+def trimmed_specs(specs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(source, spec_json): specifications with the wanted paths (source, path) only, and the
+    components that these need; other members stay. Members are in the order of their names."""
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    member = lambda k, v: F.concat(quoted(k), F.lit(":"), v)
+    of = lambda ms: F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(ms)), ","), F.lit("}"))
+    items = paths(specs).join(wanted.select("source", "path").distinct(), ["source", "path"], "left_semi").groupBy("source").agg(of(member(F.col("path"), F.col("item"))).alias("_paths"))
+    held = components(specs).join(trim(specs, wanted), ["source", "section", "name"], "left_semi")
+    parts = held.groupBy("source", "section").agg(of(member(F.col("name"), F.col("node"))).alias("node")).groupBy("source").agg(of(member(F.col("section"), F.col("node"))).alias("_components"))
+    rest = specs.select("source", F.explode(F.map_entries(F.map_filter(F.from_json("spec_json", "map<string,variant>"), lambda k, v: ~k.isin("paths", "components")))).alias("e"))
+    top = rest.select("source", F.col("e.key").alias("k"), F.to_json("e.value").alias("v")).union(items.select("source", F.lit("paths"), "_paths")).union(parts.select("source", F.lit("components"), "_components"))
+    return top.join(items.select("source"), "source", "left_semi").groupBy("source").agg(of(member(F.col("k"), F.col("v"))).alias("spec_json"))

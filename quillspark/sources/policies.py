@@ -61,15 +61,25 @@ def alias_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     )
 
 
-def alias_problems(aliases: DataFrame, rule_words: DataFrame, rule_adds: DataFrame) -> DataFrame:
-    """(item, problem): words that aren't a token of their own, and rules without words or
-    additions. A token is normal if tokenizing gives just it, or it and its singular."""
+def damping_table(spark: SparkSession, path: str) -> DataFrame:
+    """(item, value) of an alias file's dampings; an absent one isn't there."""
+    raw = _json(spark, path)
+    return spark.createDataFrame([(k, float(raw[k])) for k in ("alias_damping", "rule_damping") if k in raw], "item string, value double")
+
+
+def alias_problems(aliases: DataFrame, rule_words: DataFrame, rule_adds: DataFrame, dampings: DataFrame | None = None) -> DataFrame:
+    """(item, problem): words that aren't a token of their own, rules without words or
+    additions, dampings that aren't in 0..1. A token is normal if tokenizing gives just it, or
+    it and its singular."""
     normal = lambda c: (F.size(T.unigrams(c)) == 1) & (F.get(T.unigrams(c), F.lit(0)) == F.col(c))
     words = aliases.select(F.col("word").alias("item")).union(aliases.select("target")).union(rule_words.select("word")).union(rule_adds.select("target")).distinct()
     bad = words.where(~normal("item")).select("item", F.lit("not_a_token").alias("problem"))
     lone = rule_words.select("rule_id").distinct().join(rule_adds, "rule_id", "left_anti").select(F.col("rule_id").cast("string").alias("item"), F.lit("rule_adds_nothing").alias("problem"))
     empty = rule_adds.select("rule_id").distinct().join(rule_words, "rule_id", "left_anti").select(F.col("rule_id").cast("string").alias("item"), F.lit("rule_without_words").alias("problem"))
-    return bad.union(lone).union(empty)
+    out = bad.union(lone).union(empty)
+    if dampings is None:
+        return out
+    return out.union(dampings.where("value is null or value < 0 or value > 1").select("item", F.lit("damping_out_of_range").alias("problem")))
 
 
 def override_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
