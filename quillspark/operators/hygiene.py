@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -11,6 +11,8 @@ from quillspark.operators.search import Ranking, method_intent
 # Rules in order of priority.
 RECORD_RULES = ("schema", "catalog", "words", "ascii", "actionable", "negative-method", "operationId", "summary/tags", "negative-phrase", "reuse", "no-answer")
 MIN_QUERY_WORDS, MAX_QUERY_WORDS = 3, 7
+#: So many 64-bit hashes of a manifest go to every task; a larger manifest is joined.
+QUICK_BROADCAST = 500_000
 ASCII_QUERY = r"^[A-Za-z0-9 '\-]+$"
 
 
@@ -69,10 +71,19 @@ def check_records(records: DataFrame, operations: DataFrame, ranking: Ranking) -
 
 def reuse(records: DataFrame) -> DataFrame:
     """(id, earlier_id, how): the first earlier record with the same query, or else the same
-    set of tokens. ``records``: pos (prior sets first), id, query, is_new."""
-    keyed = records.select("pos", "id", "is_new", F.array_join(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""), " ").alias("text"), _set_key("query").alias("set"))
-    first = lambda key: F.first(F.struct("pos", "id")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
-    got = keyed.withColumn("by_text", first("text")).withColumn("by_set", first("set")).where("is_new and (by_text is not null or by_set is not null)")
+    set of tokens. ``records``: pos (prior sets first, all different), id, query, is_new.
+
+    Texts and sets are told apart by 128-bit hashes, so only these are moved; the first of each
+    is found in two steps, however many share one."""
+    hashed = lambda c: F.struct(F.xxhash64(c, F.lit(1)).alias("x"), F.xxhash64(c, F.lit(2)).alias("y"))
+    text = F.array_join(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""), " ")
+    keyed = records.select("pos", "id", "is_new", hashed(text).alias("text"), hashed(_set_key("query")).alias("set"))
+
+    def with_first(rows: DataFrame, key: str) -> DataFrame:
+        first = rows.groupBy(key).agg(F.min(F.struct("pos", "id")).alias("f"), F.count("*").alias("n")).where("n > 1").select(key, "f")
+        return rows.join(first, key, "left").withColumn(f"by_{key}", F.when(F.col("f.pos") < F.col("pos"), F.col("f"))).drop("f")
+
+    got = with_first(with_first(keyed, "text"), "set").where("is_new and (by_text is not null or by_set is not null)")
     # at one earlier record the text is compared first
     text_wins = F.col("by_text").isNotNull() & (F.col("by_set").isNull() | (F.col("by_text.pos") <= F.col("by_set.pos")))
     return got.select("id", F.when(text_wins, F.col("by_text.id")).otherwise(F.col("by_set.id")).alias("earlier_id"), F.when(text_wins, "string").otherwise("set").alias("how"))
@@ -114,22 +125,39 @@ def windows(words: Column, n: Column | int) -> Column:
     return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(words, i, n), " "), 256))
 
 
-def window_needles(texts: DataFrame, least: int = MIN_QUERY_WORDS, most: int = MAX_QUERY_WORDS) -> DataFrame:
-    """(n_words, sha256) of all runs of ``least`` to ``most`` words of free texts."""
-    words = T.word_stream("text")
-    each = [texts.select(F.lit(n).alias("n_words"), F.explode(windows(words, n)).alias("sha256")) for n in range(least, most + 1)]
-    out = each[0]
-    for e in each[1:]:
-        out = out.union(e)
-    return out.distinct()
+def quick_windows(words: Column, n: Column | int) -> Column:
+    """A 64-bit hash of every run of ``n`` words, in the order of ``windows``."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
+
+
+def window_needles(texts: DataFrame, least: int = MIN_QUERY_WORDS, most: int = MAX_QUERY_WORDS, quick: bool = False) -> DataFrame:
+    """(n_words, sha256) of all runs of ``least`` to ``most`` words of free texts; ``quick`` adds
+    a 64-bit hash that spares most of a scan's work."""
+    words = texts.select(T.word_stream("text").alias("words"), F.explode(F.array(*[F.lit(n) for n in range(least, most + 1)])).alias("n_words"))
+    both = F.arrays_zip(windows(F.col("words"), F.col("n_words")).alias("sha256"), quick_windows(F.col("words"), F.col("n_words")).alias("quick"))
+    each = words.select("n_words", F.explode(both).alias("w")).select("n_words", "w.sha256", "w.quick")
+    return each.select("n_words", "sha256", *["quick"] * quick).distinct()
 
 
 def scan(documents: DataFrame, manifest: DataFrame, allow: DataFrame | None = None) -> DataFrame:
     """Documents (doc_id, text) that hold an n-gram of the manifest, less the allowed ones.
 
-    Only lengths that the manifest has are cut, and hashes are compared in a semi-join."""
-    docs = documents if allow is None else documents.join(allow, "doc_id", "left_anti")
+    Only lengths that the manifest has are cut, and hashes are compared in a semi-join. With a
+    ``quick`` hash in the manifest that one is compared first, in the tasks that read the
+    documents where the manifest's size allows; only documents with a hit go on."""
+    docs = documents.select("doc_id", "text").where("doc_id is not null")
+    docs = docs if allow is None else docs.join(allow, "doc_id", "left_anti")
+    if "quick" in manifest.columns:
+        sizes = [r[0] for r in manifest.select("n_words").distinct().collect()]  # a few lengths
+        known = manifest.select("quick").distinct()
+        hashes = F.flatten(F.array(*[quick_windows(F.col("words"), n) for n in sorted(sizes)])) if sizes else F.array().cast("array<long>")
+        runs = docs.select("doc_id", T.word_stream("text").alias("words")).select("doc_id", F.explode(hashes).alias("quick"))
+        small = known.limit(QUICK_BROADCAST + 1).count() <= QUICK_BROADCAST
+        hit = runs.join(F.broadcast(known) if small else known, "quick", "left_semi").select("doc_id").distinct()
+        docs = docs.join(hit, "doc_id", "left_semi")
     lengths = manifest.agg(F.collect_set("n_words").alias("lengths"))
     cut = docs.select("doc_id", T.word_stream("text").alias("words")).crossJoin(lengths).select("doc_id", "words", F.explode("lengths").alias("n_words"))
     grams = cut.select("doc_id", "n_words", F.explode(F.array_distinct(windows(F.col("words"), F.col("n_words")))).alias("sha256"))
-    return grams.join(manifest, ["n_words", "sha256"], "left_semi").select("doc_id").distinct()
+    return grams.join(manifest.select("n_words", "sha256"), ["n_words", "sha256"], "left_semi").select("doc_id").distinct()

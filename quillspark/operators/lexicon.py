@@ -194,9 +194,14 @@ def resolve(entries: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def cap_per_concept(lexicon: DataFrame, limit: int = MAX_PER_CONCEPT) -> DataFrame:
-    """Adds ``kept``: the first keys by name of each first target, words and phrases apart."""
-    w = Window.partitionBy(F.get("targets", F.lit(0)), F.col("key").contains(" ")).orderBy("key")
-    return lexicon.withColumn("kept", F.row_number().over(w) <= limit)
+    """Adds ``kept``: the first keys by name of each first target, words and phrases apart.
+    Keys of a target are distinct.
+
+    Each task keeps its own first keys, so a target with many isn't sorted as a whole."""
+    rows = lexicon.withColumn("_t", F.get("targets", F.lit(0))).withColumn("_p", F.col("key").contains(" "))
+    w = Window.partitionBy("_t", "_p").orderBy("key")
+    last = rows.select("_t", "_p", "key").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).groupBy("_t", "_p").agg(F.max("key").alias("_last"))
+    return rows.alias("r").join(last.alias("l"), F.col("r._t").eqNullSafe(F.col("l._t")) & (F.col("r._p") == F.col("l._p"))).select(*[F.col(f"r.`{c}`") for c in lexicon.columns], (F.col("key") <= F.col("_last")).alias("kept"))
 
 
 def merge_aliases(lexicon: DataFrame, alias_words: DataFrame, rule_sets: DataFrame) -> DataFrame:

@@ -155,10 +155,11 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' first two tokens as synonyms of their source."""
-    d = read(spark, sf_dir, "documents")
-    toks = T.unigrams(F.substring("text", 1, 60))
-    return d.where(F.size(toks) >= 2).select(F.array_join(F.slice(toks, 1, F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2)), " ").alias("key"), F.array("source").alias("targets")).distinct()
+    """Tokens of whole texts as synonyms of their source; of every other document neighbouring
+    ones as phrases."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array("source").alias("targets"), T.unigrams("text").alias("w"))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return d.select(F.explode(F.when(F.col("doc_id") % 2 == 0, F.col("w")).otherwise(pairs)).alias("key"), "targets").distinct()
 
 
 def cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,10 +275,12 @@ _EXC = lambda x: f"(CASE WHEN {x} = '' THEN '-' ELSE left(CASE WHEN string_split
 _RES = f"""list_distinct(list_filter(list_transform(list_filter(flatten(list_transform({Q.segments('path')}, lambda s: {Q.unigrams('s')})), lambda t: NOT regexp_matches(t, '^[0-9]+$')), lambda t: {Q.singular('t')}), lambda t: t <> 'rest')
   || list_transform({Q.unigrams('tags[1]')}, lambda t: {Q.singular('t')}))"""
 _VOC = f"list_distinct({Q.singulars(Q.unigrams('operation_id'))} || {Q.singulars(Q.unigrams('summary'))} || {_RES.replace(chr(39) + 'rest' + chr(39), chr(39) + chr(39))})"
-_FIRST2 = f"list_filter({Q.raw_tokens('left(text, 60)')}, lambda t: t NOT IN {Q.words(T.STOPWORDS)})"
+# distinct tokens in the order in which they come first
 _LEX = f"""
-lx0 AS (SELECT doc_id, source, list_filter(w, lambda x, i: list_position(w, x) = i) AS ws FROM (SELECT doc_id, source, {_FIRST2} AS w FROM documents)),
-lx AS (SELECT DISTINCT array_to_string(CASE WHEN doc_id % 2 = 0 THEN ws[1:1] ELSE ws[1:2] END, ' ') AS key, source AS target FROM lx0 WHERE len(ws) >= 2)"""
+lx0 AS (SELECT doc_id, source, {Q.raw_tokens('text')} AS w FROM documents),
+lx1 AS (SELECT doc_id, source, t, min(i) AS i FROM (SELECT doc_id, source, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM lx0) WHERE t NOT IN {Q.words(T.STOPWORDS)} GROUP BY ALL),
+lx2 AS (SELECT doc_id, source, t, lead(t) OVER (PARTITION BY doc_id, source ORDER BY i) AS u FROM lx1),
+lx AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN t ELSE t || ' ' || u END AS key, source AS target FROM lx2 WHERE doc_id % 2 = 0 OR u IS NOT NULL)"""
 
 SQL = {
     "harvest_changes": f"""WITH {_P} SELECT g.source, CASE WHEN v.api_version <> g.api_version THEN 'version_changed' WHEN g.sha256 IS DISTINCT FROM content_sha256 THEN 'updated' ELSE 'ok' END AS status, g.api_version,

@@ -19,7 +19,8 @@ from quillspark.operators import search as S
 from quillspark.plans import catalog_queries as B
 from quillspark.plans import eval_queries as U
 from quillspark.plans import sqltext as Q
-from quillspark.plans.search_queries import OPS, QS, RANKING, operations, queries, read
+from quillspark.plans.search_queries import OPS, QS, RANKED_OF, RANKING, operations, queries, read
+from quillspark.plans.search_queries import aliases as S_ALIASES
 
 ALIAS_WORDS = ["blue", "small"]
 
@@ -34,7 +35,7 @@ def _values(spark: SparkSession, rows: list[str], name: str) -> DataFrame:
 def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each brand's specification in a page: some pages have no marker, two, two
     specifications, or text after it that isn't JSON."""
-    s = B.specs(spark, sf_dir).withColumn("n", F.length("source") + F.length("spec_json") % 5)
+    s = B.specs(spark, sf_dir).withColumn("n", F.ascii(F.substring("source", -1, 1)))
     mark = F.lit("window.__DATA__ = ")
     html = (
         F.when(F.col("n") % 5 == 0, F.col("spec_json")).when(F.col("n") % 5 == 1, F.concat(mark, F.lit("{}; "), mark, F.col("spec_json"))).when(F.col("n") % 5 == 2, F.concat(mark, F.lit('{"a":['), F.col("spec_json"), F.lit(",{}]}; tail")))
@@ -83,17 +84,18 @@ def method_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    toks = F.slice(T.singular_tokens(F.substring("text", 1, 60)), 1, 2)
-    raw = d.where(F.size(toks) == 2).select(F.col("doc_id").alias("pos"), F.array_join(toks, " ").alias("synonym"), F.col("source").alias("target"))
-    n = X.normalize_synonyms(raw)
+    """All neighbouring words of the whole texts as synonyms of their source."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("target"), T.raw_tokens("text").alias("w")).where("size(w) > 1")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    each = d.select("doc_id", "target", F.posexplode(pairs).alias("at", "synonym"))
+    n = X.normalize_synonyms(each.groupBy("synonym", "target").agg(F.min(F.struct("doc_id", "at")).alias("pos")))
     return n.select("key", F.array_join("targets", ",").alias("targets"))
 
 
 def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of part names and document texts as synonyms of a part type."""
     words = read(spark, sf_dir, "part").select(F.explode(T.unigrams("p_name")).alias("key")).distinct()
-    docs = read(spark, sf_dir, "documents").select(F.explode(F.slice(T.unigrams(F.substring("text", 1, 60)), 1, 3)).alias("key")).distinct()
+    docs = read(spark, sf_dir, "documents").select(F.explode(T.unigrams("text")).alias("key")).distinct()
     lex = words.union(docs).distinct().union(words.select(F.concat(F.col("key"), F.lit(" thing")))).select("key", F.when(F.length("key") % 2 == 0, F.array(F.lit("economy"))).otherwise(F.array(F.lit("nothing"))).alias("targets"))
     rules = _values(spark, ["red thing"], "w").select(F.split("w", " ").alias("words"))
     return X.screen(lex, operations(spark, sf_dir), RANKING, _values(spark, ALIAS_WORDS, "word"), rules).select("key", "reason")
@@ -102,7 +104,8 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = read(spark, sf_dir, "part").select(F.explode(T.singular_tokens("p_name")).alias("key")).distinct()
     lex = words.select("key", F.when(F.length("key") % 2 == 0, F.array(F.lit("part"))).otherwise(F.array(F.lit("nothing"))).alias("targets"))
-    return X.benchmark_gate(lex, _records(spark, sf_dir), operations(spark, sf_dir), RANKING.noise)
+    flipped = lex.where("length(key) % 3 = 0").select("key")  # as if merging these alone had cost a passing record
+    return X.benchmark_gate(lex, _records(spark, sf_dir), operations(spark, sf_dir), RANKING.noise, flipped)
 
 
 def policy_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,9 +168,12 @@ def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collection_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search with the item-or-collection rule on."""
+    """Search with the item-or-collection rule on; every item has its collection beside it."""
+    whole = lambda c: F.regexp_replace(c, r"/\{partId\}$", "").alias(c)
+    ops = operations(spark, sf_dir)
+    both = ops.union(ops.where(F.col("path").endswith("}")).select(*[whole(c) if c in ("path", "key") else F.col(c) for c in ops.columns]))
     ranking = S.Ranking(verbs=RANKING.verbs, noise=RANKING.noise, hints=RANKING.hints, product_names=RANKING.product_names)
-    return S.search(queries(spark, sf_dir), operations(spark, sf_dir), ranking, 5).select("query_id", "rank", "key", "score")
+    return S.search(queries(spark, sf_dir), both, ranking, 5, *S_ALIASES(spark)).select("query_id", F.col("rank").cast("int").alias("rank"), "key", "score")
 
 
 QUERIES = {
@@ -196,7 +202,32 @@ _ALLOWED = "CASE WHEN query LIKE 'list %' THEN ['GET'] WHEN query LIKE 'create %
 _SAFE = f"safe AS (SELECT id, a, e, len(e) > 0 AND list_has_any(a, e) AS fits FROM (SELECT id, {_ALLOWED} AS a, list_sort(list_distinct(list_transform(expected, lambda k: string_split(k, ':')[2]))) AS e FROM records))"
 _Q = "length(path)"
 
+_OPS2 = OPS.replace("ops AS (", "ops0 AS (", 1) + """,
+ops AS (
+  SELECT * FROM ops0 UNION ALL
+  SELECT * REPLACE (replace(path, '/{partId}', '') AS path, replace(key, '/{partId}', '') AS key) FROM ops0 WHERE path LIKE '%/{partId}')"""
+_REASON = f"""CASE WHEN len(toks) > 2 OR len(list_filter(toks, lambda t: NOT regexp_full_match(t, '[a-z0-9]+') OR length(t) < 2 OR t IN {Q.words(T.STOPWORDS)})) > 0 THEN 'shape'
+  WHEN len(list_filter(toks, lambda t: NOT regexp_matches(t, '[a-z]') OR t IN {Q.words(X.ID_LIKE)})) > 0 THEN 'id_like' WHEN len(list_filter(toks, lambda t: t IN {Q.words(X.FUNCTION_WORDS)})) > 0 THEN 'function_word'
+  WHEN len(list_filter(toks, lambda t: t IN {_VERBS})) > 0 THEN 'verb' WHEN len(list_filter(toks, lambda t: t IN {_HINTS})) > 0 THEN 'product_hint' WHEN array_to_string(list_sort(toks), ' ') = 'red thing' THEN 'rule_conflict'
+  WHEN len(toks) = 1 AND df IS NOT NULL AND NOT coalesce(ks IS NOT NULL AND NOT coalesce(list_has_any(ks, ts), false), false) THEN 'in_catalog' WHEN len(toks) = 1 AND key IN {Q.words(ALIAS_WORDS)} THEN 'alias_conflict'
+  WHEN ts IS NULL THEN 'target_not_concept' END"""
+
 SQL = {
+    "harvest_extract": f"""WITH {OPS}, s AS (SELECT DISTINCT source, (ascii(right(source, 1)) % 5)::INT AS kind FROM ops)
+SELECT source, kind, ['error_marker_count', 'error_marker_count', 'ok', 'ambiguous', 'error_bad_json'][kind + 1] AS status, [0, 0, 1, 2, 0][kind + 1]::INT AS n_candidates, 'v' || length(source) AS api_version, kind = 2 AS found FROM s""",
+    "search_collection_order": f"""{RANKED_OF(_OPS2)},
+seats AS (
+  SELECT query_id, key, final, row_number() OVER (PARTITION BY query_id ORDER BY tier, final DESC, tie, deprecated, replace(key, '/{{partId}}', ''), NOT contains(key, '{{'))::INT AS rank FROM scored)
+SELECT query_id, rank, key, final AS score FROM seats WHERE rank <= 5""",
+    "lexicon_screen": f"""{_REC}, {_LEX}, w AS (SELECT DISTINCT unnest({Q.unigrams('p_name')}) AS key FROM part),
+x AS (SELECT key FROM w UNION SELECT DISTINCT unnest({Q.unigrams('text')}) FROM documents UNION SELECT key || ' thing' FROM w),
+l AS (SELECT key, string_split(key, ' ') AS toks, CASE WHEN length(key) % 2 = 0 THEN 'economy' ELSE 'nothing' END AS target FROM x),
+cs AS (SELECT token, list(DISTINCT source) AS ss FROM (SELECT source, unnest({B._RES}) AS token FROM ops) GROUP BY 1)
+SELECT key, {_REASON} AS reason FROM (SELECT l.*, a.ss AS ts, b.ss AS ks, df FROM l LEFT JOIN cs a ON a.token = target LEFT JOIN cs b ON b.token = key LEFT JOIN df ON df.token = key)""",
+    "lexicon_benchmark_gate": f"""{_REC}, {_LEX}, g AS (SELECT DISTINCT unnest({Q.singulars(Q.unigrams('p_name'))}) AS key FROM part),
+held AS (SELECT DISTINCT key, id FROM g JOIN tk ON token = key),
+fits AS (SELECT DISTINCT key FROM held JOIN ev USING (id) WHERE token = CASE WHEN length(key) % 2 = 0 THEN 'part' ELSE 'nothing' END)
+SELECT DISTINCT key, CASE WHEN key IN (SELECT key FROM fits) THEN 'seed-regression' ELSE 'seed-incompatible' END AS reason FROM held WHERE key NOT IN (SELECT key FROM fits) OR length(key) % 3 = 0""",
     "harvest_canonical_sha": "SELECT event_id, sha256(replace(props, ' ', '')) AS sha256 FROM events",
     "refs_expansion": f"WITH {OPS} SELECT source, name, true AS found, false AS truncated, 0::INT AS n_unresolved, c::INT AS n_cycles, n::INT AS node_count FROM (SELECT DISTINCT source FROM ops), (VALUES ('Part', 1, 2), ('Owner', 0, 1)) t(name, c, n)",
     "lexicon_candidates": f"""{_REC}, {_LEX}
@@ -206,9 +237,13 @@ FROM why w LEFT JOIN ev ON ev.id = w.id LEFT JOIN df ON df.token = w.token WHERE
     "lexicon_failure_classes": f"""{_REC}, {_LEX}, {_SAFE}, r6 AS (SELECT id, bool_or(reason IS NULL) AS open FROM why GROUP BY id)
 SELECT id, concat_ws(',', CASE WHEN NOT fits THEN 'R5' END, CASE WHEN open THEN 'R6' END) AS classes FROM safe JOIN r6 USING (id)""",
     "lexicon_method_safety": f"{_REC}, {_SAFE} SELECT id, array_to_string(a, ',') AS allowed, coalesce(array_to_string(e, ','), '') AS expected_methods, fits AS ok FROM safe",
-    "lexicon_normalize_synonyms": f"""WITH w AS (SELECT doc_id, source, list_transform({B._FIRST2}, lambda t: {Q.singular('t')}) AS w FROM documents),
-d AS (SELECT doc_id, source, list_filter(w, lambda x, i: list_position(w, x) = i)[1:2] AS ws FROM w), e AS (SELECT * FROM d WHERE len(ws) = 2)
-SELECT arg_min(array_to_string(ws, ' '), doc_id) AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS targets FROM e GROUP BY list_sort(ws)""",
+    "lexicon_normalize_synonyms": f"""WITH w AS (SELECT doc_id, source, {Q.raw_tokens('text')} AS w FROM documents),
+p AS (SELECT doc_id, source, i, w[i] AS a, w[i + 1] AS b FROM w, unnest(generate_series(1, len(w) - 1)) t(i)),
+f AS (SELECT a, b, source, min((doc_id, i)) AS pos FROM p GROUP BY ALL),
+s AS (SELECT pos, source, a || ' ' || b AS raw, list_filter([CASE WHEN a IN {Q.words(T.STOPWORDS)} THEN NULL ELSE {Q.singular('a')} END, CASE WHEN b IN {Q.words(T.STOPWORDS)} THEN NULL ELSE {Q.singular('b')} END], lambda x: x IS NOT NULL) AS t0 FROM f),
+k AS (SELECT pos, source, raw, CASE WHEN t0[1] = t0[2] THEN t0[1:1] ELSE t0 END AS t FROM s),
+n AS (SELECT pos, source, CASE WHEN len(t) = 0 THEN raw ELSE array_to_string(t, ' ') END AS k, CASE WHEN len(t) = 2 THEN array_to_string(list_sort(t), ' ') ELSE '=' || CASE WHEN len(t) = 0 THEN raw ELSE t[1] END END AS g FROM k)
+SELECT arg_min(k, pos) AS key, string_agg(DISTINCT source, ',' ORDER BY source) AS targets FROM n GROUP BY g""",
     "eval_policy_diff": """WITH d AS (SELECT lang || '-' || (doc_id % 40) AS word, source, n_chars % 2 AS r FROM documents),
 a AS (SELECT word, list_sort(list(DISTINCT source)) AS t FROM d WHERE r = 0 GROUP BY 1), b AS (SELECT word, list_sort(list(DISTINCT source)) AS u FROM d WHERE r = 1 GROUP BY 1)
 SELECT word, CASE WHEN t IS NULL THEN 'added' WHEN u IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (word) WHERE t IS DISTINCT FROM u""",

@@ -67,7 +67,7 @@ def window_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.scan(read(spark, sf_dir, "documents"), H.window_needles(read(spark, sf_dir, "benchmark"), 6, 7))
+    return H.scan(read(spark, sf_dir, "documents"), H.window_needles(read(spark, sf_dir, "benchmark"), quick=True))
 
 
 def reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ CASE WHEN count(*) > 0 THEN (count(*) FILTER (recommended_matches))::DOUBLE / co
     "log_confirmation_audit": f"WITH {_EVENTS} SELECT seq_id, problem, count(*) AS n, min(pos) AS first_pos FROM problems GROUP BY ALL",
     "hygiene_needles": f"SELECT DISTINCT len(w)::INT AS n_words, sha256(array_to_string(w, ' ')) AS sha256 FROM (SELECT {Q.word_stream('text')} AS w FROM benchmark) WHERE len(w) > 0",
     "hygiene_window_needles": _windows("benchmark", 3, 7),
-    "hygiene_leak_scan": f"WITH m AS ({_windows('benchmark', 6, 7)}), d AS ({_windows('documents', 6, 7, 'doc_id,')}) SELECT DISTINCT doc_id FROM d JOIN m USING (n_words, sha256)",
+    "hygiene_leak_scan": f"WITH m AS ({_windows('benchmark', 3, 7)}), d AS ({_windows('documents', 3, 7, 'doc_id,')}) SELECT DISTINCT doc_id FROM d JOIN m USING (n_words, sha256)",
     "hygiene_reuse": f"""
 WITH d AS (SELECT doc_id AS pos, doc_id::VARCHAR AS id, array_to_string(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), ' ') AS t, {_SET.replace('query', 'text')} AS s FROM documents),
 f AS (SELECT id, pos, first_value(pos) OVER (PARTITION BY t ORDER BY pos) AS pt, first_value(pos) OVER (PARTITION BY s ORDER BY pos) AS ps FROM d),

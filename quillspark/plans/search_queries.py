@@ -194,6 +194,11 @@ ranked AS (
 _ALL = f"WITH {OPS}, {QS}, {POSTINGS}, {EXPAND}, {LEXICAL}, {SCORES}"
 RANKED = _ALL
 
+
+def RANKED_OF(ops: str, qs: str = QS, expand: str = EXPAND, lexical: str = LEXICAL, scores: str = SCORES) -> str:
+    """The same with other parts: ends in ``scored`` and ``ranked``."""
+    return f"WITH {ops}, {qs}, {POSTINGS}, {expand}, {lexical}, {scores}"
+
 _VOCAB = f"list_distinct({Q.token_set('operation_id')} || {Q.token_set('summary')} || {Q.forms('''list_filter(flatten(list_transform(''' + Q.segments('path') + ''', lambda s: ''' + Q.unigrams('s') + ''')), lambda t: NOT regexp_matches(t, '^[0-9]+$'))''')} || {Q.token_set('tags[1]')})"
 _CONCEPTS = f"""
 concept AS (
