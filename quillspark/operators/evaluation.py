@@ -131,15 +131,42 @@ def grid_points(axes: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), axes.values())
 
 
-def sweep(candidates: DataFrame, points: DataFrame, final: Column, order: list[Column]) -> DataFrame:
-    """The best key of each query at each point.
-
-    ``candidates`` (query_id, key, features) are scored once for all points; points are the
-    broadcast side (their number is the grid's), and the best row of each (point, query) is
-    kept while rows are made, so candidates of a point are never gathered."""
-    scored = candidates.crossJoin(F.broadcast(points)).withColumn("final", final).where("final > 0")
-    best = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    return scored.groupBy("point_id", "query_id").agg(F.min_by("key", best).alias("key"), F.max("final").alias("best_final"))
+#: What a point needs of a candidate besides its query and key.
+FEATURES = ("lexical", "intent", "unmatched", "hinted", "resource", "first", "covered", "deprecated", "tier", "tie")
+
+
+def collapse(candidates: DataFrame) -> DataFrame:
+    """One candidate for each query and vector of FEATURES: the smallest key. The others come
+    after it at every point, as an order by equal values ends in the key."""
+    return candidates.groupBy("query_id", *FEATURES).agg(F.min("key").alias("key"))
+
+
+def final_score() -> Column:
+    """The score of a candidate's features at a point (a column for each constant)."""
+    c = F.col
+    intent = F.when(c("intent") > 0, c("method_match_bonus")).when(c("intent") < 0, -c("method_mismatch_penalty")).otherwise(0.0)
+    flag = lambda name, value: F.when(c(name), c(value)).otherwise(0.0)
+    structural = intent - F.least(c("unmatched").cast("double"), c("path_unmatched_cap")) * c("path_unmatched_penalty") + flag("hinted", "product_hint_bonus") + flag("resource", "resource_match_bonus") + flag("first", "method_order_bonus") + c("covered") * c("path_coverage_bonus")
+    return F.greatest(c("lexical") + structural, F.lit(0.0)) * F.when(c("deprecated"), 0.7).otherwise(1.0)
+
+
+def sweep(candidates: DataFrame, points: DataFrame) -> DataFrame:
+    """The best key of each query at each point, in the order of the search.
+
+    ``candidates`` (query_id, key, FEATURES) are collapsed first, so that what meets the points
+    is a few dozen vectors for each query; points are the broadcast side (their number is the
+    grid's), and the best row of each (point, query) is kept while rows are made."""
+    scored = collapse(candidates).crossJoin(F.broadcast(points)).withColumn("final", final_score()).where("final > 0")
+    best = F.struct("tier", (-F.col("final")).alias("f"), "tie", "deprecated", "key")
+    out = scored.groupBy("point_id", "query_id").agg(F.min(best).alias("b"))
+    return out.select("point_id", "query_id", "b.key", (-F.col("b.f")).alias("best_final"))
+
+
+def passing_points(best: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """(point_id) of points at which every fixture (query_id, keys) has one of its keys first."""
+    n = fixtures.agg(F.count("*").alias("n"))
+    right = best.join(F.broadcast(fixtures), "query_id").where(F.array_contains("keys", F.col("key"))).groupBy("point_id").agg(F.count("*").alias("right"))
+    return best.select("point_id").distinct().join(right, "point_id", "left").crossJoin(F.broadcast(n)).where(F.coalesce("right", F.lit(0)) == F.col("n")).select("point_id")
 
 
 def select_point(vectors: DataFrame, axes: dict[str, list[float]], baseline: dict[str, float]) -> DataFrame:

@@ -198,6 +198,15 @@ def signals(ranking: Ranking) -> Column:
     )
 
 
+def _order_flags(ranking: Ranking) -> tuple[Column, Column]:
+    """What is compared before and after the score: methods that don't fit, and methods that
+    fit but aren't the verb's first."""
+    has_intent = F.coalesce(F.size("allowed") > 0, F.lit(False)) & ~F.col("identifier")
+    tier = F.when(has_intent & ~F.array_contains("allowed", F.col("method")), 1).otherwise(0) if ranking.intent_tier else F.lit(0)
+    tie = F.when(has_intent & F.array_contains("allowed", F.col("preferred")) & (F.col("method") != F.col("preferred")), 1).otherwise(0) if ranking.preferred_method_tiebreak else F.lit(0)
+    return tier, tie
+
+
 SIGNALS = ("method_intent", "path_unmatched", "product_hint", "resource_match", "method_order", "path_coverage")
 
 
@@ -207,12 +216,25 @@ def score(lex: DataFrame, query_rows: DataFrame, op_rows: DataFrame, ranking: Ra
     structural = sum((F.col(f"signals.{s}.value") for s in SIGNALS[1:]), F.col(f"signals.{SIGNALS[0]}.value"))
     factor = F.when(F.col("deprecated"), DEPRECATED_FACTOR).otherwise(1.0)
     both = both.withColumn("structural", structural).withColumn("final", F.greatest(F.col("lexical") + F.col("structural"), F.lit(0.0)) * factor).where("final > 0")
-    has_intent = F.coalesce(F.size("allowed") > 0, F.lit(False)) & ~F.col("identifier")
-    tier = F.when(has_intent & ~F.array_contains("allowed", F.col("method")), 1).otherwise(0) if ranking.intent_tier else F.lit(0)
-    tie = F.when(has_intent & F.array_contains("allowed", F.col("preferred")) & (F.col("method") != F.col("preferred")), 1).otherwise(0) if ranking.preferred_method_tiebreak else F.lit(0)
+    tier, tie = _order_flags(ranking)
     return both.withColumn("tier", tier).withColumn("tie", tie)
 
 
+def grid_features(lex: DataFrame, query_rows: DataFrame, op_rows: DataFrame, ranking: Ranking) -> DataFrame:
+    """(query_id, key, lexical and what the constants of a grid point are applied to)."""
+    both = lex.join(op_rows, "key").join(query_rows, "query_id")
+    has_intent = F.coalesce(F.size("allowed") > 0, F.lit(False))
+    fits = F.array_contains("allowed", F.col("method"))
+    met = lambda o: F.arrays_overlap(F.array(o, T.singular(o)), F.col("expanded"))
+    preferred = has_intent & F.array_contains("allowed", F.col("preferred"))
+    tier, tie = _order_flags(ranking)
+    return both.select(
+        "query_id", "key", "lexical", F.when(~has_intent, 0).when(fits, 1).otherwise(-1).alias("intent"), F.size(F.filter("origins", lambda o: ~met(o))).alias("unmatched"), F.array_contains("hinted", F.col("source")).alias("hinted"),
+        ((F.size("last") > 0) & F.forall("last", met)).alias("resource"), F.coalesce(preferred & (F.col("method") == F.col("preferred")), F.lit(False)).alias("first"), F.size(F.filter("origins", met)).alias("covered"),
+        "deprecated", tier.alias("tier"), tie.alias("tie"),
+    )
+
+
 def exact_pins(queries: DataFrame, op_rows: DataFrame) -> DataFrame:
     """(query_id, key, match) of queries of one word that name a key or an operation id;
     ids are compared without case only where nothing else fits."""

@@ -11,8 +11,12 @@ from quillspark.plans import search_queries as B
 
 SECTIONS = ["held_out", "negative", "seed", "regression_positive", "regression_negative"]
 WRITES = B.Q.words(E.WRITE_METHODS)
-AXES = {"method_match_bonus": [1.0, 2.0, 3.0], "method_mismatch_penalty": [0.0, 2.0, 4.0], "path_unmatched_penalty": [0.5, 1.0]}
-BASELINE = {"method_match_bonus": 2.0, "method_mismatch_penalty": 2.0, "path_unmatched_penalty": 1.0}
+AXES = {
+    "method_match_bonus": [1.0, 2.0], "method_mismatch_penalty": [2.0, 4.0], "path_unmatched_penalty": [0.5, 1.0], "path_unmatched_cap": [2.0, 3.0],
+    "product_hint_bonus": [2.0, 3.0], "resource_match_bonus": [5.0, 10.0], "method_order_bonus": [0.0, 1.0], "path_coverage_bonus": [0.0, 0.5],
+}
+BASELINE = {"method_match_bonus": 2.0, "method_mismatch_penalty": 2.0, "path_unmatched_penalty": 1.0, "path_unmatched_cap": 3.0, "product_hint_bonus": 3.0, "resource_match_bonus": 10.0, "method_order_bonus": 0.0, "path_coverage_bonus": 0.0}
+BASE_POINT = "|".join(map(str, BASELINE.values()))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,21 +71,17 @@ def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, key, lexical and counts): everything a grid point needs, made once."""
+    """(query_id, key, features): everything a grid point needs, made once."""
     q, ops = B.queries(spark, sf_dir), B.operations(spark, sf_dir)
     tokens = S.expand(q, *B.aliases(spark))
     lex = S.lexical(q, tokens, S.postings(ops), B.RANKING)
-    both = lex.join(S.features(ops, B.RANKING.noise), "key").join(S.query_features(q, tokens, B.RANKING), "query_id")
-    unmatched = F.filter("origins", lambda o: ~F.arrays_overlap(F.array(o, S.T.singular(o)), F.col("expanded")))
-    return both.select("query_id", "key", "lexical", F.array_contains("allowed", F.col("method")).alias("fits"), F.size(unmatched).alias("unmatched"), "deprecated")
+    return S.grid_features(lex, S.query_features(q, tokens, B.RANKING), S.features(ops, B.RANKING.noise), B.RANKING)
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     axes = {k: spark.sql(f"SELECT * FROM VALUES {', '.join(f'(double({v}))' for v in vs)} AS t({k})") for k, vs in AXES.items()}
     points = E.grid_points(axes).withColumn("point_id", F.concat_ws("|", *AXES))
-    c = F.col
-    final = F.greatest(c("lexical") + F.when(c("fits"), c("method_match_bonus")).otherwise(-c("method_mismatch_penalty")) - F.least("unmatched", F.lit(3)) * c("path_unmatched_penalty"), F.lit(0.0)) * F.when(c("deprecated"), 0.7).otherwise(1.0)
-    return E.sweep(_candidates(spark, sf_dir), points, final, [-c("final"), c("key")])
+    return E.sweep(_candidates(spark, sf_dir), points)
 
 
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +89,13 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def select_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of all points, each query's best key taken as its recommendation; the choice."""
-    best = _best(spark, sf_dir).join(records(spark, sf_dir), F.col("query_id") == F.col("id"))
+    """Vectors of the points that keep the fixtures (seeds that are right at the baseline),
+    each query's best key taken as its recommendation; the choice."""
+    every = _best(spark, sf_dir).join(records(spark, sf_dir), F.col("query_id") == F.col("id")).persist()
     no = F.lit(False)
     hit = F.coalesce(F.array_contains("expected", F.col("key")), no)
+    fixtures = every.where((F.col("section") == "seed") & (F.col("point_id") == BASE_POINT) & hit).select("query_id", F.col("expected").alias("keys"))
+    best = every.join(E.passing_points(every, fixtures), "point_id", "left_semi")
     rows = best.select("point_id", "section", hit.alias("top3"), F.lit(False).alias("abstained"), hit.alias("rec_correct"), (~hit & F.split("key", ":")[1].isin(*E.WRITE_METHODS)).alias("wrong_write"), F.coalesce(F.array_contains("forbidden", F.col("key")), no).alias("forbidden_recommended"), F.lit(True).alias("eligible"))
     v = E.training_vector(rows, ["point_id"])
     for i, k in enumerate(AXES):
@@ -150,11 +153,27 @@ _VEC = """count(*) FILTER (t AND wrong_write) AS wv, count(*) FILTER (t AND forb
   count(*) FILTER (section = 'seed' AND eligible) AS n_seed_elig, count(*) FILTER (section = 'regression_positive' AND eligible) AS n_rp_elig"""
 _T = "section IN ('seed', 'regression_positive', 'regression_negative') AS t"
 _ACC = "wv = 0 AND fr = 0 AND ir = 0 AND 10 * sr3 >= 9 * n_seed AND 10 * src >= 9 * n_seed_elig AND 10 * srk >= 9 * src AND rp3 = n_rp AND rpk = n_rp_elig AND 8 * nab >= 7 * n_rn"
+_POINTS = ", ".join(f"(SELECT unnest({vs})::DOUBLE AS {k})" for k, vs in AXES.items())
 _GRID = f"""
-pt AS (SELECT concat_ws('|', a::VARCHAR, b::VARCHAR, c::VARCHAR) AS point_id, * FROM (SELECT unnest([1.0, 2.0, 3.0])::DOUBLE AS a), (SELECT unnest([0.0, 2.0, 4.0])::DOUBLE AS b), (SELECT unnest([0.5, 1.0])::DOUBLE AS c)),
-cand AS (SELECT query_id, key, lexical, list_contains(allowed, method) AS fits, len(list_filter(origins, lambda o: NOT {B._MET('o')})) AS unmatched, deprecated FROM lex JOIN of USING (key) JOIN qf USING (query_id)),
-pts AS (SELECT point_id, query_id, key, greatest(lexical + CASE WHEN fits THEN a ELSE -b END - least(unmatched, 3) * c, 0) * CASE WHEN deprecated THEN 0.7::DOUBLE ELSE 1 END AS final FROM cand, pt),
-best AS (SELECT point_id, query_id, arg_min(key, (-final, key)) AS key, max(final)::DOUBLE AS best_final FROM pts WHERE final > 0 GROUP BY ALL)"""
+pt AS (SELECT concat_ws('|', {', '.join(f'{k}::VARCHAR' for k in AXES)}) AS point_id, * FROM {_POINTS}),
+cand AS (
+  SELECT query_id, min(key) AS key, lexical, fits, unmatched, hint, res, first, covered, deprecated, tie FROM (
+    SELECT query_id, key, lexical, list_contains(allowed, method) AS fits, len(list_filter(origins, lambda o: NOT {B._MET('o')})) AS unmatched, list_contains(hinted, source) AS hint,
+           len(last) > 0 AND len(list_filter(last, lambda o: {B._MET('o')})) = len(last) AS res, method = allowed[1] AS first, len(list_filter(origins, lambda o: {B._MET('o')})) AS covered, deprecated,
+           CASE WHEN method <> allowed[1] THEN 1 ELSE 0 END AS tie FROM lex JOIN of USING (key) JOIN qf USING (query_id)) GROUP BY ALL),
+pts AS (
+  SELECT point_id, query_id, key, CASE WHEN fits THEN 0 ELSE 1 END AS tier, tie, deprecated,
+         greatest(lexical + (CASE WHEN fits THEN method_match_bonus ELSE -method_mismatch_penalty END - least(unmatched, path_unmatched_cap) * path_unmatched_penalty + CASE WHEN hint THEN product_hint_bonus ELSE 0 END
+           + CASE WHEN res THEN resource_match_bonus ELSE 0 END + CASE WHEN first THEN method_order_bonus ELSE 0 END + covered * path_coverage_bonus), 0) * CASE WHEN deprecated THEN 0.7::DOUBLE ELSE 1 END AS final FROM cand, pt),
+best AS (SELECT point_id, query_id, arg_min(key, (tier, -final, tie, deprecated, key)) AS key, arg_min(final, (tier, -final, tie, deprecated, key))::DOUBLE AS best_final FROM pts WHERE final > 0 GROUP BY ALL)"""
+_SELF = """
+qs AS (SELECT summary || '/' || method AS query_id, lower(method) || ' ' || lower(summary) AS query, min(key) AS expected FROM ops GROUP BY summary, method)"""
+_NO_HINTS = B.SCORES.replace(B._HINTS, "[]::VARCHAR[]").replace("CASE WHEN list_contains(ws, 'list') THEN ['GET'] WHEN list_contains(ws, 'create') THEN ['POST'] WHEN list_contains(ws, 'update') THEN ['PUT', 'PATCH'] ELSE ['DELETE'] END", "[upper(split_part(query, ' ', 1))]").replace(f"(SELECT query_id, {B.Q.unigrams('query')} AS ws FROM qs)", f"(SELECT query_id, query, {B.Q.unigrams('query')} AS ws FROM qs)")
+_FLAT = lambda s: s.replace("CASE WHEN list_contains(allowed, method) THEN 0 ELSE 1 END AS tier", "0 AS tier")
+_TIED = lambda s: s.replace("CASE WHEN method <> allowed[1] THEN 1 ELSE 0 END AS tie", "0 AS tie")
+_DAMPED = B.LEXICAL.replace("kind = 'base' OR terminal", "kind = 'base'").replace(" AND NOT terminal", "")
+_TOP = lambda name, **parts: f"{name} AS ({B.RANKED_OF(B.OPS, _SELF, **parts)} SELECT query_id, expected, key FROM qs LEFT JOIN (SELECT query_id, key FROM ranked WHERE rank = 1) USING (query_id))"
+_PLAIN = f"base AS (SELECT query_id, unnest({B.Q.token_set('query')}) AS token FROM qs), toks AS (SELECT *, 'base' AS kind FROM base)"
 
 SQL = {
     "eval_invalid_records": f"""WITH {B.OPS}, {B.QS}, {_REC}
@@ -178,10 +197,19 @@ SELECT *, reach AND coverage AND precision AND write_safety AND abstention AND e
     "eval_violations": f"""{_BASE}, {_USE} SELECT section, count(*) FILTER (wrong_write OR forbidden_recommended OR CASE WHEN section = 'regression_negative' THEN NOT abstained WHEN NOT eligible THEN NOT abstained OR NOT top3
   ELSE NOT top3 OR abstained OR NOT rec_correct END) AS violations FROM usage WHERE section IN ('seed', 'regression_positive', 'regression_negative') GROUP BY section""",
     "eval_grid_sweep": f"{_BASE}, {_GRID} SELECT * FROM best",
-    "eval_select_point": f"""{_BASE}, {_GRID}, rows AS (
+    "eval_select_point": f"""{_BASE}, {_GRID}, every AS (SELECT * FROM best JOIN records ON query_id = id),
+fx AS (SELECT query_id, expected AS keys FROM every WHERE section = 'seed' AND point_id = '{BASE_POINT}' AND list_contains(expected, key)),
+keep AS (SELECT point_id FROM every LEFT JOIN fx USING (query_id) GROUP BY 1 HAVING count(*) FILTER (list_contains(keys, key)) = (SELECT count(*) FROM fx)),
+rows AS (
   SELECT point_id, section, list_contains(expected, key) AS top3, false AS abstained, list_contains(expected, key) AS rec_correct, NOT list_contains(expected, key) AND string_split(key, ':')[2] IN {WRITES} AS wrong_write,
-         list_contains(forbidden, key) AS forbidden_recommended, true AS eligible FROM best JOIN records ON query_id = id),
+         list_contains(forbidden, key) AS forbidden_recommended, true AS eligible FROM every JOIN keep USING (point_id)),
 v AS (SELECT *, {_ACC} AS accepted FROM (SELECT point_id, {_VEC} FROM (SELECT *, {_T} FROM rows) GROUP BY point_id)),
-o AS (SELECT *, abs(list_position([1.0, 2.0, 3.0]::DOUBLE[], a) - 2) + abs(list_position([0.0, 2.0, 4.0]::DOUBLE[], b) - 2) + abs(list_position([0.5, 1.0]::DOUBLE[], c) - 2) AS dist FROM v JOIN pt USING (point_id))
-SELECT point_id, wv, fr, sr3, accepted FROM o ORDER BY NOT accepted, CASE WHEN accepted THEN NULL ELSE (wv, fr, ir, -sr3, -srk, -src, -rp3, -rpk, -nab) END, dist, a + b + c, a, b, c LIMIT 1""",
+o AS (SELECT *, {' + '.join(f"abs(list_position({AXES[k]}::DOUBLE[], {k}) - {AXES[k].index(BASELINE[k]) + 1})" for k in AXES)} AS dist FROM v JOIN pt USING (point_id))
+SELECT point_id, wv, fr, sr3, accepted FROM o ORDER BY NOT accepted, CASE WHEN accepted THEN NULL ELSE (wv, fr, ir, -sr3, -srk, -src, -rp3, -rpk, -nab) END, path_coverage_bonus, method_order_bonus, dist, {' + '.join(k for k in AXES if k != 'path_unmatched_cap')}, {', '.join(AXES)} LIMIT 1""",
+    "eval_ablation": f"""WITH {_TOP('off', lexical=_DAMPED, scores=_TIED(_FLAT(_NO_HINTS)))}, {_TOP('whole', scores=_NO_HINTS)}, {_TOP('flat', scores=_FLAT(_NO_HINTS))},
+j AS (SELECT variant, coalesce(off.key = off.expected, false) AS was, coalesce(n.key = off.expected, false) AS now FROM off JOIN (SELECT 'all' AS variant, * FROM whole UNION ALL SELECT 'no_tier', * FROM flat) n USING (query_id)),
+t AS (SELECT variant, count(*) FILTER (was) AS eligible, count(*) FILTER (was AND NOT now) AS losses, count(*) FILTER (NOT was AND now) AS gains FROM j GROUP BY 1)
+SELECT *, 100 * losses <= eligible AND eligible > 0 AS ok FROM t""",
+    "eval_ranking_differences": f"""WITH a AS ({B.RANKED} SELECT query_id, rank, key AS k1, score AS s1 FROM ranked WHERE rank <= 3), b AS ({B.RANKED_OF(B.OPS, expand=_PLAIN)} SELECT query_id, rank, key AS k2, score AS s2 FROM ranked WHERE rank <= 3)
+SELECT query_id, min(rank) AS first_difference FROM a FULL JOIN b USING (query_id, rank) WHERE k1 IS DISTINCT FROM k2 OR s1 IS DISTINCT FROM s2 GROUP BY 1""",
 }
