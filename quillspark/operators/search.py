@@ -157,24 +157,49 @@ def query_features(queries: DataFrame, tokens: DataFrame, ranking: Ranking) -> D
 # ---- scoring --------------------------------------------------------------------------
 
 
+#: Words of a query that one 64-bit mask tells apart.
+MASK = 62
+
+
+def _met_masks(queries: DataFrame, tokens: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``tokens`` with masks of the words that each token of the query itself meets (the word
+    or its singular), and ``full``, the masks of all words (null for a query without words).
+
+    As many masks as the longest query needs; nearly always one."""
+    words = queries.select("query_id", T.unigrams("query").alias("words"))
+    n = max(1, -(-(words.agg(F.max(F.size("words"))).first()[0] or 0) // MASK))
+    bit = lambda i: F.pow(F.lit(2.0), i).cast("long")
+    part = lambda k: F.slice("words", k * MASK + 1, MASK)
+    own = F.col("kind").isin("base", "joined")
+    met = lambda w: own & ((F.col("token") == w) | (F.col("token") == T.singular(w)))
+    mask = lambda k: F.aggregate(F.transform(part(k), lambda w, i: F.when(met(w), bit(i)).otherwise(0)), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x))
+    names = [f"mask{k}" for k in range(n)]
+    full = F.when(F.size("words") > 0, F.array(*[bit(F.size(part(k))) - 1 for k in range(n)]))
+    return tokens.join(words, "query_id").select("query_id", "token", "kind", full.alias("full"), *[mask(k).alias(names[k]) for k in range(n)]), names
+
+
 def lexical(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ranking) -> DataFrame:
     """(query_id, key, lexical) of every operation with a hit.
 
     Integer weights are summed for each kind of token and combined once, so that the
-    result doesn't depend on the order of rows."""
-    full = F.col("terminal") if ranking.terminal_alias_full_weight else F.lit(False)
+    result doesn't depend on the order of rows. Words met are bits, so that all that is kept
+    of a pair while it is summed has a fixed size."""
+    at_last = F.col("terminal") if ranking.terminal_alias_full_weight else F.lit(False)
     part = lambda cond: F.sum(F.when(cond, F.col("weight")).otherwise(0))
     kind = F.col("kind")
-    hits = tokens.join(index, "token").groupBy("query_id", "key").agg(
-        part(kind.isin("base", "joined") | full).alias("whole"),
-        part((kind == "direct") & ~full).alias("direct"),
-        part((kind == "cond") & ~full).alias("cond"),
-        F.collect_set(F.when(kind.isin("base", "joined"), F.col("token"))).alias("matched"),
+    masked, names = _met_masks(queries, tokens)
+    hits = masked.join(index, "token").groupBy("query_id", "key").agg(
+        part(kind.isin("base", "joined") | at_last).alias("whole"),
+        part((kind == "direct") & ~at_last).alias("direct"),
+        part((kind == "cond") & ~at_last).alias("cond"),
+        *[F.bit_or(m).alias(m) for m in names],
+        *[F.max(F.get("full", F.lit(k))).alias(f"full{k}") for k in range(len(names))],
     )
-    words = queries.select("query_id", T.unigrams("query").alias("words"))
     score = F.col("whole") + F.col("direct") * F.lit(ranking.alias_damping) + F.col("cond") * F.lit(ranking.rule_damping)
-    every = (F.size("words") > 0) & F.forall("words", lambda t: F.arrays_overlap(F.array(t, T.singular(t)), F.col("matched")))
-    return hits.join(words, "query_id").select("query_id", "key", score.alias("_s"), every.alias("_e")).select("query_id", "key", F.when((F.col("_s") > 0) & F.col("_e"), F.col("_s") + ALL_MATCH_BONUS).otherwise(F.col("_s")).alias("lexical")).where("lexical > 0")
+    every = F.lit(True)
+    for k, m in enumerate(names):
+        every = every & F.coalesce(F.col(m) == F.col(f"full{k}"), F.lit(False))
+    return hits.select("query_id", "key", score.alias("_s"), every.alias("_e")).select("query_id", "key", F.when((F.col("_s") > 0) & F.col("_e"), F.col("_s") + ALL_MATCH_BONUS).otherwise(F.col("_s")).alias("lexical")).where("lexical > 0")
 
 
 def signals(ranking: Ranking) -> Column:
