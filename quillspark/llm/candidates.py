@@ -1,9 +1,10 @@
 """Which hashes are shared by several ids, found with one exchange of packed blocks.
 
-Tasks emit (token, id, size) entries as packed arrays, dealt over buckets by token. What a
-task itself sees twice goes out once for the token, and the other ids of the token go
-straight to the result by way of a bucket of their own. So a token held by a third of all
-ids reaches its bucket only once from each block of about ``FLUSH`` entries.
+Tasks emit (token, id) entries, with a place where places count, as packed arrays dealt over
+buckets by token. What a task itself sees in several ids goes out for the first of them, and
+the entries of the others go straight to the result by way of a bucket of their own. So a
+token held by a third of all ids reaches its bucket only once from each block of about
+``FLUSH`` entries.
 """
 
 from __future__ import annotations
@@ -21,26 +22,30 @@ FLUSH = 400_000
 BUCKET_BYTES = 8 << 20
 
 #: A token's upper 40 bits (its bucket comes from the lower ones), whether its task met it
-#: in several ids, the id, and what is carried along.
+#: in several ids, and the id. With places: the whole token, and the place.
 ENTRY = [("t", "<u4"), ("u", "u1"), ("f", "u1"), ("s", "<i8")]
-CARRY = ("n", "<i4")
+PLACED = [("t", "<u8"), ("f", "u1"), ("s", "<i8"), ("n", "<i4")]
 
 
 def _blocks(t: np.ndarray, s: np.ndarray, n: np.ndarray | None, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(kind, bucket, packed entries): kind 1 is to be matched, kind 0 known to be shared."""
-    order = np.lexsort((s, t))
-    t, s = t[order], s[order]
+    at = np.zeros(len(t), np.int32) if n is None else n
+    order = np.lexsort((at, s, t))
+    t, s, at = t[order], s[order], at[order]
     new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
-    t, s = t[new], s[new]
-    first = np.ones(len(t), bool)
-    first[1:] = t[1:] != t[:-1]
-    follows = np.append(~first[1:], False)  # the next entry is of the same token
+    new[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1]) | (at[1:] != at[:-1])
+    t, s, at = t[new], s[new], at[new]
+    starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    size = np.diff(np.append(starts, len(t)))
+    first = s == np.repeat(s[starts], size)
+    several = np.repeat(~np.logical_and.reduceat(first, starts), size)
     home = (t & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
-    e = np.zeros(len(t), ENTRY + [CARRY] * (n is not None))
-    e["t"], e["u"], e["f"], e["s"] = t >> np.uint64(32), (t >> np.uint64(24)) & np.uint64(0xFF), first & follows, s
-    if n is not None:
-        e["n"] = n[order][new]
+    e = np.zeros(len(t), ENTRY if n is None else PLACED)
+    e["f"], e["s"] = several, s
+    if n is None:
+        e["t"], e["u"] = t >> np.uint64(32), (t >> np.uint64(24)) & np.uint64(0xFF)
+    else:
+        e["t"], e["n"] = t, at
     for kind, part, bucket in ((1, e[first], home[first]), (0, e[~first], home[~first])):
         if not len(part):
             continue
@@ -51,13 +56,15 @@ def _blocks(t: np.ndarray, s: np.ndarray, n: np.ndarray | None, buckets: int) ->
 
 
 def shared(docs: DataFrame, entries: Callable, total: int, carry: bool = False) -> DataFrame:
-    """Distinct (key, sid) of all tokens held by two ids or more, and n with ``carry``.
+    """Distinct (key, sid) of all tokens held by two ids or more; with ``carry`` every place n
+    that an id has one of them at.
 
     ``entries`` maps a record batch of ``docs`` to arrays (token, sid, n), n None without
     ``carry``; ``total`` is about how many entries there will be, and sets the number of
-    buckets. Two tokens rarely count as one, as 40 bits and the bucket tell them apart."""
+    buckets. Two tokens rarely count as one, as 40 bits and the bucket tell them apart; with
+    ``carry`` all 64 bits do, and are the key."""
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind_ = np.dtype(ENTRY + [CARRY] * carry)
+    kind_ = np.dtype(PLACED if carry else ENTRY)
     buckets = min(max(least * 2, -(-total * kind_.itemsize // BUCKET_BYTES)), 1 << 23)
 
     def emit(batches):
@@ -86,14 +93,14 @@ def shared(docs: DataFrame, entries: Callable, total: int, carry: bool = False)
 
     def match(group: pa.Table) -> pa.Table:
         e = np.frombuffer(b"".join(x.as_py() for x in group["blob"]), kind_)
-        key = (e["t"].astype(np.int64) << 8) | e["u"] | (np.int64(group["bucket"][0].as_py()) << 40)
+        key = e["t"].astype(np.int64) if carry else (e["t"].astype(np.int64) << 8) | e["u"] | (np.int64(group["bucket"][0].as_py()) << 40)
         if group["kind"][0].as_py():
             order = np.lexsort((e["s"], key))
             e, key = e[order], key[order]
-            same = np.zeros(len(e) + 1, bool)
-            same[1:-1] = key[1:] == key[:-1]
-            many = same[1:] | same[:-1] | (e["f"] > 0)
-            e, key = e[many], key[many]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(starts, len(e)))
+            many = (e["s"][starts] != e["s"][starts + size - 1]) | (np.maximum.reduceat(e["f"], starts) > 0)
+            e, key = e[np.repeat(many, size)], key[np.repeat(many, size)]
         return pa.table({"key": key, "sid": e["s"].astype(np.int64)} | ({"n": e["n"].astype(np.int32)} if carry else {}))
 
     packed = docs.mapInArrow(emit, "bucket int, salt int, kind int, blob binary")

@@ -1,28 +1,34 @@
 """Substring dedup: passages that repeat across documents.
 
-A document is cut into paragraphs in two ways. Its lines of ``MIN_WORDS`` words or more
-are natural paragraphs: they are banded by MinHash over 5-word shingles, colliding ones are
+A document is cut into paragraphs in two ways. Its lines are natural paragraphs; lines of
+under ``MIN_WORDS`` words are joined with those next to them, up to a blank line. Paragraphs
+of ``MIN_WORDS`` words or more are banded by MinHash over 5-word shingles, colliding ones are
 joined and verified by exact Jaccard similarity, and classes are connected components.
-``tune_bands`` picks the bands for a recall of ``RECALL`` at the similarity asked for. As
-a repeated passage may also stand in the middle of different lines, every document is cut
-again into overlapping paragraphs of ``SPAN`` words that begin at winnowed positions (the
-smallest hash in each ``WINNOW`` positions), so that an equal passage of ``SPAN +
-WINNOW`` words or more yields an equal paragraph wherever it stands; those need no bands,
-as equal ones have equal hashes.
+``tune`` picks rows and bands for a recall of ``RECALL`` at the similarity asked for, at the
+least cost. As a repeated passage may also stand in the middle of different lines, every
+document is cut again into overlapping paragraphs of ``SPAN`` words that begin at winnowed
+positions (the smallest hash in each ``WINNOW`` positions), so that an equal passage of
+``SPAN + WINNOW - 1`` words or more yields equal paragraphs wherever it stands, and all of it
+but ``WINNOW - 1`` words at an end at most. Those need no bands: their class is the 64-bit
+hash of their words.
 
 In each class the paragraph that comes first (by doc_id, then position) stays; the others'
 words are removed. Overlapping removals of a document are united.
 
-Defined results: null and empty texts, and those of fewer than ``MIN_WORDS`` words, have
-no paragraphs and aren't in the result; rows with a null id are left out; repeated rows
-(equal id) are one document to the classes; an empty table gives no rows.
+``MIN_WORDS`` is what counts as a passage here, whatever the size of the data: shorter
+paragraphs and documents are no passages.
+
+Defined results: null and empty texts, and those without a passage, aren't in the result;
+rows with a null id are left out; repeated rows (equal id) are one document to the classes,
+and a passage that repeats within one document only isn't shared; very long texts are cut
+whole; other columns aren't read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.candidates import shared
@@ -33,10 +39,13 @@ from quillspark.llm.textkit import NOT_SPACE, chunks, mix64, windows, words
 SHINGLE = 5
 NUM, DEN = 80, 100
 MIN_WORDS = 24
-SPAN = 32
-WINNOW = 18
+SPAN = 40
+WINNOW = 10
 RECALL = 0.99
 ROWS = 2
+#: What unlike paragraphs have in common, and the cost of bringing two of them together,
+#: counted in minima.
+UNLIKE, COLLISION = 0.5, 100
 
 
 def tune_bands(similarity: float, recall: float = RECALL, rows: int = ROWS) -> int:
@@ -47,8 +56,20 @@ def tune_bands(similarity: float, recall: float = RECALL, rows: int = ROWS) -> i
     return bands
 
 
+def tune(similarity: float, recall: float = RECALL) -> tuple[int, int]:
+    """Rows and bands of least cost among those that reach the recall: more rows make more
+    minima, and fewer collisions of unlike paragraphs."""
+
+    def cost(rows: int) -> float:
+        bands = tune_bands(similarity, recall, rows)
+        return rows * bands + COLLISION * (1 - (1 - UNLIKE**rows) ** bands)
+
+    rows = min(range(1, 9), key=cost)
+    return rows, tune_bands(similarity, recall, rows)
+
+
 class _Lines:
-    """The lines of a chunk: words, their hashes, and each line's first and end word."""
+    """The natural paragraphs of a chunk: words, their hashes, and each one's first and end word."""
 
     def __init__(self, chunk):
         self.w = w = words(chunk, NOT_SPACE, lower=True)
@@ -56,7 +77,11 @@ class _Lines:
         mark = np.cumsum(chunk.buf == 0x0A)[w.start] if len(w.start) else np.zeros(0, np.int64)
         new = np.ones(len(w.start), bool)
         new[1:] = (mark[1:] != mark[:-1]) | (w.doc[1:] != w.doc[:-1])
-        self.first = np.flatnonzero(new)
+        first = np.flatnonzero(new)
+        short = np.diff(np.append(first, len(w.start))) < MIN_WORDS
+        joined = np.zeros(len(first), bool)
+        joined[1:] = short[1:] & short[:-1] & (w.doc[first[1:]] == w.doc[first[:-1]]) & (mark[first[1:]] - mark[first[:-1]] == 1)
+        self.first = first[~joined]
         self.end = np.append(self.first[1:], len(w.start)).astype(np.int64)[: len(self.first)]
         self.long = self.end - self.first >= MIN_WORDS
         self.g, _ = windows(self.h, w.doc, SHINGLE)
@@ -81,6 +106,17 @@ class _Lines:
             out[i] = np.minimum.reduceat(v, self.first)
         return out
 
+    def sizes(self) -> np.ndarray:
+        """How many distinct shingles each line has."""
+        line = np.repeat(np.arange(len(self.first)), self.end - self.first)[: len(self.g)]
+        ok = np.arange(len(self.g)) + SHINGLE <= self.end[line]
+        line, g = line[ok], self.g[ok]
+        order = np.lexsort((g, line))
+        line, g = line[order], g[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (line[1:] != line[:-1])
+        return np.bincount(line[new], minlength=len(self.first))
+
     def shingles(self, i: int) -> np.ndarray:
         return np.unique(self.g[self.first[i] : self.end[i] - SHINGLE + 1])
 
@@ -100,8 +136,8 @@ def _spans(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """sid, doc_id, first and end word of every natural paragraph (a document's words are
-    counted from 0). Paragraphs of equal words have the same sid."""
+    """sid, doc_id, first and end word, and number of shingles of every natural paragraph (a
+    document's words are counted from 0). Paragraphs of equal words have the same sid."""
 
     def run(batches):
         for batch in batches:
@@ -111,29 +147,30 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 doc = x.w.doc[first]
                 at = x.w.wo[:-1][doc]
                 ids = batch.column(0).slice(chunk.first, len(chunk)).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids()[x.long]), ids, pa.array(first - at), pa.array(end - at)], ["sid", "doc_id", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.ids()[x.long]), ids, pa.array(first - at), pa.array(end - at), pa.array(x.sizes()[x.long], pa.int32())], ["sid", "doc_id", "a", "b", "n"])
 
-    return docs.mapInArrow(run, "sid long, doc_id long, a long, b long")
+    return docs.mapInArrow(run, "sid long, doc_id long, a long, b long, n int")
 
 
 def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """class, doc_id, a, b of natural paragraphs that have a similar or equal one."""
-    bands = tune_bands(num / den)
-    seeds = mix64(np.arange(1, bands * ROWS + 1, dtype=np.uint64))
+    rows, bands = tune(num / den)
+    seeds = mix64(np.arange(1, bands * rows + 1, dtype=np.uint64))
 
     def entries(batch):
         for chunk in chunks(batch.column(1)):
             x = _Lines(chunk)
             if x.long.any():
                 m, sid = x.minima(seeds)[:, x.long], x.ids()[x.long]
-                t = [mix64(np.bitwise_xor.reduce(mix64(m[b * ROWS : (b + 1) * ROWS] + np.arange(ROWS, dtype=np.uint64)[:, None]), axis=0) + np.uint64(b)) for b in range(bands)]
+                t = [mix64(np.bitwise_xor.reduce(mix64(m[b * rows : (b + 1) * rows] + np.arange(rows, dtype=np.uint64)[:, None]), axis=0) + np.uint64(b)) for b in range(bands)]
                 yield np.concatenate(t), np.tile(sid, bands), None
 
     lines = cut(paragraphs(docs))
-    distinct = cut(lines.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    distinct = cut(lines.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n")))
     group = shared(docs, entries, lines.count() * bands)
-    # the sets of the ids in candidate groups, from one document of each
-    wanted = group.select("sid").distinct().join(distinct, "sid").groupBy("doc_id").agg(F.collect_set("sid").alias("want"))
+    stay = candidates(group.join(distinct.select("sid", "n"), "sid"), num, den, np.ones_like)
+    # the sets of the ids that may have a link, from one document of each
+    wanted = stay.select("sid").distinct().join(distinct, "sid").groupBy("doc_id").agg(F.collect_set("sid").alias("want"))
 
     def hashed(batches):
         for batch in batches:
@@ -148,10 +185,9 @@ def repeated_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
                         toks.append(x.shingles(i).astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(toks, pa.binary())], ["sid", "toks"])
 
-    sets = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"]))
-    group = group.join(sets.select("sid", (F.octet_length("toks") / 8).cast("int").alias("n")), "sid")
-    _, linked = link(candidates(group, num, den, np.ones_like), sets, num, den)
-    again = distinct.join(linked, "sid", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("sid", F.coalesce("root", "sid").alias("class"))
+    sets = docs.join(wanted, "doc_id").select("doc_id", "text", "want").mapInArrow(hashed, "sid long, toks binary").dropDuplicates(["sid"])
+    _, linked = link(stay, sets, num, den)
+    again = cut(distinct.join(linked, "sid", "left").where(F.col("root").isNotNull() | (F.col("copies") > 1)).select("sid", F.coalesce("root", "sid").alias("class")))
     return lines.join(again, "sid").select("class", "doc_id", "a", "b")
 
 
@@ -177,26 +213,36 @@ def repeats(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_words = docs.select((F.length("text") / 4).alias("n")).agg(F.sum("n")).first()[0] or 0
     both = cut(repeated_lines(docs, num, den).union(repeated_spans(docs, int(n_words))))
-    first = both.groupBy("class").agg(F.min(F.struct("doc_id", "a")).alias("f"))
+    # cut, so that the join on a hot class is one that can be split at run time
+    first = cut(both.groupBy("class").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max("doc_id").alias("last")).where("last > f.doc_id").select("class", "f"))
     return both.join(first, "class").select("class", "doc_id", "a", "b", F.col("f.doc_id").alias("first_doc"), F.col("f.a").alias("first_a"))
 
 
-def removals(found: DataFrame) -> DataFrame:
-    """doc_id and its removed word ranges, united and in order; from ``repeats``."""
-    gone = found.where((F.col("doc_id") != F.col("first_doc")) | (F.col("a") != F.col("first_a")))
-    ranges = F.array_sort(F.collect_set(F.struct("a", "b")))
-    kind = "array<struct<a: long, b: long>>"
-    united = F.aggregate(
-        ranges,
-        F.array().cast(kind),
+def _gone() -> Column:
+    return (F.col("doc_id") != F.col("first_doc")) | (F.col("a") != F.col("first_a"))
+
+
+def _united(ranges: Column) -> Column:
+    """Word ranges, united and in order."""
+    return F.aggregate(
+        F.array_sort(ranges),
+        F.array().cast("array<struct<a: long, b: long>>"),
         lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))),
     )
-    return gone.groupBy("doc_id").agg(united.alias("ranges"))
+
+
+def removals(found: DataFrame) -> DataFrame:
+    """doc_id and its removed word ranges, united and in order; from ``repeats``."""
+    return found.where(_gone()).groupBy("doc_id").agg(_united(F.collect_set(F.struct("a", "b"))).alias("ranges"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, class_id (the document with the first copy), and how many of the document's
-    paragraphs and words repeat passages of that one. Documents whose passages are the
-    first copies have class_id = doc_id; documents that share nothing aren't listed."""
+    """One row for each document that shares a passage with another: class_id (the smallest
+    document that a passage of it was first in), how many of its paragraphs repeat, how many
+    of its words lie in them, how many are removed as repeats of an earlier copy, and which.
+    Documents that share nothing aren't listed."""
     found = repeats(table(spark, sf_dir, "documents"))
-    return found.groupBy("doc_id", F.col("first_doc").alias("class_id")).agg(F.count("*").alias("n_paragraphs"), F.sum(F.col("b") - F.col("a")).alias("n_words"), F.min("a").alias("first_word"))
+    here = F.struct("a", "b")
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
+    per = found.groupBy("doc_id").agg(F.min("first_doc").alias("class_id"), F.count("*").alias("n_paragraphs"), _united(F.collect_set(here)).alias("shared"), _united(F.collect_set(F.when(_gone(), here))).alias("removed"))
+    return per.select("doc_id", "class_id", "n_paragraphs", words(F.col("shared")).alias("n_words"), words(F.col("removed")).alias("n_removed"), "removed")

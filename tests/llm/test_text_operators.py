@@ -226,6 +226,70 @@ def test_bands_reach_their_recall():
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** bands >= substring_dedup.RECALL
 
 
+def test_tuned_bands_balance_minima_and_collisions():
+    rows, bands = substring_dedup.tune(0.8)
+    assert 1 - (1 - 0.8**rows) ** bands >= substring_dedup.RECALL
+    assert rows > 1 and 1 - (1 - 0.3**rows) ** bands < 0.5
+
+
+def test_similar_paragraphs_match_all_pairs(spark):
+    """Classes of natural paragraphs against all pairs: near copies, repeated rows, wrapped
+    lines, a very long text; bands are tuned for recall, so links are never more."""
+    rng = random.Random(41)
+    rows = []
+    for i in range(12):
+        base = sentence(rng, 40 + i)
+        for j, w in enumerate(near_copies(rng, base, 6)):
+            rows.append((10 * i + j, f"{sentence(rng, 30)}\n\n{w}\n\nshort {j}"))
+    wrapped = [sentence(rng, 12) for _ in range(5)]
+    rows += [(500, "\n".join(wrapped)), (501, "\n".join([*wrapped[:4], wrapped[4] + " x"])), (502, " ".join(wrapped)), rows[0], (600, None), (601, ""), (None, rows[3][1])]
+    rows += [(700, " ".join(f"u{i}" for i in range(20_000)) + "\n" + wrapped[0])]
+    d = docs(spark, rows)
+    found = substring_dedup.repeated_lines(d.where("doc_id is not null")).collect()
+    lines = {}
+    for i, t in rows:
+        if i is None or not t:
+            continue
+        for block in t.lower().split("\n\n"):
+            for line in [block] if len(block.split("\n")) > 1 and all(len(x.split()) < substring_dedup.MIN_WORDS for x in block.split("\n")) else block.split("\n"):
+                if len(line.split()) >= substring_dedup.MIN_WORDS:
+                    lines.setdefault(tuple(line.split()), set()).add(i)
+    grams = {w: frozenset(zip(*(w[k:] for k in range(5)), strict=False)) for w in lines}
+    ids = list(lines)
+    parent = {w: w for w in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in ids:
+        for y in ids:
+            if 100 * len(grams[x] & grams[y]) >= 80 * len(grams[x] | grams[y]):
+                parent[find(x)] = find(y)
+    want = {}
+    for w in ids:
+        want.setdefault(find(w), set()).update(lines[w])
+    want = sorted(sorted(x) for x in want.values() if len(x) > 1)
+    got = {}
+    for r in found:
+        got.setdefault(r["class"], set()).add(r["doc_id"])
+    assert sorted(sorted(x) for x in got.values() if len(x) > 1) == want
+    assert [500, 501, 502] in want
+
+
+def test_every_place_of_a_shared_passage_is_removed(spark):
+    rng = random.Random(43)
+    passage = sentence(rng, 60)
+    twice = f"{sentence(rng, 20)} {passage} {sentence(rng, 30)} {passage} {sentence(rng, 5)}"
+    alone = sentence(rng, 50)
+    rows = [(1, f"{passage} {sentence(rng, 40)}"), (2, twice), (2, twice), (3, f"{alone} {alone}"), (4, sentence(rng, 100))]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("x")).withColumn("a", F.lit(1)).createOrReplaceTempView("shared_passages")
+    gone = {r["doc_id"]: r["ranges"] for r in substring_dedup.removals(substring_dedup.repeats(spark.table("shared_passages"))).collect()}
+    assert set(gone) == {2} and len(gone[2]) == 2
+    assert all(51 <= x["b"] - x["a"] <= 60 for x in gone[2]) and gone[2][0]["a"] >= 20 and gone[2][1]["b"] <= 170
+
+
 def toxic_rows(rng, n):
     rows, labels = [], []
     for i in range(n):
@@ -352,6 +416,43 @@ def test_mined_rules_match_brute_force(spark):
     assert {k: pytest.approx(v) for k, v in kept.items()} == got
 
 
+def test_mined_verdicts_match_brute_force(spark):
+    """Rules mined from labelled urls against all token combinations of the urls; a template of
+    24 tokens that stand together; null, very long and repeated urls; names that clash."""
+    from itertools import combinations
+
+    rng = random.Random(18)
+    template = "/".join(f"part{chr(97 + i)}" for i in range(20))
+    urls = [f"http://{rng.choice(['a', 'b'])}.net/{rng.choice(['es', 'fr'])}/{rng.choice('xyz')}" for _ in range(60)]
+    urls += [f"http://example.com/{rng.choice(['de', 'nl'])}/{rng.choice('xyz')}/" for _ in range(60)]
+    urls += [f"http://c.net/es/{template}?q=1&r=2" for _ in range(30)]
+    open_ = [f"http://{rng.choice(['a', 'b', 'c', 'd'])}.{rng.choice(['net', 'org'])}/{rng.choice(['es', 'de', 'part'])}/{rng.choice('xyz')}" for _ in range(80)]
+    open_ += [f"http://o.org/{template}", None, "http://o.org/" + "x/y" * 20_000, open_[0], open_[0]]
+    rows = [(i, u, "") for i, u in enumerate(urls + open_)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, mined string").withColumn("tokens", F.lit(1)).withColumn("given", F.lit("g"))
+    out = url_filter.judge_urls(pages, min_support=0.05, min_confidence=0.8)
+    got = {r["page_id"]: r["verdict"] for r in out.collect()}
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict"] and len(got) == len(rows)
+    toks = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_filter.url_tokens(F.col("url")).alias("t")).collect()}
+    given = {r["page_id"]: r["rule"] for r in out.collect()}
+    labelled = [(toks[i], got[i]) for i, _, _ in rows if given[i]]
+    # the template's tokens always stand together, so brute force needs one of them only
+    together = {t for t in toks[len(urls) - 1] if not t.startswith(("h:", "p:es"))}
+    short = lambda t: frozenset(x for x in t if x not in together or x == min(together))
+    rules = {}
+    for c in {frozenset(c) for t, _ in labelled for k in range(1, 6) for c in combinations(sorted(short(t)), k)}:
+        held = [v for t, v in labelled if c <= t]
+        for v in set(held):
+            if held.count(v) >= 0.05 * len(labelled) and held.count(v) / len(held) >= 0.8:
+                rules[c, v] = (held.count(v) / len(held), held.count(v) / len(labelled))
+    kept = {(c, v): x for (c, v), x in rules.items() if not any(d < c and w == v and y[0] >= x[0] for (d, w), y in rules.items())}
+    for i, _, _ in rows:
+        if not given[i]:
+            best = min(((-x[0], -x[1], len(c), " ".join(sorted(c)), v) for (c, v), x in kept.items() if c <= toks[i]), default=None)
+            assert got[i] == (best[-1] if best else "allow"), (toks[i], best)
+    assert any(not given[i] and got[i] == "block" for i, _, _ in rows)
+
+
 def test_digest_of_items(spark):
     bench = spark.createDataFrame([(10, "aa bb"), (9, "cc dd")], "item_id long, text string")
     d = docs(spark, [(1, "aa bb cc dd")])
