@@ -100,21 +100,27 @@ def evidence(docs_with: np.ndarray, toxic: np.ndarray, base: float) -> tuple[np.
     return used, -BIAS * np.minimum(odds / 4, 1) / (1 + len(STEMS))
 
 
-def fit(flat: np.ndarray, sent: np.ndarray, size: np.ndarray, y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Weights and leak, from weights ``w``. ``flat``: numbers of the features of all
-    documents in turn; ``size``: how many each has; ``sent``: the sentence of each feature,
-    numbered in its document from 0 on without a gap, in order."""
+#: A feature of a sentence: its number, the sentence's in the document, and how often it occurs.
+HELD = np.dtype([("f", "<i4"), ("s", "<i4"), ("c", "<u2")])
+
+
+def fit(held: np.ndarray, size: np.ndarray, y: np.ndarray, w: np.ndarray, l1: float = 0.1, rate: float = 0.2, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights and leak, from weights ``w``. ``held``: the features of all documents in turn,
+    in the order of sentences, which are numbered without a gap; ``size``: how many each has."""
     n, base = len(y), float(np.clip(y.mean(), 1e-3, 0.999))
-    has, last = size > 0, np.cumsum(size) - 1
-    sent_of = np.where(has, sent[np.maximum(last, 0)] + 1 if len(sent) else 0, 0).astype(np.int64)
-    sent = sent + np.repeat((np.cumsum(sent_of) - sent_of).astype(np.int32), size)
-    sent_doc, s = np.repeat(np.arange(n), sent_of), int(sent_of.sum())
+    doc = np.repeat(np.arange(n, dtype=np.int32), size)
+    new = np.ones(len(held), bool)
+    new[1:] = (held["s"][1:] != held["s"][:-1]) | (doc[1:] != doc[:-1])
+    starts, sent = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - np.int32(1)
+    sent_doc = doc[starts]
+    flat, times = held["f"].astype(np.intp), held["c"].astype(np.float32)
+    del doc, new, held
     lk = np.log(base / (1 - base)) - 0.5
     # A document's part in a gradient is up to 1 / n. Sums that start far below make steps
     # without bound, and the L1 step then clears weights that already separate the labels.
     gw, gl = np.full(len(w), 1.0 / n**2), 1e-12
     for _ in range(steps):
-        z = np.bincount(sent, w[flat], s)
+        z = np.add.reduceat(w[flat] * times, starts)
         leak = _sigmoid(lk)
         log_q = np.bincount(sent_doc, _clean(z), n) + np.log1p(-leak)
         q = np.exp(log_q)
@@ -122,7 +128,7 @@ def fit(flat: np.ndarray, sent: np.ndarray, size: np.ndarray, y: np.ndarray, w:
         # p being the logistic function of its odds; none where z is under 0
         factor = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0) / n
         dz = factor[sent_doc] * np.where(z < 0, 0, _sigmoid(BIAS + z))
-        dw = np.bincount(flat, dz[sent], len(w))
+        dw = np.bincount(flat, dz[sent] * times, len(w))
         gw += dw**2
         step = rate / np.sqrt(gw)
         w = w - step * dw
@@ -177,21 +183,24 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample_docs: int = SAMPLE_DO
             for chunk in chunks(batch.column(0)):
                 w, feature, first = _sentences(chunk)
                 of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w.start))))
-                pairs, size = [], []
+                rows = []
                 for a, b in zip(w.wo[:-1], w.wo[1:], strict=True):
                     at = number[feature[a:b]]
-                    _, k = np.unique(np.broadcast_to(of[a:b, None], at.shape)[at >= 0], return_inverse=True)
-                    pairs.append(np.stack([at[at >= 0], k.astype(np.int32)]).tobytes())
-                    size.append(len(k))
+                    both, count = np.unique(np.broadcast_to(of[a:b, None], at.shape)[at >= 0] * len(used) + at[at >= 0], return_counts=True)
+                    row = np.empty(len(both), HELD)
+                    row["f"], row["c"] = both % len(used), np.minimum(count, 65535)
+                    row["s"] = np.unique(both // len(used), return_inverse=True)[1]
+                    rows.append(row.tobytes())
                 y = batch.column(1).slice(chunk.first, len(chunk))
-                yield pa.RecordBatch.from_arrays([pa.array([crc32(p) for p in pairs], pa.int64()), pa.array(size, pa.int32()), y, pa.array(pairs, pa.binary())], ["h", "size", "y", "pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([crc32(r) for r in rows], pa.int64()), y, pa.array(rows, pa.binary())], ["h", "y", "held"])
 
     # sums don't depend on the order in which rows come
-    got = sample.mapInArrow(numbered, "h long, size int, y int, pairs binary").toArrow().combine_chunks().sort_by([("h", "ascending"), ("size", "ascending"), ("y", "ascending")])
-    size = got["size"].to_numpy().astype(np.int64)
-    both = [np.frombuffer(x.as_buffer(), np.int32).reshape(2, -1) for x in got["pairs"]]
-    flat, sent = (np.concatenate([p[i] for p in both]) for i in (0, 1))
-    weight, model.leak = fit(flat, sent, size, (got["y"].to_numpy() > 0).astype(np.float64), start)
+    got = sample.mapInArrow(numbered, "h long, y int, held binary").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
+    y = (got["y"].to_numpy() > 0).astype(np.float64)
+    rows = [np.frombuffer(x.as_buffer(), HELD) for x in got["held"]]
+    size, held = np.array([len(r) for r in rows]), np.concatenate(rows)
+    del rows, got
+    weight, model.leak = fit(held, size, y, start)
     model.weight[used] = weight
     return model
 
