@@ -5,6 +5,13 @@ decontamination, mixing sources to target weights, sharding. Every stage takes t
 the documents and the folder of the tables; what it returns is written as Parquet in the
 shared folder of ``spark.checkpoint.dir`` and read again as the next one's documents. All
 but the last return the columns they were given; the last tells each document's shard.
+
+Defined results, of every stage: an empty table gives an empty one; a null or empty text is no
+toxic document (it scores the model's leak), is similar to nothing, holds no benchmark item,
+has no words to be served in the mix, so it ends there, and has size 1 as a shard's row; a
+null id links nothing, is no loser of a group and is offered like the empty id; rows that
+repeat an id are judged alike, and stay or go together; very long texts are taken whole;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations

@@ -206,34 +206,39 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample_docs: int = SAMPLE_DO
 
 
 def scorer(model: Model, threshold: float = THRESHOLD):
-    """score, and the sentences at or above ``threshold`` with their byte spans and scores."""
+    """score; explained, the part of it that the sentences account for (without the leak); and
+    the sentences at or above ``threshold`` with their byte spans and scores."""
 
-    @F.arrow_udf("struct<score double, sentences array<struct<start: long, end: long, score: double, text: string>>>")
+    @F.arrow_udf("struct<score double, explained double, sentences array<struct<start: long, end: long, score: double, text: string>>>")
     def score(text: pa.Array) -> pa.Array:
         parts = []
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("text", pa.string())]))
         for chunk in chunks(text):
             w, feature, first = _sentences(chunk)
             n = len(chunk)
-            out, bad = np.full(n, model.leak), [[] for _ in range(n)]
+            all_clean, bad = np.zeros(n), [[] for _ in range(n)]  # log of the probability
             if len(first):
                 clean = _clean(np.add.reduceat(model.weight[feature].sum(axis=1, dtype=np.float64), first))
                 p, doc = -np.expm1(clean), w.doc[first]
-                out = 1 - (1 - model.leak) * np.exp(np.bincount(doc, clean, n))
+                all_clean = np.bincount(doc, clean, n)
                 last = np.append(first[1:], len(w.start)) - 1
                 for i in np.flatnonzero(p >= threshold).tolist():
                     d, a, b = int(doc[i]), int(w.start[first[i]]), int(w.end[last[i]])
                     bad[d].append({"start": a - int(chunk.off[d]), "end": b - int(chunk.off[d]), "score": float(p[i]), "text": chunk.buf[a:b].tobytes().decode(errors="replace")})
-            parts.append(structs(score=np.clip(out, 0, 1), sentences=pa.array(bad, kind)))
+            score = 1 - (1 - model.leak) * np.exp(all_clean)
+            parts.append(structs(score=np.clip(score, 0, 1), explained=np.clip(-np.expm1(all_clean), 0, 1), sentences=pa.array(bad, kind)))
         return pa.concat_arrays(parts)
 
     return score.asNondeterministic()
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents with a score under ``threshold``; columns as they come."""
+    """Documents of which sentences account for less than ``threshold``; columns as they come.
+
+    The leak tells how many labels no sentence explains, nothing of the document at hand. So it
+    drops none, and where no word was learned all documents stay."""
     tmp = "_" * (1 + max(map(len, docs.columns), default=0))
-    return docs.withColumn(tmp, scorer(model)(F.col("text"))).where(F.col(tmp)["score"] < threshold).drop(tmp)
+    return docs.withColumn(tmp, scorer(model)(F.col("text"))).where(F.col(tmp)["explained"] < threshold).drop(tmp)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
