@@ -8,6 +8,7 @@ the token and one aggregation on (query, operation).
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -326,15 +327,23 @@ def item_collection_order(scored: DataFrame, heads: DataFrame) -> DataFrame:
     grouped = pairs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("coll", "item"))).alias("pairs"))
 
     def move(pdf):
-        pdf = pdf.sort_values("seat")
-        keys, number = list(pdf["key"]), pdf["number"].iloc[0]
+        keys, number = list(pdf.sort_values("seat")["key"]), pdf["number"].iloc[0]
+        at = {k: float(i) for i, k in enumerate(keys)}
+        places = sorted(at.values())
         for pair in pdf["pairs"].iloc[0]:
-            coll, item = pair["coll"], pair["item"]
-            first, second = (item, coll) if number == "singular" else (coll, item)
-            at, to = keys.index(first), keys.index(second)
-            if at > to:
-                keys.insert(to, keys.pop(at))
-        place = {k: i + 1 for i, k in enumerate(keys)}
+            first, second = (pair["item"], pair["coll"]) if number == "singular" else (pair["coll"], pair["item"])
+            if at[first] < at[second]:
+                continue
+            i = bisect_left(places, at[second])
+            low = places[i - 1] if i else at[second] - 2
+            if not low < (low + at[second]) / 2 < at[second]:  # no room is left: places are spread anew
+                at = {k: float(j) for j, k in enumerate(sorted(at, key=at.get))}
+                places = sorted(at.values())
+                low = at[second] - 1
+            del places[bisect_left(places, at[first])]
+            at[first] = (low + at[second]) / 2
+            insort(places, at[first])
+        place = {k: i + 1 for i, k in enumerate(sorted(at, key=at.get))}
         return pdf.assign(seat=[place[k] for k in pdf["key"]])[["query_id", "key", "seat"]]
 
     kind = dict(scored.dtypes)["query_id"]
