@@ -20,6 +20,8 @@ from quillspark.llm.common import cut
 
 FLUSH = 400_000
 BUCKET_BYTES = 8 << 20
+#: Groups that entries known to be shared are dealt to in a bucket: they needn't meet.
+SALTS = 4096
 
 #: A token's upper 40 bits (its bucket comes from the lower ones), whether its task met it
 #: in several ids, and the id. With places: the whole token, and the place.
@@ -78,7 +80,7 @@ def shared(docs: DataFrame, entries: Callable, total: int, carry: bool = False)
                 ids.append(b)
                 blobs.append(blob)
                 # what is known to be shared needn't meet others of its token
-                salts.append(0 if kind else 1 + crc32(blob) % 64)
+                salts.append(0 if kind else 1 + crc32(blob) % SALTS)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(salts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "salt", "kind", "blob"])
 
         for batch in batches:

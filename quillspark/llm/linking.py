@@ -30,7 +30,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -167,10 +167,44 @@ def _overlaps(row: np.ndarray, name: np.ndarray, weight: np.ndarray, n: int) ->
     return out
 
 
-def _lists(col: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
-    """Row numbers and values of a list column."""
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return np.repeat(np.arange(len(col)), pa.compute.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)), col.flatten()
+def _list(col: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of a list column."""
+    size = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(size)]), col.flatten()
+
+
+def by_blocks(rows: DataFrame, start: Callable, schema: str) -> DataFrame:
+    """Applies a function to the rows of each (family, lo, hi), which come together in one task.
+
+    ``start`` takes a table of whole groups and gives a function of (first, end) row numbers,
+    whose results are record batches; so most families, which are small, cost no batch of
+    their own."""
+
+    def results(table: pa.Table, cuts: list[int]):
+        one = start(table.combine_chunks())
+        out = [r for a, b in zip(cuts[:-1], cuts[1:], strict=True) if (r := one(a, b)) is not None]
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            new = np.zeros(table.num_rows, bool)
+            for k in ("family", "lo", "hi"):
+                x = table[k].to_numpy()
+                new[1:] |= x[1:] != x[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist()]
+            if len(cuts) > 1:
+                yield from results(table.slice(0, cuts[-1]), cuts)
+            held = table.slice(cuts[-1])  # more of the last group may come
+        if held is not None:
+            yield from results(held, [0, held.num_rows])
+
+    return rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(run, schema)
 
 
 def _seen_before(row: np.ndarray, families: np.ndarray, family: int, n: int) -> np.ndarray:
@@ -192,53 +226,65 @@ def _tied(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which rows of the table are of its two blocks, and which pairs of them are to be compared."""
-    block, lo, hi = group["block"].to_numpy(), group["lo"][0].as_py(), group["hi"][0].as_py()
-    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-    return left, right, left[:, None] != right[None, :]
-
-
 def staying(rows: DataFrame, num: int, den: int, need: Callable) -> DataFrame:
     """(family, sid, n) of the ids that share at least ``need`` (of the smaller size) keys with
     another. ``rows``: family, lo, hi, block, sid, n, held."""
 
-    def run(group: pa.Table) -> pa.Table:
-        left, right, ok = _pairs(group)
-        n = group["n"].to_numpy().astype(np.int64)
-        row, held = _lists(group["held"])
-        keys = _overlaps(row, held.field("g").to_numpy(), held.field("w").to_numpy(), len(n))
-        less, more = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
-        ok &= (less * den >= more * num) & (keys[np.ix_(left, right)] + 0.5 >= need(less))
-        if ok.any():
-            ok &= ~_seen_before(row, held.field("family").to_numpy(), group["family"][0].as_py(), len(n))[np.ix_(left, right)]
-        has = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
-        return group.select(["family", "sid", "n"]).take(has)
+    def start(table: pa.Table) -> Callable:
+        out = table.select(["family", "sid", "n"])
+        family, lo, hi, block, size = (table[k].to_numpy() for k in ("family", "lo", "hi", "block", "n"))
+        off, held = _list(table["held"].chunk(0))
+        names, keys, weights = (held.field(k).to_numpy() for k in ("family", "g", "w"))
+
+        def one(a: int, b: int) -> pa.RecordBatch | None:
+            left, right = np.flatnonzero(block[a:b] == lo[a]), np.flatnonzero(block[a:b] == hi[a])
+            n = size[a:b].astype(np.int64)
+            less, more = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
+            ok = (left[:, None] != right[None, :]) & (less * den >= more * num)
+            if not ok.any():
+                return None
+            row, at = np.repeat(np.arange(b - a), np.diff(off[a : b + 1])), slice(off[a], off[b])
+            ok &= _overlaps(row, keys[at], weights[at], b - a)[np.ix_(left, right)] + 0.5 >= need(less)
+            if ok.any():
+                ok &= ~_seen_before(row, names[at], family[a], b - a)[np.ix_(left, right)]
+            has = np.union1d(left[ok.any(axis=1)], right[ok.any(axis=0)])
+            return out.take(a + has).combine_chunks().to_batches()[0] if len(has) else None
+
+        return one
 
-    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "family long, sid long, n int")
+    return by_blocks(rows, start, "family long, sid long, n int")
 
 
 def compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(sid, other, n): links of each id in the tasks it meets others in, and the smallest
     id it is tied to there. ``rows``: family, lo, hi, block, sid, families, toks."""
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.take(np.argsort(group["sid"].to_numpy(), kind="stable"))
-        sid = group["sid"].to_numpy()
-        left, right, other = _pairs(group)
-        toks = [np.frombuffer(x.as_buffer(), ">u8").astype(np.uint64) for x in group["toks"]]
-        ok = trie_join([toks[i] for i in left], [toks[i] for i in right], num, den) & other
-        row, families = _lists(group["families"])
-        ok &= ~_seen_before(row, families.to_numpy(), group["family"][0].as_py(), len(sid))[np.ix_(left, right)]
-        a, b = np.nonzero(ok)
-        n = np.bincount(left[a], minlength=len(sid))
-        if group["lo"][0].as_py() != group["hi"][0].as_py():
-            n = n + np.bincount(right[b], minlength=len(sid))
-        root = _tied(left[a], right[b], len(sid))
-        has = n > 0
-        return pa.table({"sid": pa.array(sid[has]), "other": pa.array(sid[root[has]]), "n": pa.array(n[has], pa.int64())})
-
-    return rows.groupBy("family", "lo", "hi").applyInArrow(run, "sid long, other long, n long")
+    def start(table: pa.Table) -> Callable:
+        family, lo, hi, block, sids = (table[k].to_numpy() for k in ("family", "lo", "hi", "block", "sid"))
+        off, names = _list(table["families"].chunk(0))
+        names, toks = names.to_numpy(), table["toks"].chunk(0)
+
+        def one(a: int, b: int) -> pa.RecordBatch | None:
+            order = a + np.argsort(sids[a:b], kind="stable")
+            sid, of = sids[order], block[order]
+            left, right = np.flatnonzero(of == lo[a]), np.flatnonzero(of == hi[a])
+            sets = [np.frombuffer(toks[int(i)].as_buffer(), ">u8").astype(np.uint64) for i in order]
+            ok = trie_join([sets[i] for i in left], [sets[i] for i in right], num, den) & (left[:, None] != right[None, :])
+            if not ok.any():
+                return None
+            rank = np.empty(b - a, np.int64)
+            rank[order - a] = np.arange(b - a)
+            ok &= ~_seen_before(np.repeat(rank, np.diff(off[a : b + 1])), names[off[a] : off[b]], family[a], b - a)[np.ix_(left, right)]
+            x, y = np.nonzero(ok)
+            n = np.bincount(left[x], minlength=b - a)
+            if lo[a] != hi[a]:
+                n = n + np.bincount(right[y], minlength=b - a)
+            root, has = _tied(left[x], right[y], b - a), n > 0
+            return pa.RecordBatch.from_arrays([pa.array(sid[has]), pa.array(sid[root[has]]), pa.array(n[has], pa.int64())], ["sid", "other", "n"])
+
+        return one
+
+    return by_blocks(rows, start, "sid long, other long, n long")
 
 
 def components(edges: DataFrame) -> DataFrame:
