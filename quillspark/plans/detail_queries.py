@@ -152,13 +152,11 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules broken by one request for each operation of the catalog made of parts."""
-    # read by many rules, so each table is made once
-    cat = {k: v.persist() for k, v in C.normalize(B.specs(spark, sf_dir)).items() if k in ("operations", "parameters", "body_media", "components")}
-    creds = K.credential_headers(B.specs(spark, sf_dir).select("source"), cat["components"]).persist()
-    out = N.check(_requests(spark, sf_dir), cat, _merged(spark, sf_dir).persist(), creds)
-    out = out.persist()
-    each = lambda c: out.select("request_id", F.explode(c).alias("x")).select("request_id", F.lit(c[:-1]).alias("severity"), "x.rule", "x.location")
-    return each("errors").union(each("warnings"))
+    cat = C.normalize(B.specs(spark, sf_dir))
+    creds = K.credential_headers(B.specs(spark, sf_dir).select("source"), cat["components"])
+    out = N.check(_requests(spark, sf_dir), cat, _merged(spark, sf_dir), creds)
+    named = lambda c: F.transform(c, lambda x: F.struct(F.lit(c[:-1]).alias("severity"), x["rule"].alias("rule"), x["location"].alias("location")))
+    return out.select("request_id", F.explode(F.concat(named("errors"), named("warnings"))).alias("x")).select("request_id", "x.*")
 
 
 def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
