@@ -127,8 +127,8 @@ def violation() -> Column:
 
 
 def grid_points(axes: dict[str, DataFrame]) -> DataFrame:
-    """The product of one-column axes (name, DataFrame of values)."""
-    return reduce(lambda a, b: a.crossJoin(b), axes.values())
+    """The product of one-column axes (name, DataFrame of values): a few values each."""
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes.values())
 
 
 #: What a point needs of a candidate besides its query and key.
