@@ -189,7 +189,8 @@ def lexical(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ra
     part = lambda cond: F.sum(F.when(cond, F.col("weight")).otherwise(0))
     kind = F.col("kind")
     masked, names = _met_masks(queries, tokens)
-    hits = masked.join(index, "token").groupBy("query_id", "key").agg(
+    # dealt by query, which serves the sums as well as the places of a query's rows later
+    hits = masked.join(index, "token").repartition("query_id").groupBy("query_id", "key").agg(
         part(kind.isin("base", "joined") | at_last).alias("whole"),
         part((kind == "direct") & ~at_last).alias("direct"),
         part((kind == "cond") & ~at_last).alias("cond"),
@@ -294,21 +295,22 @@ def rank(scored: DataFrame, pins: DataFrame, op_rows: DataFrame, limit: int = 10
     A pin's score is the best other score plus 1. total_matches counts all of them."""
     if not 1 <= limit <= MAX_LIMIT:
         raise ValueError(f"limit must be 1..{MAX_LIMIT}")
-    others = scored.join(pins.select("query_id", "key"), ["query_id", "key"], "left_anti")
-    count = others.groupBy("query_id").agg(F.count("*").alias("n_others"), F.min_by("final", F.struct("tier", -F.col("final"), "tie", "deprecated", "key")).alias("best"))
-    n_pins = pins.groupBy("query_id").agg(F.count("*").alias("n_pins"))
-    every = Window.partitionBy("query_id").orderBy(*_order())
-    top = others.withColumn("place", F.row_number().over(every)).where(F.col("place") <= limit)
-    cols = ["query_id", "key", "source", "method", "score", "match", "place"]
-    shown = top.select("query_id", "key", "source", "method", F.col("final").alias("score"), F.lit(None).cast("string").alias("match"), "place")
-    pinned = (
-        pins.join(op_rows, "key").join(count, "query_id", "left")
-        .withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("key")) - F.lit(MAX_LIMIT * 1000))
-        .select("query_id", "key", "source", "method", (F.coalesce("best", F.lit(0.0)) + 1.0).alias("score"), "match", "place")
-    )
-    final = shown.select(cols).union(pinned.select(cols)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("rank") <= limit)
-    totals = count.join(n_pins, "query_id", "full").select("query_id", (F.coalesce("n_others", F.lit(0)) + F.coalesce("n_pins", F.lit(0))).alias("total_matches"))
-    return final.drop("place").join(totals, "query_id")
+    others = scored.join(pins.select("query_id", "key"), ["query_id", "key"], "left_anti").select("query_id", "key", "source", "method", "final", "tier", "tie", "deprecated")
+    # in one pass over a query's rows: places, their number, and the best score
+    own = Window.partitionBy("query_id")
+    placed = others.withColumn("place", F.row_number().over(own.orderBy(*_order()))).withColumn("n", F.count("*").over(own)).where(F.col("place") <= limit)
+    one = F.struct("place", "key", "source", "method", F.col("final").alias("score"), F.lit(None).cast("string").alias("match"))
+    tops = placed.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("tops"), F.max("n").alias("n_others"))
+    pinned = pins.join(op_rows, "key").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("key", "source", "method", "match"))).alias("pins"))
+    j = tops.join(pinned, "query_id", "full")
+    fields = ("key", "source", "method", "score", "match")
+    above = F.coalesce(F.get("tops", F.lit(0))["score"], F.lit(0.0)) + 1.0
+    first = F.transform("pins", lambda p: F.struct(p["key"].alias("key"), p["source"].alias("source"), p["method"].alias("method"), above.alias("score"), p["match"].alias("match")))
+    rest = F.transform("tops", lambda t: F.struct(*[t[f].alias(f) for f in fields]))
+    none = F.array().cast("array<struct<key: string, source: string, method: string, score: double, match: string>>")
+    shown = F.slice(F.concat(F.coalesce(first, none), F.coalesce(rest, none)), 1, limit)
+    total = F.coalesce("n_others", F.lit(0)) + F.coalesce(F.size("pins"), F.lit(0))
+    return j.select("query_id", total.alias("total_matches"), F.posexplode(shown).alias("place", "r")).select("query_id", *[f"r.{f}" for f in fields], (F.col("place") + 1).alias("rank"), "total_matches")
 
 
 def item_collection_order(scored: DataFrame, heads: DataFrame) -> DataFrame:
