@@ -204,7 +204,9 @@ def by_blocks(rows: DataFrame, start: Callable, schema: str) -> DataFrame:
         if held is not None:
             yield from results(held, [0, held.num_rows])
 
-    return rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(run, schema)
+    # a number, as what counts is the work of comparing, not the bytes that small tasks would be joined by
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").mapInArrow(run, schema)
 
 
 def _seen_before(row: np.ndarray, families: np.ndarray, family: int, n: int) -> np.ndarray:
