@@ -318,22 +318,28 @@ def item_collection_order(scored: DataFrame, heads: DataFrame) -> DataFrame:
     ``/x`` for a singular head, the reverse for a plural one; nothing else moves.
 
     ``heads``: (query_id, number). Adds ``seat``, the place within the run. Only runs that
-    hold such a pair go through a pandas function."""
+    may hold such a pair go through a pandas function."""
     run = ["query_id", "tier", "final"]
-    base = scored.join(heads.where(F.col("number").isin("singular", "plural")), "query_id", "left").withColumn("seat", F.row_number().over(Window.partitionBy(*run).orderBy("tie", "deprecated", "key")))
-    parent = F.regexp_extract("path", r"^(.*)/\{[^/]*\}$", 1)
-    is_item = F.col("path").rlike(r"/\{[^/]*\}$")
-    items = base.where(is_item & F.col("number").isNotNull()).select(*run, "source", "method", F.col("key").alias("item"), parent.alias("stem"))
-    pairs = base.select(*run, "source", "method", F.col("key").alias("coll"), F.rtrim(F.col("path"), F.lit("/")).alias("stem")).join(items, [*run, "source", "method", "stem"]).select(*run, "coll", "item").distinct()
-    with_pairs = base.join(pairs.select(*run).distinct(), run, "left_semi").select(*run, "key", "seat", "number")
-    grouped = pairs.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("coll", "item"))).alias("pairs"))
+    own, is_item = Window.partitionBy(*run), F.col("path").rlike(r"/\{[^/]*\}$") & F.col("number").isNotNull()
+    base = scored.join(heads.where(F.col("number").isin("singular", "plural")), "query_id", "left")
+    base = base.withColumn("seat", F.row_number().over(own.orderBy("tie", "deprecated", "key"))).withColumn("_open", F.max(is_item).over(own) & (F.count("*").over(own) > 1))
+    open_runs = base.where("_open").select(*run, "source", "method", "path", "key", "seat", "number")
+
+    def pairs_of(pdf):
+        """(collection, item) of one source and method, by keys."""
+        stems = {}
+        for row in zip(pdf["source"], pdf["method"], pdf["path"].str.rstrip("/"), pdf["key"], strict=True):
+            stems.setdefault(row[:3], []).append(row[3])
+        items = pdf[pdf["path"].str.contains(r"/\{[^/]*\}$")]
+        parents = items["path"].str.replace(r"/\{[^/]*\}$", "", regex=True)
+        return sorted((c, k) for s, m, p, k in zip(items["source"], items["method"], parents, items["key"], strict=True) for c in stems.get((s, m, p), ()))
 
     def move(pdf):
         keys, number = list(pdf.sort_values("seat")["key"]), pdf["number"].iloc[0]
         at = {k: float(i) for i, k in enumerate(keys)}
         places = sorted(at.values())
-        for pair in pdf["pairs"].iloc[0]:
-            first, second = (pair["item"], pair["coll"]) if number == "singular" else (pair["coll"], pair["item"])
+        for coll, item in pairs_of(pdf):
+            first, second = (item, coll) if number == "singular" else (coll, item)
             if at[first] < at[second]:
                 continue
             i = bisect_left(places, at[second])
@@ -349,8 +355,8 @@ def item_collection_order(scored: DataFrame, heads: DataFrame) -> DataFrame:
         return pdf.assign(seat=[place[k] for k in pdf["key"]])[["query_id", "key", "seat"]]
 
     kind = dict(scored.dtypes)["query_id"]
-    moved = with_pairs.join(grouped, run).groupBy(*run).applyInPandas(move, f"query_id {kind}, key string, seat int").withColumnRenamed("seat", "_seat")
-    return base.join(moved, ["query_id", "key"], "left").withColumn("seat", F.coalesce("_seat", "seat")).drop("_seat", "number")
+    moved = open_runs.groupBy(*run).applyInPandas(move, f"query_id {kind}, key string, seat int").withColumnRenamed("seat", "_seat")
+    return base.join(moved, ["query_id", "key"], "left").withColumn("seat", F.coalesce("_seat", "seat")).drop("_seat", "_open", "number")
 
 
 # ---- recommendation rules ------------------------------------------------------------------
