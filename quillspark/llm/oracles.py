@@ -76,4 +76,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-SQL = {"op6_mixing": _OP6, "op9_benchmark_decontamination": _OP9, "op10_quality_rules": _OP10}
+_OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+df AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN df USING (lang, term) GROUP BY lang, source, term),
+own AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+v AS (SELECT lang, count(*) AS v FROM df GROUP BY lang),
+p AS (
+  SELECT g.lang, g.source, df.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(own.total, 0) + 2 * v.v) AS p
+  FROM groups g JOIN df ON g.lang = df.lang JOIN v ON g.lang = v.lang
+  LEFT JOIN own ON g.lang = own.lang AND g.source = own.source
+  LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND df.term = c.term),
+pooled AS (SELECT c.lang, term, sum(n) AS n FROM c GROUP BY c.lang, term),
+q AS (
+  SELECT pooled.lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (t.total + 2 * v.v) AS q
+  FROM pooled JOIN (SELECT lang, sum(total) AS total FROM own GROUP BY lang) t ON pooled.lang = t.lang JOIN v ON pooled.lang = v.lang),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT p.lang, p.source, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (
+  SELECT doc_id, t, w, len(w)::BIGINT AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT % (len(w) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(w) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+f AS (
+  SELECT doc_id, t, n, form, array_to_string(w[1:least(a, b)], '') AS pre,
+         array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS mid, array_to_string(w[greatest(a, b) + 1:n], '') AS suf FROM e)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
+SQL = {"op12_source_divergence": _OP12, "op13_fill_in_middle": _OP13, "op6_mixing": _OP6, "op9_benchmark_decontamination": _OP9, "op10_quality_rules": _OP10}
