@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import bisect
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.sources.stages import written
+
 MAX_QUERY_CHARS = 2048
 TOP_KEYS = 10
 MIN_RECORDS = 100
 MIN_DAYS = 7
+#: Lines whose searches and selections of one pair are walked together; blocks of a range.
+BLOCK_LINES = 1 << 14
+FAN = 1 << 10
 WRITE_METHODS = ("POST", "PUT", "PATCH", "DELETE")
 
 
@@ -33,31 +42,112 @@ def qualifying_verdict(log: DataFrame, fingerprint: str, min_records: int = MIN_
     return got.select("records", F.coalesce("span_seconds", F.lit(0)).alias("span_seconds"), ((F.col("records") >= min_records) & (F.coalesce("span_seconds", F.lit(0)) >= min_days * 86400)).alias("sufficient"))
 
 
-def attribute(log: DataFrame) -> DataFrame:
-    """For each selection the latest earlier search of its session that shows its key.
-
-    ``log``: line_no, kind, session, call_seq, key, top (keys), recommended. Earlier means an
-    earlier line and a lower call_seq. Searches are spread over their keys, so both sides
-    meet on (session, key), and a pair's candidates are reduced as they are found."""
-    searches = log.where(F.coalesce("kind", F.lit("search")) == "search").select(
-        "session", F.col("line_no").alias("s_line"), F.coalesce("call_seq", F.lit(0)).alias("search_seq"), "recommended", F.explode(F.array_distinct("top")).alias("key")
-    )
-    picks = log.where(F.col("kind") == "selection").select("session", "key", "line_no", F.coalesce("call_seq", F.lit(0)).alias("selection_seq"))
-    # in the order of lines the last search before a selection is a window look-back where
-    # call_seq rises with the line; where it doesn't, the join compares both
-    found = picks.join(searches, ["session", "key"]).where((F.col("s_line") < F.col("line_no")) & (F.col("search_seq") < F.col("selection_seq")))
-    last = found.groupBy("session", "key", "line_no", "selection_seq").agg(F.max_by(F.struct("search_seq", "recommended"), "s_line").alias("s"))
-    return last.select("session", "line_no", "selection_seq", F.col("s.search_seq").alias("search_seq"), "key", F.coalesce(F.col("s.recommended") == F.col("key"), F.lit(False)).alias("recommended_matches"))
-
-
-def attribute_in_order(log: DataFrame) -> DataFrame:
-    """As ``attribute`` for logs whose call_seq rises with the line within each session:
-    one window for each (session, key), linear however hot the pair is."""
-    searches = log.where(F.coalesce("kind", F.lit("search")) == "search").select("session", F.explode(F.array_distinct("top")).alias("key"), "line_no", F.struct(F.col("call_seq").alias("search_seq"), "recommended").alias("s"), F.lit(None).cast("long").alias("selection_seq"))
-    picks = log.where(F.col("kind") == "selection").select("session", "key", "line_no", F.lit(None).cast(dict(searches.dtypes)["s"]).alias("s"), F.col("call_seq").cast("long").alias("selection_seq"))
-    w = Window.partitionBy("session", "key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    both = searches.union(picks).withColumn("last", F.last("s", ignorenulls=True).over(w))
-    return both.where(F.col("selection_seq").isNotNull() & F.col("last").isNotNull()).select("session", "line_no", "selection_seq", F.col("last.search_seq").alias("search_seq"), "key", F.coalesce(F.col("last.recommended") == F.col("key"), F.lit(False)).alias("recommended_matches"))
+_STEP = pa.struct({"seq": pa.int64(), "line": pa.int64(), "recommended": pa.string()})
+_ROWS = pa.schema({"session": pa.string(), "key": pa.string(), "block": pa.int64(), "line": pa.int64(), "seq": pa.int64(), "found": _STEP, "stairs": pa.list_(_STEP)})
+_SEARCH = "struct<seq: long, line: long, recommended: string>"
+_WALKED = f"session string, key string, block long, line long, seq long, found {_SEARCH}, stairs array<{_SEARCH}>"
+
+
+class Staircase:
+    """Searches of one session and key in the order of lines, less those that a later one of no
+    higher seq replaces: seq rises with the line, so the last below a seq is found by halving."""
+
+    def __init__(self) -> None:
+        self.seqs: list[int] = []
+        self.steps: list[tuple] = []
+
+    def add(self, seq: int, line, recommended) -> None:
+        keep = bisect.bisect_left(self.seqs, seq)
+        del self.seqs[keep:], self.steps[keep:]
+        self.seqs.append(seq)
+        self.steps.append((seq, line, recommended))
+
+    def below(self, seq: int) -> tuple | None:
+        i = bisect.bisect_left(self.seqs, seq)
+        return self.steps[i - 1] if i else None
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ordered by (session, key, block, line): selections with the search found in their
+    own block, and after each block its staircase."""
+    at, stairs, out = None, Staircase(), []
+    step = lambda s: s and {"seq": s[0], "line": s[1], "recommended": s[2]}
+
+    def row(of, line=None, seq=None, found=None, held=None) -> dict:
+        return {"session": of[0], "key": of[1], "block": of[2], "line": line, "seq": seq, "found": found, "stairs": held}
+
+    def end() -> None:
+        if stairs.steps:
+            out.append(row(at, held=[step(s) for s in stairs.steps]))
+
+    for batch in batches:
+        for session, key, block, line, seq, search, recommended in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if at != (session, key, block):
+                end()
+                at, stairs = (session, key, block), Staircase()
+            if search:
+                stairs.add(seq, line, recommended)
+            else:
+                out.append(row(at, line, seq, step(stairs.below(seq))))
+        yield pa.RecordBatch.from_pylist(out, _ROWS)
+        out = []
+    end()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _ROWS)
+
+
+def attribute(log: DataFrame, block_lines: int = BLOCK_LINES, fan: int = FAN) -> DataFrame:
+    """For each selection the latest earlier search of its session that shows its key; those
+    without one are left out. Earlier means an earlier line and a lower call_seq.
+
+    ``log``: line_no, kind, session, call_seq, key, top (keys), recommended. Searches are spread
+    over their keys; the rows of a (session, key) are cut by line into blocks, so a hot pair
+    has many. Within a block one walk finds what it can and leaves the block's staircase of
+    searches. What is still open climbs: of the ``fan`` blocks of a range, then ranges of
+    such ranges, the last one before it whose lowest seq is below; then down again to a
+    block, and into its staircase. Each step is a join with one row for each key, of at most
+    ``fan`` entries or a block's staircase. Null sessions are one session, null keys are shown
+    by nothing, a null call_seq is 0."""
+    seq = F.coalesce(F.col("call_seq"), F.lit(0)).cast("long").alias("seq")
+    line = F.col("line_no").cast("long").alias("line")
+    searches = log.where(F.coalesce("kind", F.lit("search")) == "search").select("session", F.explode(F.array_distinct("top")).alias("key"), line, seq, F.lit(True).alias("search"), "recommended")
+    picks = log.where(F.col("kind") == "selection").select("session", "key", line, seq, F.lit(False).alias("search"), F.lit(None).cast("string").alias("recommended"))
+    rows = searches.union(picks).where(F.col("key").isNotNull()).withColumn("block", F.floor(F.col("line") / block_lines))
+    # blank where null, beside a mark, so that sessions join as plain keys
+    rows = rows.select(F.concat(F.when(F.col("session").isNull(), "0").otherwise("1"), F.coalesce("session", F.lit(""))).alias("session"), "key", "block", "line", "seq", "search", "recommended")
+    dealt = rows.repartition("session", "key", "block").sortWithinPartitions("session", "key", "block", "line", F.desc("search"))
+    walked = written(dealt.mapInArrow(_walk, _WALKED))
+    stairs = walked.where("stairs is not null").select("session", "key", "block", "stairs")
+    picks = walked.where("stairs is null").select("session", "key", "block", "line", "seq", "found")
+    low = stairs.select("session", "key", F.col("block").alias("at"), F.col("stairs")[0]["seq"].alias("low"))
+    last_block = low.agg(F.max("at")).first()[0] or 0
+    ranges, levels, size = [], 0, 1
+    while not ranges or size <= last_block:
+        # the children of each range, in order, with their lowest seq
+        ranges.append(low.groupBy("session", "key", F.floor(F.col("at") / fan).alias("parent")).agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("children")))
+        low = low.groupBy("session", "key", F.floor(F.col("at") / fan).alias("at")).agg(F.min("low").alias("low"))
+        levels, size = levels + 1, size * fan
+
+    def last_child(up: DataFrame, level: int, parent: Column, before: Column) -> DataFrame:
+        """``up`` with its ``at`` where the range ``parent`` of that level has a fitting child."""
+        of = ranges[level].withColumnsRenamed({"session": "_s", "key": "_k", "parent": "_p"})
+        fits = F.filter("children", lambda c: before(c["at"]) & (c["low"] < F.col("seq")))
+        joined = up.join(of, (F.col("session") == F.col("_s")) & (F.col("key") == F.col("_k")) & (parent == F.col("_p")), "left")
+        return joined.withColumn("_to", F.try_element_at(fits, F.lit(-1))["at"]).drop("_s", "_k", "_p", "children")
+
+    still = picks.where("found is null").select("session", "key", "block", "line", "seq", F.lit(None).cast("long").alias("at"), F.lit(0).alias("level"))
+    for j in range(levels):
+        own = F.floor(F.col("block") / fan**j)
+        up = last_child(still, j, F.when(F.col("at").isNull(), F.floor(own / fan)), lambda x, own=own: x < own)
+        still = up.withColumn("level", F.when(F.col("_to").isNotNull(), j).otherwise(F.col("level"))).withColumn("at", F.coalesce("at", "_to")).drop("_to")
+    for j in reversed(range(levels - 1)):
+        here = F.col("level") > j
+        still = last_child(still, j, F.when(here, F.col("at")), lambda x: F.lit(True)).withColumn("at", F.when(here, F.col("_to")).otherwise(F.col("at"))).drop("_to")
+    far = still.drop("block").withColumnRenamed("at", "block").join(stairs, ["session", "key", "block"])
+    far = far.select("session", "key", "line", "seq", F.element_at(F.filter("stairs", lambda s: s["seq"] < F.col("seq")), -1).alias("found"))
+    every = picks.where("found is not null").select("session", "key", "line", "seq", "found").union(far)
+    session = F.when(F.col("session").startswith("1"), F.substring("session", 2, 1 << 30))
+    return every.select(session.alias("session"), F.col("line").alias("line_no"), F.col("seq").alias("selection_seq"), F.col("found.seq").alias("search_seq"), "key", F.coalesce(F.col("found.recommended") == F.col("key"), F.lit(False)).alias("recommended_matches"))
 
 
 def agreement(attributed: DataFrame, log: DataFrame) -> DataFrame:

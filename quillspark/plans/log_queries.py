@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from quillspark.operators import hygiene as H
 from quillspark.operators import logs as L
 from quillspark.plans import sqltext as Q
 from quillspark.plans.search_queries import OPS, RANKING, operations, read
+from quillspark.sources import tables as S
+from quillspark.sources.stages import shared_folder
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +33,18 @@ def attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.attribute(_log(spark, sf_dir)).drop("line_no")
 
 
-def attribute_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.attribute_in_order(_log(spark, sf_dir)).drop("line_no")
+def attribute_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In blocks of 256 lines and ranges of 8, so that most selections climb out of their block."""
+    return L.attribute(_log(spark, sf_dir), 256, 8).drop("line_no")
+
+
+def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as JSON lines, which carry no numbers, and read again by their order."""
+    log = _log(spark, sf_dir)
+    lines = log.select("line_no", "kind", F.transform("top", lambda k: F.struct(k.alias("key"), F.lit(1.0).alias("score"))).alias("top"), F.col("recommended").alias("recommended_operation"), F.col("session").alias("server_session_id"), "call_seq", "key")
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    S.write_log(lines, path)
+    return L.attribute(S.attribution_rows(S.read_log(spark, f"{path}/*"))).drop("line_no")
 
 
 def qualifying(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +122,7 @@ def below_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "log_attribution": attribute, "log_attribution_window": attribute_in_order, "log_qualifying": qualifying, "log_agreement": agreement, "log_sanitize": sanitize,
+    "log_attribution": attribute, "log_attribution_window": attribute_blocks, "log_attribution_lines": attribute_lines, "log_qualifying": qualifying, "log_agreement": agreement, "log_sanitize": sanitize,
     "log_confirmation_audit": audit, "hygiene_needles": needles, "hygiene_window_needles": window_needles, "hygiene_leak_scan": leak_scan, "hygiene_reuse": reuse,
     "hygiene_record_checks": record_checks, "hygiene_rejections": rejections, "hygiene_distribution": distribution, "hygiene_below_quota": below_quota,
 }
@@ -183,6 +197,7 @@ dist AS (
 SQL = {
     "log_attribution": f"WITH {_LOG} SELECT * FROM matched",
     "log_attribution_window": f"WITH {_LOG} SELECT * FROM matched",
+    "log_attribution_lines": f"WITH {_LOG} SELECT * FROM matched",
     "log_qualifying": f"""WITH {_LOG}, q AS (SELECT count(*) AS records, coalesce(floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT, 0) AS span_seconds FROM log WHERE event_type = 'view' AND fp = 1)
 SELECT *, records >= 100 AND span_seconds >= 604800 AS sufficient FROM q""",
     "log_agreement": f"""WITH {_LOG} SELECT count(*) AS selections, count(*) FILTER (recommended_matches) AS agreeing,

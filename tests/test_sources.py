@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from quillspark.operators import logs as L
 from quillspark.sources import policies as P
 from quillspark.sources import tables as T
 
@@ -48,14 +49,44 @@ def test_only_changed_specifications_are_written(spark, tmp_path):
     assert specs == {"a": "old", "b": "new"} and {(r["source"], r["sha256"]) for r in meta} == {("a", "new"), ("b", "new")} and "changed" not in meta[0]
 
 
+LINES = [
+    {"ts": "2026-10-11T00:00:00Z", "kind": "search", "query": "q", "server_session_id": "s", "call_seq": 1, "top": [{"key": "k", "score": 2.5}], "recommended_operation": "k"},
+    {"kind": "selection", "tool": "get", "server_session_id": "s", "call_seq": 2, "key": "k"},
+]
+
+
 def test_log_lines_round_trip(spark, tmp_path):
-    lines = [{"line_no": 1, "query": "q", "server_session_id": "s", "call_seq": 1, "top": [{"key": "k", "score": 2.5}], "recommended_operation": "k"}, {"line_no": 2, "kind": "selection", "server_session_id": "s", "call_seq": 2, "key": "k"}]
-    log = T.read_log(spark, put(tmp_path, "log.jsonl", "\n".join(map(json.dumps, lines))))
+    log = T.read_log(spark, put(tmp_path, "log.jsonl", "\n".join(map(json.dumps, LINES))))
     rows = {r["line_no"]: r for r in T.attribution_rows(log).collect()}
     assert rows[1]["kind"] == "search" and rows[1]["top"] == ["k"] and rows[1]["recommended"] == "k" and rows[2]["kind"] == "selection"
+    assert [(r["selection_seq"], r["search_seq"], r["recommended_matches"]) for r in L.attribute(T.attribution_rows(log)).collect()] == [(2, 1, True)]
     T.write_log(log, f"{tmp_path}/out")
     T.write_log(log.where("line_no = 2"), f"{tmp_path}/out")
-    assert T.read_log(spark, f"{tmp_path}/out").count() == 3
+    again = T.read_log(spark, f"{tmp_path}/out/*").orderBy("line_no").collect()
+    assert [(r["line_no"], r["kind"]) for r in again] == [(1, "search"), (2, "selection"), (3, "selection")]
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    """Small splits, so that a file is read by many tasks; a rotated file comes before its own."""
+    old = [json.dumps({"query": f"old {i}", "call_seq": i}) for i in range(150)]
+    new = [json.dumps({"query": f"new {i} " + "x" * (i % 90), "call_seq": i}) for i in range(700)]
+    new[5], new[6], new[7] = "", "no json", "[1]"
+    put(tmp_path, "a.jsonl", "\n".join(new) + "\n")
+    put(tmp_path, "a.jsonl.prev", "\n".join(old))
+    put(tmp_path, "b.jsonl", json.dumps({"query": "last"}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        lines = T.numbered_lines(spark, str(tmp_path))
+        got = lines.orderBy("line_no").collect()
+        assert spark.read.text(str(tmp_path)).select("_metadata.file_block_start").distinct().count() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [(r["line_no"], r["value"]) for r in got] == list(enumerate([*old, *new, json.dumps({"query": "last"})], 1))
+    log = T.read_log(spark, str(tmp_path))
+    assert log.count() == 848 and {r["line_no"] for r in log.where("query is null").collect()} == set()
+    assert log.where("line_no = 851").first()["query"] == "last"
 
 
 def test_ranking_files(spark, tmp_path):
