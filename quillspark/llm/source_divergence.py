@@ -27,18 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, drop_cut, table
-from quillspark.llm.textkit import chunks, words
+from quillspark.llm.textkit import Words, chunks, words
 
 MIN_DOCS = 10
 SCALE = 1_000_000_000
 TOP_TERMS = 10
-#: Distinct (lang, term, source) that a task holds before it passes its sums on.
-HELD_TERMS = 200_000
+#: Rows of (lang, term, source) that a task holds at most before it passes its sums on.
+HELD_ROWS = 1_000_000
 
+_BY = pa.list_(pa.struct({"source": pa.string(), "n": pa.int64(), "docs": pa.int64()}))
 _b = np.arange(256)
 #: [^\x00-\x40\x5B-\x60\x7B-\x7F], after lower-casing
 TERM = ((_b >= 0x61) & (_b <= 0x7A)) | (_b >= 0x80)
@@ -55,45 +57,81 @@ def collapse(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return times, rows.groupBy("lang", "h").agg(F.first("text").alias("text"))
 
 
+def _tokens(w: Words) -> pa.Array:
+    """The words of a chunk as strings, cut out of its bytes."""
+    size = w.end - w.start
+    inside = np.zeros(len(w.buf) + 1, np.int8)
+    inside[w.start] += 1
+    inside[w.end] -= 1
+    data = w.buf[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+    off = np.concatenate([[0], np.cumsum(size)])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(off.tobytes()), pa.py_buffer(data.tobytes()))
+
+
+def _chunk_counts(w: Words, langs: list, sources: list) -> pa.Table:
+    """(lang, source, term, n, docs) of some documents, each with its lang and its sources."""
+    coded = pc.dictionary_encode(_tokens(w))
+    terms, n_terms = coded.dictionary, len(coded.dictionary)
+    doc_term, n = np.unique(w.doc * n_terms + coded.indices.to_numpy(), return_counts=True)
+    doc, term = np.divmod(doc_term, max(n_terms, 1))
+    # a document without words still names its groups: a null term, with no occurrences
+    n_docs = len(langs)
+    doc, term, n = np.concatenate([doc, np.arange(n_docs)]), np.concatenate([term, np.full(n_docs, -1)]), np.concatenate([n, np.zeros(n_docs, np.int64)])
+    groups: dict[tuple, int] = {}
+    of = [[(groups.setdefault((lang, s["source"]), len(groups)), s["n"]) for s in some] for lang, some in zip(langs, sources, strict=True)]
+    many = np.array([len(x) for x in of])
+    first = np.concatenate([[0], np.cumsum(many)[:-1]])
+    flat = np.array([x for y in of for x in y], np.int64).reshape(-1, 2)
+    # each (document, term) once for each of the document's sources
+    each = np.repeat(np.arange(len(doc)), many[doc])
+    at = np.arange(len(each)) - np.repeat(np.cumsum(many[doc]) - many[doc], many[doc]) + first[doc[each]]
+    group, times = flat[at, 0], flat[at, 1]
+    term, n = term[each], n[each] * times
+    lang, source = (pa.array(x, pa.large_string()) for x in zip(*groups, strict=True))
+    cols = [lang.take(pa.array(group)), source.take(pa.array(group)), terms.take(pa.array(term, mask=term < 0)), pa.array(n), pa.array(times)]
+    return _summed(pa.table(cols, ["lang", "source", "term", "n", "docs"]))
+
+
+def _summed(t: pa.Table) -> pa.Table:
+    out = t.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return out.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+
+def _nested(t: pa.Table) -> pa.RecordBatch:
+    """One row for each (lang, term), with its sources: what a task passes on."""
+    t = t.sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks()
+    lang, term = (pc.fill_null(pc.dictionary_encode(t[c], null_encoding="encode").combine_chunks().indices, -1).to_numpy(zero_copy_only=False) for c in ("lang", "term"))
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(lang) != 0) | (np.diff(term) != 0)]))
+    one = lambda c: c.combine_chunks().chunk(0) if isinstance(c.combine_chunks(), pa.ChunkedArray) else c.combine_chunks()
+    rows = pa.StructArray.from_arrays([one(t[c]) for c in ("source", "n", "docs")], ["source", "n", "docs"])
+    by = pa.ListArray.from_arrays(pa.array(np.append(first, len(t)).astype(np.int32)), rows)
+    return pa.RecordBatch.from_arrays([one(t["lang"]).take(pa.array(first)).cast(pa.string()), one(t["term"]).take(pa.array(first)).cast(pa.string()), by.cast(_BY)], ["lang", "term", "by"])
+
+
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+    for batch in batches:
+        langs, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for chunk in chunks(batch.column(1)):
+            span = slice(chunk.first, chunk.first + len(chunk))
+            held.append(_chunk_counts(words(chunk, TERM, lower=True), langs[span], sources[span]))
+            if sum(map(len, held)) > HELD_ROWS:
+                held = [_summed(pa.concat_tables(held))]
+                if len(held[0]) > HELD_ROWS // 2:
+                    yield _nested(held.pop())
+    if held:
+        yield _nested(_summed(pa.concat_tables(held)))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents; a null term counts documents alone."""
+    """(lang, source, term, n, docs): occurrences and documents; a null term counts documents alone.
+
+    Tasks pass on one row for each term with its sources, dealt by (lang, term): one shuffle,
+    after which both the sums by source and those by term are made in place."""
     times, texts = collapse(docs)
     both = texts.join(times, ["lang", "h"]).select("lang", "text", "sources")
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[int]] = {}
-
-        def out() -> pa.RecordBatch:
-            lang, source, term = zip(*held, strict=True)
-            n, d = zip(*held.values(), strict=True)
-            term = pa.array([None if t is None else t.decode("utf-8", "replace") for t in term], pa.string())
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), term, pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "docs"])
-
-        for batch in batches:
-            langs, sources = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for chunk in chunks(batch.column(1)):
-                w = words(chunk, TERM, lower=True)
-                text, start, end = w.buf.tobytes(), w.start.tolist(), w.end.tolist()
-                for i, (a, b) in enumerate(zip(w.wo[:-1].tolist(), w.wo[1:].tolist(), strict=True)):
-                    count: dict[bytes | None, int] = {None: 0}
-                    for j in range(a, b):
-                        t = text[start[j] : end[j]]
-                        count[t] = count.get(t, 0) + 1
-                    lang = langs[chunk.first + i]
-                    for s in sources[chunk.first + i]:
-                        source, times = s["source"], s["n"]
-                        for t, n in count.items():
-                            x = held.setdefault((lang, source, t), [0, 0])
-                            x[0] += n * times
-                            x[1] += times
-                    if len(held) >= HELD_TERMS:
-                        yield out()
-        if held:
-            yield out()
-
-    parts = both.mapInArrow(tokenize, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parts = both.mapInArrow(_tokenize, "lang string, term string, by array<struct<source: string, n: long, docs: long>>").repartition("lang", "term")
+    return parts.select("lang", "term", F.explode("by").alias("x")).groupBy("lang", "term", "x.source").agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
 
 
 def shares(count: Column, total: Column) -> Column:

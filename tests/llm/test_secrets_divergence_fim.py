@@ -153,8 +153,8 @@ def test_divergence_matches_plain(spark, monkeypatch):
     rows = [(rng.choice(texts), rng.choice(["en", "de", None, ""]), rng.choice(["a", "b", "c", None, "ü", "Z"])) for _ in range(400)]
     rows += [(None, "en", "a"), ("", "xx", "only"), ("", "yy", "one"), (None, "yy", "two"), ("word " * 50_000, "en", "b")] + [("hot text of many copies", "en", "a")] * 300
     d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "text string, lang string, source string, term string, n int").repartition(5)
-    for held in (200_000, 3):
-        monkeypatch.setattr(source_divergence, "HELD_TERMS", held)
+    for held in (1_000_000, 3):
+        monkeypatch.setattr(source_divergence, "HELD_ROWS", held)
         got = sorted(tuple(r) for r in source_divergence.divergence(d, min_docs=10, top=3).collect())
         assert got == plain_divergence(rows, 10, 3)
     assert source_divergence.divergence(d.where("false")).collect() == []
