@@ -400,7 +400,7 @@ def test_url_rules(spark):
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(8)
     rows = [(sorted({f"t{rng.randrange(6)}" for _ in range(3)}), rng.choice(["allow", "block", "block"])) for _ in range(120)]
-    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.6)
+    rules = url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), None, 0.05, 0.6)
     got = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in rules.collect()}
     from itertools import combinations
 
@@ -417,8 +417,9 @@ def test_mined_rules_match_brute_force(spark):
 
 
 def test_mined_verdicts_match_brute_force(spark):
-    """Rules mined from labelled urls against all token combinations of the urls; a template of
-    24 tokens that stand together; null, very long and repeated urls; names that clash."""
+    """Rules mined from labelled urls against all combinations of their real tokens; a template
+    of 24 tokens that stand together, of which open urls hold a part; tokens that nearly always
+    stand together; null, very long and repeated urls; names that clash."""
     from itertools import combinations
 
     rng = random.Random(18)
@@ -426,8 +427,11 @@ def test_mined_verdicts_match_brute_force(spark):
     urls = [f"http://{rng.choice(['a', 'b'])}.net/{rng.choice(['es', 'fr'])}/{rng.choice('xyz')}" for _ in range(60)]
     urls += [f"http://example.com/{rng.choice(['de', 'nl'])}/{rng.choice('xyz')}/" for _ in range(60)]
     urls += [f"http://c.net/es/{template}?q=1&r=2" for _ in range(30)]
+    near = [f"near{chr(97 + i)}" for i in range(20)]
+    urls += [f"http://n.net/es/{'/'.join(x for x in near if x != near[i % 20])}" for i in range(40)]
     open_ = [f"http://{rng.choice(['a', 'b', 'c', 'd'])}.{rng.choice(['net', 'org'])}/{rng.choice(['es', 'de', 'part'])}/{rng.choice('xyz')}" for _ in range(80)]
-    open_ += [f"http://o.org/{template}", None, "http://o.org/" + "x/y" * 20_000, open_[0], open_[0]]
+    open_ += [f"http://o.org/{x}" for x in (template, "parta", "partb", "parta/partb", "x/partc", "?r=1", "neara", "nearb/neart", "es/parth/z")]
+    open_ += [None, "http://o.org/" + "x/y" * 20_000, open_[0], open_[0]]
     rows = [(i, u, "") for i, u in enumerate(urls + open_)]
     pages = spark.createDataFrame(rows, "page_id long, url string, mined string").withColumn("tokens", F.lit(1)).withColumn("given", F.lit("g"))
     out = url_filter.judge_urls(pages, min_support=0.05, min_confidence=0.8)
@@ -436,11 +440,8 @@ def test_mined_verdicts_match_brute_force(spark):
     toks = {r["page_id"]: frozenset(r["t"]) for r in pages.select("page_id", url_filter.url_tokens(F.col("url")).alias("t")).collect()}
     given = {r["page_id"]: r["rule"] for r in out.collect()}
     labelled = [(toks[i], got[i]) for i, _, _ in rows if given[i]]
-    # the template's tokens always stand together, so brute force needs one of them only
-    together = {t for t in toks[len(urls) - 1] if not t.startswith(("h:", "p:es"))}
-    short = lambda t: frozenset(x for x in t if x not in together or x == min(together))
     rules = {}
-    for c in {frozenset(c) for t, _ in labelled for k in range(1, 6) for c in combinations(sorted(short(t)), k)}:
+    for c in {frozenset(c) for t, _ in labelled for k in range(1, 4) for c in combinations(sorted(t), k)}:
         held = [v for t, v in labelled if c <= t]
         for v in set(held):
             if held.count(v) >= 0.05 * len(labelled) and held.count(v) / len(held) >= 0.8:
@@ -448,9 +449,25 @@ def test_mined_verdicts_match_brute_force(spark):
     kept = {(c, v): x for (c, v), x in rules.items() if not any(d < c and w == v and y[0] >= x[0] for (d, w), y in rules.items())}
     for i, _, _ in rows:
         if not given[i]:
-            best = min(((-x[0], -x[1], len(c), " ".join(sorted(c)), v) for (c, v), x in kept.items() if c <= toks[i]), default=None)
+            best = min(((-x[0], -x[1], len(c), sorted(c), v) for (c, v), x in kept.items() if c <= toks[i]), default=None)
             assert got[i] == (best[-1] if best else "allow"), (toks[i], best)
     assert any(not given[i] and got[i] == "block" for i, _, _ in rows)
+    by_url = {u: got[i] for i, u, _ in rows}
+    assert all(by_url[f"http://o.org/{x}"] == "block" for x in (template, "parta", "partb", "parta/partb", "neara"))
+
+
+def test_parts_of_a_template_are_rules(spark):
+    """30 times one labelled url: each of its own tokens blocks, alone and beside another."""
+    urls = ["http://c.net/es/parta/partb"] * 30 + ["http://o.org/parta", "http://o.org/partb", "http://o.org/parta/partb", "http://o.org/es", "http://a.net/x", "http://o.org/other"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages).collect()}
+    assert [got[i] for i in range(30, 36)] == ["block"] * 5 + ["allow"]
+
+
+def test_copies_are_dealt_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "COPIES", 3)
+    rows = spark.createDataFrame([("a", 7), ("b", 1), ("c", 3)], "x string, copies long")
+    assert {r["x"]: r["count"] for r in url_filter._repeated(rows, "copies").groupBy("x").count().collect()} == {"a": 7, "b": 1, "c": 3}
 
 
 def test_digest_of_items(spark):
