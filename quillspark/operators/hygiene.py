@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions import wordruns
 from quillspark.operators.search import Ranking, method_intent
+from quillspark.sources.stages import written
 
 # Rules in order of priority.
 RECORD_RULES = ("schema", "catalog", "words", "ascii", "actionable", "negative-method", "operationId", "summary/tags", "negative-phrase", "reuse", "no-answer")
 MIN_QUERY_WORDS, MAX_QUERY_WORDS = 3, 7
-#: So many 64-bit hashes of a manifest go to every task; a larger manifest is joined.
-QUICK_BROADCAST = 500_000
+#: Bits of the Bloom filter for each needle (2 runs in 10,000 pass by chance), and its bound: 32 MB.
+BITS_OF_NEEDLE = 32
+MAX_BITS = 1 << 28
 ASCII_QUERY = r"^[A-Za-z0-9 '\-]+$"
 
 
@@ -73,20 +80,16 @@ def reuse(records: DataFrame) -> DataFrame:
     """(id, earlier_id, how): the first earlier record with the same query, or else the same
     set of tokens. ``records``: pos (prior sets first, all different), id, query, is_new.
 
-    Texts and sets are told apart by 128-bit hashes, so only these are moved; the first of each
-    is found in two steps, however many share one."""
-    hashed = lambda c: F.struct(F.xxhash64(c, F.lit(1)).alias("x"), F.xxhash64(c, F.lit(2)).alias("y"))
+    Texts and sets are told apart by 128-bit hashes, made once; the first of each hash comes
+    from one aggregate over both kinds, and only hashes that occur again are joined back."""
     text = F.array_join(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != ""), " ")
-    keyed = records.select("pos", "id", "is_new", hashed(text).alias("text"), hashed(_set_key("query")).alias("set"))
-
-    def with_first(rows: DataFrame, key: str) -> DataFrame:
-        first = rows.groupBy(key).agg(F.min(F.struct("pos", "id")).alias("f"), F.count("*").alias("n")).where("n > 1").select(key, "f")
-        return rows.join(first, key, "left").withColumn(f"by_{key}", F.when(F.col("f.pos") < F.col("pos"), F.col("f"))).drop("f")
-
-    got = with_first(with_first(keyed, "text"), "set").where("is_new and (by_text is not null or by_set is not null)")
-    # at one earlier record the text is compared first
-    text_wins = F.col("by_text").isNotNull() & (F.col("by_set").isNull() | (F.col("by_text.pos") <= F.col("by_set.pos")))
-    return got.select("id", F.when(text_wins, F.col("by_text.id")).otherwise(F.col("by_set.id")).alias("earlier_id"), F.when(text_wins, "string").otherwise("set").alias("how"))
+    key = lambda kind, x: F.struct(F.lit(kind).alias("kind"), F.unhex(F.md5(x.cast("binary"))).alias("h"))
+    keys = written(records.select("pos", "id", "is_new", F.explode(F.array(key("string", text), key("set", _set_key("query")))).alias("k")).select("pos", "id", "is_new", "k.kind", "k.h"))
+    first = keys.groupBy("kind", "h").agg(F.min(F.struct("pos", "id")).alias("f"), F.count("*").alias("n")).where("n > 1").select("kind", "h", "f")
+    later = keys.where("is_new").join(first, ["kind", "h"]).where(F.col("f.pos") < F.col("pos"))
+    # the earlier of the two; at one earlier record the text is compared first
+    best = F.struct(F.col("f.pos"), F.when(F.col("kind") == "string", 0).otherwise(1).alias("second"))
+    return later.groupBy("pos", "id").agg(F.min_by(F.struct("f.id", "kind"), best).alias("b")).select("id", F.col("b.id").alias("earlier_id"), F.col("b.kind").alias("how"))
 
 
 def distribution(records: DataFrame, product_words) -> DataFrame:
@@ -125,39 +128,66 @@ def windows(words: Column, n: Column | int) -> Column:
     return F.transform(starts, lambda i: F.sha2(F.array_join(F.slice(words, i, n), " "), 256))
 
 
-def quick_windows(words: Column, n: Column | int) -> Column:
-    """A 64-bit hash of every run of ``n`` words, in the order of ``windows``."""
-    n = F.lit(n) if isinstance(n, int) else n
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
-
-
 def window_needles(texts: DataFrame, least: int = MIN_QUERY_WORDS, most: int = MAX_QUERY_WORDS, quick: bool = False) -> DataFrame:
     """(n_words, sha256) of all runs of ``least`` to ``most`` words of free texts; ``quick`` adds
-    a 64-bit hash that spares most of a scan's work."""
-    words = texts.select(T.word_stream("text").alias("words"), F.explode(F.array(*[F.lit(n) for n in range(least, most + 1)])).alias("n_words"))
-    both = F.arrays_zip(windows(F.col("words"), F.col("n_words")).alias("sha256"), quick_windows(F.col("words"), F.col("n_words")).alias("quick"))
-    each = words.select("n_words", F.explode(both).alias("w")).select("n_words", "w.sha256", "w.quick")
-    return each.select("n_words", "sha256", *["quick"] * quick).distinct()
+    the rolling hash by which a scan sorts out nearly all runs of its documents."""
+    if not quick:
+        words = texts.select(T.word_stream("text").alias("words"), F.explode(F.array(*[F.lit(n) for n in range(least, most + 1)])).alias("n_words"))
+        return words.select("n_words", F.explode(windows(F.col("words"), F.col("n_words"))).alias("sha256")).distinct()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, w in wordruns.words_of(batch.column(0)):
+                for n, first, h in w.runs(list(range(least, most + 1))):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), pa.array([w.sha256(i, n) for i in first.tolist()], pa.string()), pa.array(h.view(np.int64))], ["n_words", "sha256", "quick"])
+
+    return texts.select(F.lower("text")).mapInArrow(runs, "n_words int, sha256 string, quick long").distinct()
+
+
+def bit_table(quick: DataFrame, count: int) -> wordruns.BitTable:
+    """The Bloom filter of a column ``quick`` of ``count`` hashes, made in the tasks: what comes
+    to the driver is one number for each 64 of its bits that hold any, ``MAX_BITS`` at most."""
+    bits = 1 << 12
+    while bits < MAX_BITS and bits < count * BITS_OF_NEEDLE:
+        bits *= 2
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            place = np.unique(np.concatenate([wordruns.BitTable.place(h, k, bits) for k in range(wordruns.BitTable.PROBES)]))
+            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (place & np.uint64(63))).view(np.int64))], ["slot", "bit"])
+
+    got = quick.mapInArrow(places, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return wordruns.BitTable(bits, got["slot"].to_numpy(), got["bits"].to_numpy().view(np.uint64))
 
 
 def scan(documents: DataFrame, manifest: DataFrame, allow: DataFrame | None = None) -> DataFrame:
     """Documents (doc_id, text) that hold an n-gram of the manifest, less the allowed ones.
 
-    Only lengths that the manifest has are cut, and hashes are compared in a semi-join. With a
-    ``quick`` hash in the manifest that one is compared first, in the tasks that read the
-    documents where the manifest's size allows; only documents with a hit go on."""
+    Only lengths that the manifest has are cut. With a ``quick`` hash in the manifest one pass
+    over the documents rolls the hashes of all lengths, looks them up in a Bloom filter of
+    bounded size, and gives out sha256 only of runs that may be held; these are compared in a
+    semi-join. Past the filter's size more runs are given out, and the result is the same."""
     docs = documents.select("doc_id", "text").where("doc_id is not null")
     docs = docs if allow is None else docs.join(allow, "doc_id", "left_anti")
     if "quick" in manifest.columns:
-        sizes = [r[0] for r in manifest.select("n_words").distinct().collect()]  # a few lengths
-        known = manifest.select("quick").distinct()
-        hashes = F.flatten(F.array(*[quick_windows(F.col("words"), n) for n in sorted(sizes)])) if sizes else F.array().cast("array<long>")
-        runs = docs.select("doc_id", T.word_stream("text").alias("words")).select("doc_id", F.explode(hashes).alias("quick"))
-        small = known.limit(QUICK_BROADCAST + 1).count() <= QUICK_BROADCAST
-        hit = runs.join(F.broadcast(known) if small else known, "quick", "left_semi").select("doc_id").distinct()
-        docs = docs.join(hit, "doc_id", "left_semi")
-    lengths = manifest.agg(F.collect_set("n_words").alias("lengths"))
-    cut = docs.select("doc_id", T.word_stream("text").alias("words")).crossJoin(lengths).select("doc_id", "words", F.explode("lengths").alias("n_words"))
-    grams = cut.select("doc_id", "n_words", F.explode(F.array_distinct(windows(F.col("words"), F.col("n_words")))).alias("sha256"))
+        manifest = written(manifest)
+        sizes = [r[0] for r in manifest.groupBy("n_words").agg(F.count("*").alias("n")).collect()]  # a few lengths
+        held = bit_table(manifest.select("quick"), manifest.count())
+        spark_type = documents.schema["doc_id"].dataType.simpleString()
+
+        def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first_doc, w in wordruns.words_of(batch.column(1)):
+                    for n, first, h in w.runs(sizes):
+                        at = first[held.may_hold(h)]
+                        if len(at):
+                            ids = batch.column(0).take(pa.array(first_doc + w.text[at]))
+                            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), n, np.int32)), pa.array([w.sha256(i, n) for i in at.tolist()])], ["doc_id", "n_words", "sha256"])
+
+        grams = docs.select("doc_id", F.lower("text")).mapInArrow(survivors, f"doc_id {spark_type}, n_words int, sha256 string")
+    else:
+        lengths = manifest.agg(F.collect_set("n_words").alias("lengths"))
+        cut = docs.select("doc_id", T.word_stream("text").alias("words")).crossJoin(lengths).select("doc_id", "words", F.explode("lengths").alias("n_words"))
+        grams = cut.select("doc_id", "n_words", F.explode(F.array_distinct(windows(F.col("words"), F.col("n_words")))).alias("sha256"))
     return grams.join(manifest.select("n_words", "sha256"), ["n_words", "sha256"], "left_semi").select("doc_id").distinct()

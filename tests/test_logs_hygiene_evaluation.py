@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,28 @@ def test_leaks_are_found_and_allowed(spark):
     assert [r[0] for r in H.scan(docs, H.needles(q), allow).collect()] == [1]
 
 
+def test_quick_scan_equals_the_plain_one(spark, monkeypatch):
+    """Rolling hashes of all lengths and a Bloom filter, as full as can be too, against runs of
+    words cut one by one; a word ends with its text; letters that lower-case to ASCII."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["ab", "c1", "d", "É", "e-f", "G", "\u212a"]) for _ in range(n))
+    texts = [say(rng.randrange(0, 14)) for _ in range(300)] + ["ab", "", None, "ab " * 30_000]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(3)
+    needles = spark.createDataFrame([(say(rng.randrange(0, 9)),) for _ in range(40)] + [("ab ab ab ab",), (None,)], "text string")
+    stream = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    runs = lambda w: {tuple(w[i : i + n]) for n in range(3, 8) for i in range(len(w) - n + 1)}
+    held = {r for (t,) in needles.collect() for r in runs(stream(t))}
+    want = {f"d{i}" for i, t in enumerate(texts) if runs(stream(t)) & held}
+    plain = {tuple(r) for r in H.window_needles(needles).collect()}
+    quick = H.window_needles(needles, quick=True)
+    assert {(r["n_words"], r["sha256"]) for r in quick.collect()} == plain and len(plain) == len(held)
+    assert {r[0] for r in H.scan(docs, quick).collect()} == {r[0] for r in H.scan(docs, H.window_needles(needles)).collect()} == want
+    monkeypatch.setattr(H, "MAX_BITS", 1)
+    monkeypatch.setattr(H, "BITS_OF_NEEDLE", 1)
+    assert {r[0] for r in H.scan(docs, quick).collect()} == want
+    assert H.scan(docs, quick.where("false")).collect() == []
+
+
 def test_reuse_prefers_the_same_string(spark):
     d = spark.createDataFrame([(1, "a", "List boxes", False), (2, "b", "box list", False), (3, "c", "Box  list", True), (4, "d", "other", True)], "pos int, id string, query string, is_new boolean")
     assert [tuple(r) for r in H.reuse(d).collect()] == [("c", "a", "set")]
