@@ -58,13 +58,14 @@ def judge_totals(judged: DataFrame) -> DataFrame:
     )
 
 
-def usage(records: DataFrame, ranked: DataFrame) -> DataFrame:
-    """What a user sees of each record. ``ranked``: id, keys (best first), recommended, eligible."""
-    r = records.join(ranked, "id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))).withColumn("eligible", F.coalesce("eligible", F.lit(True)))
+def usage(records: DataFrame, ranked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What a user sees of each record. ``ranked``: id, keys (best first), recommended, eligible;
+    with columns ``by`` a record has a row for each of its rows there, and none without one."""
+    r = records.join(ranked, "id", "inner" if by else "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>"))).withColumn("eligible", F.coalesce("eligible", F.lit(True)))
     rec, no = F.col("recommended"), F.lit(False)
     right = F.coalesce(F.array_contains("expected", rec), no)
     return r.select(
-        "section", "id", F.get("keys", F.lit(0)).alias("top1"),
+        *by, "section", "id", F.get("keys", F.lit(0)).alias("top1"),
         F.coalesce(F.array_contains("expected", F.get("keys", F.lit(0))), no).alias("top1_correct"),
         F.arrays_overlap("expected", F.slice("keys", 1, 3)).alias("top3"),
         "recommended", rec.isNull().alias("abstained"), right.alias("rec_correct"),

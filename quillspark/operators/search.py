@@ -179,12 +179,13 @@ def _met_masks(queries: DataFrame, tokens: DataFrame) -> tuple[DataFrame, list[s
     return tokens.join(words, "query_id").select("query_id", "token", "kind", full.alias("full"), *[mask(k).alias(names[k]) for k in range(n)]), names
 
 
-def lexical(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ranking) -> DataFrame:
-    """(query_id, key, lexical) of every operation with a hit.
+def lexical_parts(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ranking) -> DataFrame:
+    """(query_id, key, whole, direct, cond, every): summed weights of every operation with a
+    hit by kind of token, and whether it meets all words of the query.
 
-    Integer weights are summed for each kind of token and combined once, so that the
-    result doesn't depend on the order of rows. Words met are bits, so that all that is kept
-    of a pair while it is summed has a fixed size."""
+    Integer weights are summed for each kind, so that the result doesn't depend on the order
+    of rows. Words met are bits, so that all that is kept of a pair while it is summed has a
+    fixed size."""
     at_last = F.col("terminal") if ranking.terminal_alias_full_weight else F.lit(False)
     part = lambda cond: F.sum(F.when(cond, F.col("weight")).otherwise(0))
     kind = F.col("kind")
@@ -197,11 +198,21 @@ def lexical(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ra
         *[F.bit_or(m).alias(m) for m in names],
         *[F.max(F.get("full", F.lit(k))).alias(f"full{k}") for k in range(len(names))],
     )
-    score = F.col("whole") + F.col("direct") * F.lit(ranking.alias_damping) + F.col("cond") * F.lit(ranking.rule_damping)
     every = F.lit(True)
     for k, m in enumerate(names):
         every = every & F.coalesce(F.col(m) == F.col(f"full{k}"), F.lit(False))
-    return hits.select("query_id", "key", score.alias("_s"), every.alias("_e")).select("query_id", "key", F.when((F.col("_s") > 0) & F.col("_e"), F.col("_s") + ALL_MATCH_BONUS).otherwise(F.col("_s")).alias("lexical")).where("lexical > 0")
+    return hits.select("query_id", "key", "whole", "direct", "cond", every.alias("every"))
+
+
+def combined(parts: DataFrame, ranking: Ranking) -> DataFrame:
+    """(query_id, key, lexical) above 0 from ``lexical_parts``: kinds are weighed once."""
+    score = F.col("whole") + F.col("direct") * F.lit(ranking.alias_damping) + F.col("cond") * F.lit(ranking.rule_damping)
+    return parts.select("query_id", "key", score.alias("_s"), "every").select("query_id", "key", F.when((F.col("_s") > 0) & F.col("every"), F.col("_s") + ALL_MATCH_BONUS).otherwise(F.col("_s")).alias("lexical")).where("lexical > 0")
+
+
+def lexical(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ranking) -> DataFrame:
+    """(query_id, key, lexical) of every operation with a hit."""
+    return combined(lexical_parts(queries, tokens, index, ranking), ranking)
 
 
 def signals(ranking: Ranking) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.operators import counterfactual as C
 from quillspark.operators import evaluation as E
+from quillspark.operators import lexicon as X
 from quillspark.operators import search as S
+from quillspark.operators import tuning as N
 from quillspark.plans import search_queries as B
 
 SECTIONS = ["held_out", "negative", "seed", "regression_positive", "regression_negative"]
@@ -124,7 +128,37 @@ def regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.ranking_differences(run(B.aliases(spark)), run(()))
 
 
+def _base(spark: SparkSession, sf_dir: str) -> C.Base:
+    return C.store(B.queries(spark, sf_dir), B.operations(spark, sf_dir), B.RANKING, *B.aliases(spark))
+
+
+def _shown(tops: DataFrame) -> DataFrame:
+    """As in ``_usage``: the first key is recommended unless its score is below 30."""
+    top = tops.groupBy("trial_id", F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "key", "score"))).alias("t"))
+    return top.select("trial_id", "id", F.transform("t", lambda x: x["key"]).alias("keys"), F.when(F.get("t", F.lit(0))["score"] >= 30, F.get("t", F.lit(0))["key"]).alias("recommended"), (F.length("id") >= 14).alias("eligible"))
+
+
+def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, reason): each word of a part's name as a synonym of another; whether records that
+    hold it lack the target, and whether merging it alone turns a right first result wrong."""
+    words = B.read(spark, sf_dir, "part").select(F.explode(T.singular_tokens("p_name")).alias("key")).distinct()
+    lex = words.select("key", F.when(F.length("key") % 2 == 0, F.array(F.lit("part"))).otherwise(F.array(F.lit("economy"))).alias("targets"))
+    recs = records(spark, sf_dir)
+    flips = C.flipped(_base(spark, sf_dir), lex, recs)
+    return X.benchmark_gate(lex, recs, B.operations(spark, sf_dir), B.RANKING.noise, flips.select("key").distinct())
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aliases for records that call for a change: the words of a part's name may stand for the
+    kind of part asked for; two are accepted at most."""
+    recs = records(spark, sf_dir)
+    word = F.explode(T.singular_tokens(F.split("id", "/")[0])).alias("word")
+    acts = recs.select("id", word, F.lower(F.element_at(F.split(F.split("id", "/")[1], " "), -1)).alias("target"))
+    return N.propose_over(_base(spark, sf_dir), recs, acts.where("word <> target"), _shown, budget=2, per_record=1)
+
+
 QUERIES = {
+    "lexicon_regressions": regressions, "eval_alias_proposals": proposals,
     "eval_invalid_records": invalid, "eval_judge": judge, "eval_usage": usage, "eval_gate": gate, "eval_training_vector": vector, "eval_violations": violations,
     "eval_grid_sweep": sweep, "eval_select_point": select_point, "eval_ablation": ablation, "eval_ranking_differences": regression,
 }
