@@ -83,10 +83,9 @@ def compatibility(specs: DataFrame) -> DataFrame:
     ``specs``: source, spec_json."""
     top = F.from_json("spec_json", "struct<openapi: string, info: string, paths: string, components: string>")
     s = specs.withColumn("_t", top).withColumn("_items", F.from_json("_t.paths", "map<string,string>"))
-    # a string and a number look alike once read as text, so their first characters are looked at
-    raw = lambda k: F.get_json_object("spec_json", f"$.{k}")
-    openapi_is_text = F.col("spec_json").rlike(r'"openapi"\s*:\s*"')
-    shaped = openapi_is_text & raw("openapi").isNotNull() & (_json_kind(F.col("_t.info")) == "object") & (_json_kind(F.col("_t.paths")) == "object")
+    # a string and a number look alike once read as text, so the kind of the top-level member is asked for
+    openapi_is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("spec_json"), "$.openapi", "variant")) == "STRING"
+    shaped = openapi_is_text & (_json_kind(F.col("_t.info")) == "object") & (_json_kind(F.col("_t.paths")) == "object")
     dialect = F.lit(False)
     for d in DIALECTS:
         dialect = dialect | F.col("_t.openapi").startswith(d)

@@ -325,7 +325,8 @@ c AS (SELECT token, count(*) AS count, array_to_string(list_sort(list(DISTINCT s
 SELECT token, count, sources, coalesce(x, '-') AS excerpt FROM c LEFT JOIN (SELECT token, arg_min(x, key) AS x FROM d GROUP BY token) USING (token)""",
     "lexicon_cap": f"WITH {_LEX} SELECT key, target, row_number() OVER (PARTITION BY target, contains(key, ' ') ORDER BY key) <= 5 AS kept FROM lx",
     "lexicon_merge_aliases": f"""WITH {_LEX}, m AS (SELECT key, array_to_string(list_sort(list(DISTINCT target)), ',') AS targets, array_to_string(list_sort(string_split(key, ' ')), ' ') AS w FROM lx GROUP BY key)
-SELECT key, CASE WHEN contains(key, ' ') THEN 'rule' ELSE 'alias' END AS kind, targets, CASE WHEN contains(key, ' ') THEN w IN (SELECT w FROM m WHERE length(key) % 3 = 0) ELSE length(key) % 3 = 0 END AS skipped FROM m""",
+SELECT m.key, CASE WHEN contains(m.key, ' ') THEN 'rule' ELSE 'alias' END AS kind, targets, CASE WHEN contains(m.key, ' ') THEN r.w IS NOT NULL ELSE length(m.key) % 3 = 0 END AS skipped
+FROM m LEFT JOIN (SELECT DISTINCT w FROM m WHERE length(key) % 3 = 0) r ON m.w = r.w""",
     "lexicon_verdicts": """WITH j AS (SELECT source || '-' || (doc_id % 50) AS key, lang AS targets, quality = 1 AS q, toxic = 1 AS t, doc_id FROM documents JOIN labels USING (doc_id)),
 h AS (SELECT key, targets, CASE WHEN count(DISTINCT q) = 1 THEN any_value(q) END AS v FROM j GROUP BY ALL), f AS (SELECT key, targets, CASE WHEN count(DISTINCT t) = 1 THEN any_value(t) END AS v FROM j WHERE doc_id % 3 = 0 GROUP BY ALL)
 SELECT key, targets, coalesce(h.v, f.v) AS verdict, coalesce(h.v, f.v) IS NULL AS conflict FROM h FULL JOIN f USING (key, targets)""",

@@ -126,10 +126,10 @@ def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part as a specification of its own, sound or broken in one of the known ways."""
-    n = F.col("p_partkey") % 6
+    n = F.col("p_partkey") % 8  # 6 and 7: a member of the same name, but another kind, inside another
     ops = F.concat(F.lit('{"/a":{"'), F.when(n == 4, "parameters").otherwise("get"), F.lit('":{}}}'))
     text = F.concat(
-        F.lit('{"openapi":'), F.when(n == 1, "3").when(n == 3, '"4.0.0"').otherwise('"3.0.1"'), F.lit(',"info":{},"paths":'), F.when(n == 2, "[]").otherwise(ops),
+        F.lit('{"openapi":'), F.when(n == 1, "3").when(n == 3, '"4.0.0"').when(n == 6, "3.1").otherwise('"3.0.1"'), F.when(n == 6, ',"info":{"openapi":"3.0.1"},"paths":').when(n == 7, ',"info":{"openapi": 3},"paths":').otherwise(',"info":{},"paths":'), F.when(n == 2, "[]").otherwise(ops),
         F.when(n == 5, ',"components":{"schemas":[]}').otherwise(""), F.lit("}"),
     )
     return V.compatibility(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), text.alias("spec_json"))).select("source", "gate")
@@ -260,7 +260,7 @@ SELECT request_id, CASE WHEN m = 0 THEN request_id WHEN m >= 2 AND len(c) = 1 TH
     "catalog_trim": f"""WITH {OPS} SELECT source, count(*)::INT AS n_paths, '{{"Cause":{{"example":2,"type":"string"}},"Problem":{_RAW_PROBLEM}}}' AS schemas, '3.1.0' AS openapi FROM ops WHERE length(path) % 4 = 0 GROUP BY source""",
     "quirks_credentials": f"WITH {OPS} SELECT source, h AS header FROM {_SRC}, unnest({list(K.CREDENTIAL_HEADERS) + ['x-part-key']!r}) AS t(h)",
     "quirks_orphans": f"WITH {OPS} SELECT key || '/gone' AS key FROM ops WHERE length(path) % 2 = 0",
-    "harvest_gates": "SELECT p_partkey AS source, [NULL, 'invalid_structure', 'invalid_structure', 'incompatible_dialect', 'no_operations', 'invalid_components'][p_partkey % 6 + 1] AS gate FROM part",
+    "harvest_gates": "SELECT p_partkey AS source, [NULL, 'invalid_structure', 'invalid_structure', 'incompatible_dialect', 'no_operations', 'invalid_components', 'invalid_structure', NULL][p_partkey % 8 + 1] AS gate FROM part",
     "harvest_integrity": f"""WITH {OPS}, b AS (SELECT source, ascii(right(source, 1)) % 3 AS b, count(*) FILTER (length(path) % 2 = 0) AS same FROM ops GROUP BY 1)
 SELECT source, CASE WHEN b = 0 THEN 'empty_registry' WHEN b = 1 AND same > 1 THEN 'duplicate_keys' END AS gate FROM b""",
     "request_content_types": f"WITH {OPS}, {_REQ} SELECT key AS request_id, asked AS requested, selected, CASE WHEN has THEN 2 ELSE 0 END::BIGINT AS n_declared, asked IS NOT NULL AND selected IS NULL AS error FROM ct",

@@ -139,22 +139,24 @@ def _shown(tops: DataFrame) -> DataFrame:
 
 
 def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, reason): each word of a part's name as a synonym of another; whether records that
-    hold it lack the target, and whether merging it alone turns a right first result wrong."""
-    words = B.read(spark, sf_dir, "part").select(F.explode(T.singular_tokens("p_name")).alias("key")).distinct()
-    lex = words.select("key", F.when(F.length("key") % 2 == 0, F.array(F.lit("part"))).otherwise(F.array(F.lit("economy"))).alias("targets"))
+    """(key, reason): a word of part names as a synonym of the first word that follows it in
+    one; whether records that hold it lack the target, and whether merging it alone turns a
+    right first result wrong."""
+    words = B.read(spark, sf_dir, "part").select(T.singular_tokens("p_name").alias("w"))
+    pairs = words.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("key"), F.get("w", i + 1).alias("target")))).alias("p")).select("p.*").where("target is not null")
+    lex = pairs.groupBy("key").agg(F.array(F.min("target")).alias("targets"))
     recs = records(spark, sf_dir)
     flips = C.flipped(_base(spark, sf_dir), lex, recs)
     return X.benchmark_gate(lex, recs, B.operations(spark, sf_dir), B.RANKING.noise, flips.select("key").distinct())
 
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aliases for records that call for a change: the words of a part's name may stand for the
-    kind of part asked for; two are accepted at most."""
+    """Aliases for records that call for a change: a word of the part's name may stand for the
+    part itself, as its path names it; two are accepted at most."""
     recs = records(spark, sf_dir)
     word = F.explode(T.singular_tokens(F.split("id", "/")[0])).alias("word")
-    acts = recs.select("id", word, F.lower(F.element_at(F.split(F.split("id", "/")[1], " "), -1)).alias("target"))
-    return N.propose_over(_base(spark, sf_dir), recs, acts.where("word <> target"), _shown, budget=2, per_record=1)
+    acts = recs.where(F.size("expected") > 0).select("id", word, F.regexp_extract(F.col("expected")[0], "/(p[0-9]+)", 1).alias("target"))
+    return N.propose_over(_base(spark, sf_dir), recs, acts, _shown, budget=2, per_record=1)
 
 
 QUERIES = {
