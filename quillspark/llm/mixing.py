@@ -5,13 +5,13 @@ last again from the first, twice over at most. A document's virtual start and fi
 the words its source has offered before and after it, divided by the source's target. All
 documents are served in the order of virtual finish (a global range sort), until the
 total budget is spent. By virtual time v each source has been served v times its target, so
-all together v times the budget: the stream is truncated at virtual time 1, wherever that
-falls in the order. Documents that finish by then are taken whole, and of each one in service
-the words up to then, so every source meets its target to a word.
+all together v times the budget, which therefore ends about virtual time 1.
 
-``stream`` is that stream, truncated: one row for each copy that is served. ``mix`` range-sorts
-it and gives it out. ``op6_mixing`` sums a document's copies, for which their order is of no
-use, so it leaves out the sort.
+``truncated`` is that stream cut at the total budget: the copies of all documents, range-sorted
+by finish, with running sums over ranges and within them; of the copy at the budget's end a
+part is taken. At virtual time 1 all have served their targets but for the copies in service,
+so every source's words come within two documents of its target. ``mix`` gives out whole
+documents instead: of each source those that begin before virtual time 1, range-sorted.
 
 Targets: the budget is shared by weight; a target stops at twice its source's size and
 the excess is shared anew, until none is above. Sorted by size/weight, capped sources
@@ -103,12 +103,37 @@ def stream(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(copies()).alias("_c")).select(*rows.columns, F.col("_c.finish").alias("_finish"), F.col("_c.words").alias("_words"))
 
 
+def truncated(rows: DataFrame, budget_percent: int = BUDGET_PERCENT, partitions: int | None = None) -> DataFrame:
+    """Words taken of each row of ``served`` with words (source, offered, taken): its copies in
+    the order of virtual finish over all sources, truncated where the total budget is spent.
+
+    The copies are range-sorted; each range's words are summed, running sums over the ranges
+    (as many rows as partitions) say where each begins, and within a range a running sum says
+    what is served before a copy. What the last one exceeds the budget by isn't taken."""
+    spark = rows.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    offers = F.explode(F.array(*[finish(c) for c in range(MAX_REPEATS)])).alias("finish")
+    queue = rows.where((F.col("size") > 0) & (F.col("target") > 0)).select("source", "offered", "size", offers)
+    order = ["finish", "source", "offered"]
+    dealt = cut(queue.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("range").agg(F.sum("size").alias("words"))
+    before = sums.select("range", F.coalesce(F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    budget = total * min(budget_percent, 100 * MAX_REPEATS) // 100
+    left = F.lit(budget) - (F.col("before") + F.col("own") - F.col("size"))
+    taken = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), left))
+    served_words = dealt.withColumn("own", own).join(before, "range").select("source", "offered", taken.alias("taken"))
+    return served_words.groupBy("source", "offered").agg(F.sum("taken").alias("taken"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = served(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    # a document's copies stand in one row, so their words are summed without an exchange
-    taken = F.aggregate(copies(), F.lit(0).cast("long"), lambda acc, x: acc + x["words"])
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
+    # narrow rows, written so that texts are counted once
+    rows = cut(served(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))))
+    taken = truncated(rows).select(F.col("source").alias("_s"), F.col("offered").alias("_o"), "taken")
+    out = rows.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("offered") == F.col("_o")) & (F.col("size") > 0), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, partitions: int | None = None) -> DataFrame:

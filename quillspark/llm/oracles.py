@@ -25,11 +25,17 @@ offered AS (
   SELECT s.doc_id, s.size, f.source_size, f.target, s.source,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
                            ROWS UNBOUNDED PRECEDING)::BIGINT AS offered
-  FROM sized s JOIN final f ON s.source IS NOT DISTINCT FROM f.source)
-SELECT doc_id, size, source_size, target, source,
-       (least(size, greatest(0, floor(target - (offered - size) + 0.5)::BIGINT))
-        + least(size, greatest(0, floor(target - (offered - size + source_size) + 0.5)::BIGINT)))::BIGINT AS taken
-FROM offered
+  FROM sized s JOIN final f ON s.source IS NOT DISTINCT FROM f.source),
+queue AS (
+  SELECT source, offered, size, (offered + c * source_size) / target AS finish
+  FROM offered, unnest([0, 1]) AS t(c) WHERE size > 0 AND target > 0),
+line AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS FIRST, offered ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM queue),
+budget AS (SELECT (coalesce(sum(source_size), 0)::BIGINT * 150) // 100 AS words FROM per),
+served AS (
+  SELECT source, offered, sum(least(size, greatest(0, budget.words - (upto - size))))::BIGINT AS taken
+  FROM line, budget GROUP BY source, offered)
+SELECT o.doc_id, o.size, o.source_size, o.target, o.source, coalesce(s.taken, 0)::BIGINT AS taken
+FROM offered o LEFT JOIN served s ON o.source IS NOT DISTINCT FROM s.source AND o.offered = s.offered AND o.size > 0
 """
 
 _WORDS9 = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -136,6 +136,32 @@ def test_mixing_is_the_stream_truncated_at_the_budget(spark):
     assert order == [r["doc_id"] for r in stream.orderBy("_finish", "doc_id").collect()]
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_words_taken_are_those_of_the_queue_up_to_the_budget(spark, partitions):
+    """Against a plain queue in the order of finish; repeated ids, empty texts, null sources, a
+    hot id, and a range for each partition."""
+    rng = random.Random(26)
+    rows = [(i % 90, " ".join("w" for _ in range(rng.randrange(0, 30))), "en", rng.choice(["a", "b", None, "c", "c"]), 0) for i in range(160)]
+    rows += [(7, "same words here", "en", "c", 0)] * 900 + [(None, None, "en", "a", 0), (500, "long " * 700, "en", "c", 0), (501, "", "en", "none", 0)]
+    d = spark.createDataFrame(rows, DOCS)
+    held = mixing.served(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))).collect()
+    plain = [r for r in held if r["size"]]
+    left, want = sum(r["size"] for r in plain) * 150 // 100, {}
+    nulls_first = lambda s: (s is not None, s or "")
+    for _, s, at, size in sorted(((r["offered"] + c * r["source_size"]) / r["target"], nulls_first(r["source"]), r["offered"], r["size"]) for r in plain for c in (0, 1)):
+        want[s, at] = want.get((s, at), 0) + min(size, max(0, left))
+        left -= size
+    got = mixing.truncated(spark.createDataFrame(held, mixing.served(d.select("doc_id", "source", F.lit(1).cast("long").alias("size"))).schema), partitions=partitions)
+    assert {(nulls_first(r["source"]), r["offered"]): r["taken"] for r in got.collect()} == want
+    per = {}
+    for r in plain:
+        x = per.setdefault(nulls_first(r["source"]), [0, r["target"], 0])
+        x[0] += want[nulls_first(r["source"]), r["offered"]]
+        x[2] = max(x[2], r["size"])
+    assert all(abs(taken - target) <= 2 * most for taken, target, most in per.values())
+    assert sum(x[0] for x in per.values()) == sum(r["size"] for r in plain) * 150 // 100
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
