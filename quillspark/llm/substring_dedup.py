@@ -8,15 +8,18 @@ joined and verified by exact Jaccard similarity, and classes are connected compo
 least cost. As a repeated passage may also stand in the middle of different lines, every
 document is cut again into overlapping paragraphs of ``SPAN`` words that begin at winnowed
 positions (the smallest hash in each ``WINNOW`` positions), so that an equal passage of
-``SPAN + WINNOW - 1`` words or more yields equal paragraphs wherever it stands, and all of it
-but ``WINNOW - 1`` words at an end at most. Those need no bands: their class is the 64-bit
-hash of their words.
+``SPAN + WINNOW - 1`` words (``MIN_WORDS``) or more yields equal paragraphs wherever it stands,
+and all of it but ``WINNOW - 1`` words at an end at most. Those need no bands: their class is
+the 64-bit hash of their words, which aren't compared further (among 10 ** 10 different
+paragraphs some three pairs have one hash by chance). A document of fewer words is a
+paragraph as a whole, which repeats in exact copies of it.
 
 In each class the paragraph that comes first (by doc_id, then position) stays; the others'
 words are removed. Overlapping removals of a document are united.
 
-``MIN_WORDS`` is what counts as a passage here, whatever the size of the data: shorter
-paragraphs and documents are no passages.
+``MIN_WORDS`` is what counts as a passage here, whatever the size of the data: a shorter
+paragraph that isn't a whole document is none. Equal passages of that length are found always,
+similar natural paragraphs with a recall of ``RECALL``.
 
 Defined results: null and empty texts, and those without a passage, aren't in the result;
 rows with a null id are left out; repeated rows (equal id) are one document to the classes,
@@ -39,8 +42,8 @@ from quillspark.llm.textkit import NOT_SPACE, chunks, mix64, windows, words
 SHINGLE = 5
 NUM, DEN = 80, 100
 MIN_WORDS = 24
-SPAN = 40
-WINNOW = 10
+SPAN = 20
+WINNOW = 5
 RECALL = 0.99
 ROWS = 2
 #: What unlike paragraphs have in common, and the cost of bringing two of them together,
@@ -88,12 +91,23 @@ class _Lines:
 
     def ids(self) -> np.ndarray:
         """A hash of each line's words in order."""
-        if not len(self.first):
+        return self._ids(self.first, self.end)
+
+    def _ids(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A hash of the words of each run; runs follow each other and cover all words."""
+        if not len(first):
             return np.zeros(0, np.int64)
-        size = self.end - self.first
+        size = end - first
         powers = np.multiply.accumulate(np.full(int(size.max()), np.uint64(0x9FB21C651E98DF25)))
-        at = np.arange(len(self.h)) - np.repeat(self.first, size)
-        return mix64(np.add.reduceat(self.h * powers[at], self.first) + size.astype(np.uint64)).view(np.int64)
+        at = np.arange(len(self.h)) - np.repeat(first, size)
+        return mix64(np.add.reduceat(self.h * powers[at], first) + size.astype(np.uint64)).view(np.int64)
+
+    def short_documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents with words, but fewer than a passage has: their places, sizes and hashes."""
+        size = np.diff(self.w.wo)
+        doc = np.flatnonzero(size)
+        few = size[doc] < MIN_WORDS
+        return doc[few], size[doc][few], self._ids(self.w.wo[:-1][doc], self.w.wo[1:][doc])[few]
 
     def minima(self, seeds: np.ndarray) -> np.ndarray:
         """For each seed the least hash of each line's shingles."""
@@ -137,7 +151,8 @@ def _spans(w, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """sid, doc_id, first and end word, and number of shingles of every natural paragraph (a
-    document's words are counted from 0). Paragraphs of equal words have the same sid."""
+    document's words are counted from 0), and of short documents as a whole. Paragraphs of
+    equal words have the same sid."""
 
     def run(batches):
         for batch in batches:
@@ -146,8 +161,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 first, end = x.first[x.long], x.end[x.long]
                 doc = x.w.doc[first]
                 at = x.w.wo[:-1][doc]
-                ids = batch.column(0).slice(chunk.first, len(chunk)).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([pa.array(x.ids()[x.long]), ids, pa.array(first - at), pa.array(end - at), pa.array(x.sizes()[x.long], pa.int32())], ["sid", "doc_id", "a", "b", "n"])
+                few, size, own = x.short_documents()
+                both = lambda a, b: pa.array(np.concatenate([a, b]))
+                ids = batch.column(0).slice(chunk.first, len(chunk)).take(both(doc, few))
+                none = np.zeros(len(few), np.int64)
+                yield pa.RecordBatch.from_arrays([both(x.ids()[x.long], own), ids, both(first - at, none), both(end - at, size), both(x.sizes()[x.long], none).cast(pa.int32())], ["sid", "doc_id", "a", "b", "n"])
 
     return docs.mapInArrow(run, "sid long, doc_id long, a long, b long, n int")
 

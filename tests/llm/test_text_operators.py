@@ -221,6 +221,29 @@ def test_repeated_passages_are_found_wherever_they_stand(spark):
     assert substring_dedup.repeats(docs(spark, rows).where("false")).count() == 0
 
 
+def test_equal_runs_of_any_passage_length_are_found(spark):
+    """Passages in the middle of lines, 20 pairs of each length: all from MIN_WORDS words on; and
+    copies of whole documents of any length."""
+    rng = random.Random(47)
+    rows, pairs, copies = [], {}, {}
+    for n in (20, 23, 24, 25, 30, 36, 40, 42, 44, 48, 60):
+        for _ in range(20):
+            passage, i = " ".join(f"p{rng.randrange(10**6)}" for _ in range(n)), len(rows)
+            rows += [(i + j, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randrange(26, 60)))} {passage} {' '.join(f'w{rng.randrange(10**6)}' for _ in range(30))}") for j in (0, 1)]
+            pairs.setdefault(n, []).append(i)
+    for n in (1, 3, 5, 15, 23, 24, 40):
+        text, i = " ".join(f"c{rng.randrange(10**6)}" for _ in range(n)), len(rows)
+        rows += [(i, text), (i + 1, text.replace(" ", "\n", 1) if n < 24 else text)]
+        copies[n] = i
+    found = substring_dedup.repeats(docs(spark, rows))
+    gone = {r["doc_id"]: sum(x["b"] - x["a"] for x in r["ranges"]) for r in substring_dedup.removals(found).collect()}
+    for n, first in pairs.items():
+        hit = [gone.get(i + 1, 0) >= n - 2 * (substring_dedup.WINNOW - 1) for i in first]
+        assert all(hit) if n >= substring_dedup.MIN_WORDS else sum(hit) < len(hit), n
+        assert not any(i in gone for i in first)
+    assert all(gone.get(i + 1) == n or (n >= 24 and gone.get(i + 1)) for n, i in copies.items())
+
+
 def test_bands_reach_their_recall():
     bands = substring_dedup.tune_bands(0.8)
     assert 1 - (1 - 0.8**substring_dedup.ROWS) ** bands >= substring_dedup.RECALL
