@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +144,46 @@ def collapse(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("query_id", *FEATURES).agg(F.min("key").alias("key"))
 
 
+#: The features by which a candidate's score rises, and those by which it falls, where the
+#: constants they go with aren't negative.
+RISING = {"lexical": (), "intent": ("method_match_bonus", "method_mismatch_penalty"), "hinted": ("product_hint_bonus",), "resource": ("resource_match_bonus",), "first": ("method_order_bonus",), "covered": ("path_coverage_bonus",)}
+FALLING = {"unmatched": ("path_unmatched_penalty", "path_unmatched_cap"), "deprecated": ()}
+#: Vectors of one query that are compared at a time with those kept so far.
+SKYLINE_BLOCK = 256
+
+
+def skyline(vectors: DataFrame, negative: tuple[str, ...] = ()) -> DataFrame:
+    """Of each query's vectors (from ``collapse``) those that can be first at some point.
+
+    One goes if another comes before it at every point: in tier no later, in every feature no
+    worse (for constants in ``negative``, which may be below 0: equal), and in what decides equal
+    scores no later. Sums and products keep their order when rounded, so that holds to the
+    last bit. A query's vectors are few, whatever its operations; they are sorted so that
+    what can drop a vector comes before it, and compared in blocks with those kept so far."""
+    order = sorted(RISING), sorted(FALLING)
+    fixed = [f for f, axes in (RISING | FALLING).items() if set(axes) & set(negative)]
+
+    def keep(table: pa.Table) -> pa.Table:
+        col = lambda c: table[c].to_numpy(zero_copy_only=False)
+        f = np.stack([col(c).astype(float) for c in order[0]] + [-col(c).astype(float) for c in order[1]], axis=1)
+        same = [list(order[0] + order[1]).index(c) for c in fixed]
+        tier, tie, dep = (col(c).astype(np.int64) for c in ("tier", "tie", "deprecated"))
+        place = np.empty(len(f), np.int64)
+        place[np.lexsort([col("key").astype(str), dep, tie])] = np.arange(len(f))
+        seq = np.lexsort([place, -f.sum(axis=1), tier])
+        kept = np.zeros(0, np.int64)
+        for i in range(0, len(seq), SKYLINE_BLOCK):
+            block = seq[i : i + SKYLINE_BLOCK]
+            over = np.concatenate([kept, block])
+            no_worse = (f[over][:, None] >= f[block][None]).all(axis=2) & (f[over][:, None, same] == f[block][None, :, same]).all(axis=2)
+            before = (tier[over][:, None] < tier[block][None]) | (tier[over][:, None] == tier[block][None]) & (place[over][:, None] < place[block][None])
+            kept = np.concatenate([kept, block[~(no_worse & before).any(axis=0)]])
+        return table.take(pa.array(np.sort(kept)))
+
+    cols = vectors.select("query_id", *FEATURES, "key")
+    return cols.groupBy("query_id").applyInArrow(keep, cols.schema)
+
+
 def final_score() -> Column:
     """The score of a candidate's features at a point (a column for each constant)."""
     c = F.col
@@ -154,10 +196,13 @@ def final_score() -> Column:
 def sweep(candidates: DataFrame, points: DataFrame) -> DataFrame:
     """The best key of each query at each point, in the order of the search.
 
-    ``candidates`` (query_id, key, FEATURES) are collapsed first, so that what meets the points
-    is a few dozen vectors for each query; points are the broadcast side (their number is the
-    grid's), and the best row of each (point, query) is kept while rows are made."""
-    scored = collapse(candidates).crossJoin(F.broadcast(points)).withColumn("final", final_score()).where("final > 0")
+    ``candidates`` (query_id, key, FEATURES) are collapsed first, and of each query only those
+    stay that some point can put first, so that what meets the points is a few vectors for each
+    query; points are the broadcast side (their number is the grid's), and the best row of
+    each (point, query) is kept while rows are made."""
+    low = points.agg(*[F.min(k).alias(k) for k in CONSTANT_KEYS]).first()
+    negative = tuple(k for k in CONSTANT_KEYS if low[k] is not None and low[k] < 0)
+    scored = skyline(collapse(candidates), negative).crossJoin(F.broadcast(points)).withColumn("final", final_score()).where("final > 0")
     best = F.struct("tier", (-F.col("final")).alias("f"), "tie", "deprecated", "key")
     out = scored.groupBy("point_id", "query_id").agg(F.min(best).alias("b"))
     return out.select("point_id", "query_id", "b.key", (-F.col("b.f")).alias("best_final"))
@@ -166,7 +211,7 @@ def sweep(candidates: DataFrame, points: DataFrame) -> DataFrame:
 def passing_points(best: DataFrame, fixtures: DataFrame) -> DataFrame:
     """(point_id) of points at which every fixture (query_id, keys) has one of its keys first."""
     n = fixtures.agg(F.count("*").alias("n"))
-    right = best.join(F.broadcast(fixtures), "query_id").where(F.array_contains("keys", F.col("key"))).groupBy("point_id").agg(F.count("*").alias("right"))
+    right = best.join(fixtures, "query_id").where(F.array_contains("keys", F.col("key"))).groupBy("point_id").agg(F.count("*").alias("right"))
     return best.select("point_id").distinct().join(right, "point_id", "left").crossJoin(F.broadcast(n)).where(F.coalesce("right", F.lit(0)) == F.col("n")).select("point_id")
 
 

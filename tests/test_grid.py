@@ -43,6 +43,33 @@ def test_sweep_matches_every_candidate_at_every_point(spark):
     assert E.passing_points(best, spark.createDataFrame([], "query_id int, keys array<string>")).count() == points.count()
 
 
+def test_skyline_keeps_what_some_point_can_put_first(spark, monkeypatch):
+    """Winners at random points, negative ones too, are the same without the vectors dropped; in
+    small blocks and in one."""
+    rng = random.Random(5)
+    rows = candidates(rng, 400)
+    d = E.collapse(spark.createDataFrame(rows, CAND))
+    every = [r.asDict() for r in d.collect()]
+
+    def first(rows, p):
+        best = {}
+        for r in rows:
+            s = p["method_match_bonus"] if r["intent"] > 0 else -p["method_mismatch_penalty"] if r["intent"] < 0 else 0.0
+            s += -min(r["unmatched"], p["path_unmatched_cap"]) * p["path_unmatched_penalty"] + r["hinted"] * p["product_hint_bonus"] + r["resource"] * p["resource_match_bonus"] + r["first"] * p["method_order_bonus"] + r["covered"] * p["path_coverage_bonus"]
+            final = max(r["lexical"] + s, 0.0) * (0.7 if r["deprecated"] else 1.0)
+            if final > 0:
+                best[r["query_id"]] = min(best.get(r["query_id"], ((9,),)), ((r["tier"], -final, r["tie"], r["deprecated"], r["key"]),))
+        return best
+
+    for block, negative in ((256, ()), (7, ()), (256, ("path_unmatched_penalty", "product_hint_bonus"))):
+        monkeypatch.setattr(E, "SKYLINE_BLOCK", block)
+        kept = [r.asDict() for r in E.skyline(d, negative).collect()]
+        assert len(kept) < len(every) * (0.9 if negative else 0.5)
+        for _ in range(150):
+            p = {k: rng.choice([0.0, 0.5, 1.0, 2.5]) * (rng.choice([1, -1]) if k in negative else 1) for k in E.CONSTANT_KEYS}
+            assert first(kept, p) == first(every, p)
+
+
 def test_caps_keep_the_first_keys(spark):
     rng = random.Random(3)
     rows = sorted({(rng.choice(["a", "b c", "d"]) + f" {rng.randrange(40)}" * (i % 2), ("t" + str(rng.randrange(3)),)) for i in range(120)} | {("x", ())})
@@ -62,8 +89,8 @@ def test_quick_hashes_change_no_leak(spark, monkeypatch):
     texts = spark.createDataFrame([(s,) for s in secret], "text string")
     plain = {r[0] for r in H.scan(docs, H.window_needles(texts)).collect()}
     assert {100, 101} <= plain and not plain & {102, 103, 104}
-    for limit in (500_000, 0):
-        monkeypatch.setattr(H, "QUICK_BROADCAST", limit)
+    for limit in (1 << 28, 1):
+        monkeypatch.setattr(H, "MAX_BITS", limit)
         assert {r[0] for r in H.scan(docs, H.window_needles(texts, quick=True)).collect()} == plain
     assert {r[0] for r in H.scan(docs, H.window_needles(texts, quick=True), docs.where("doc_id = 100").select("doc_id")).collect()} == plain - {100}
 
