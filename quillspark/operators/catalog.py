@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import jsonwalk
 from quillspark.operators.harvest import HTTP_METHODS
+from quillspark.sources.stages import written
 
 SECTIONS = ("schemas", "parameters", "requestBodies", "responses", "securitySchemes")
 LOCATIONS = ("path", "query", "header", "cookie")
@@ -270,7 +271,7 @@ def trim(specs: DataFrame, wanted: DataFrame) -> DataFrame:
     have, new = start, start
     while not new.isEmpty():
         found = new.select("source", F.col("target").alias("from")).join(edges, ["source", "from"]).select("source", "target").distinct()
-        new = found.join(have, ["source", "target"], "left_anti").persist()
+        new = written(found.join(have, ["source", "target"], "left_anti"))
         have = have.union(new)
     return have.join(nodes, ["source", "target"], "left_semi").select("source", F.split("target", "/")[0].alias("section"), F.regexp_replace("target", "^[^/]*/", "").alias("name"))
 

@@ -215,25 +215,41 @@ def lexical(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ra
     return combined(lexical_parts(queries, tokens, index, ranking), ranking)
 
 
-def signals(ranking: Ranking) -> Column:
-    """The structural signals of one (query, operation) row, each with its evidence."""
+def _met(o: Column) -> Column:
+    """Whether a path token, or its singular, is among the query's tokens."""
+    return F.arrays_overlap(F.array(o, T.singular(o)), F.col("expanded"))
+
+
+def signal_values(ranking: Ranking) -> dict[str, Column]:
+    """The structural signals of one (query, operation) row: numbers alone."""
     c = ranking.constants
     has_intent = F.coalesce(F.size("allowed") > 0, F.lit(False))
-    met = lambda o: F.arrays_overlap(F.array(o, T.singular(o)), F.col("expanded"))
-    unmatched, covered = F.filter("origins", lambda o: ~met(o)), F.filter("origins", met)
     intent = F.when(~has_intent, 0.0).when(F.array_contains("allowed", F.col("method")), c["method_match_bonus"]).otherwise(-c["method_mismatch_penalty"])
-    specific = -F.least(F.size(unmatched), F.lit(int(c["path_unmatched_cap"]))) * F.lit(float(c["path_unmatched_penalty"]))
-    hinted = F.when(F.array_contains("hinted", F.col("source")), c["product_hint_bonus"]).otherwise(0.0)
-    resource = F.when((F.size("last") > 0) & F.forall("last", met), c["resource_match_bonus"]).otherwise(0.0)
+    n_covered = F.size(F.filter("origins", _met))
     first = has_intent & F.array_contains("allowed", F.col("preferred")) & (F.col("method") == F.col("preferred"))
-    return F.struct(
-        F.struct(intent.alias("value"), F.array_sort(F.coalesce("allowed", _empty())).alias("allowed")).alias("method_intent"),
-        F.struct(specific.alias("value"), F.array_sort(unmatched).alias("tokens")).alias("path_unmatched"),
-        F.struct(hinted.alias("value"), F.array_sort("hinted").alias("sources")).alias("product_hint"),
-        F.struct(resource.alias("value"), F.col("last").alias("tokens")).alias("resource_match"),
-        F.struct(F.when(F.coalesce(first, F.lit(False)), c["method_order_bonus"]).otherwise(0.0).alias("value"), F.col("preferred").alias("preferred")).alias("method_order"),
-        F.struct((F.size(covered) * F.lit(float(c["path_coverage_bonus"]))).alias("value"), F.array_sort(F.array_distinct(covered)).alias("matched")).alias("path_coverage"),
-    )
+    return {
+        "method_intent": intent,
+        "path_unmatched": -F.least(F.size("origins") - n_covered, F.lit(int(c["path_unmatched_cap"]))) * F.lit(float(c["path_unmatched_penalty"])),
+        "product_hint": F.when(F.array_contains("hinted", F.col("source")), c["product_hint_bonus"]).otherwise(0.0),
+        "resource_match": F.when((F.size("last") > 0) & F.forall("last", _met), c["resource_match_bonus"]).otherwise(0.0),
+        "method_order": F.when(F.coalesce(first, F.lit(False)), c["method_order_bonus"]).otherwise(0.0),
+        "path_coverage": n_covered * F.lit(float(c["path_coverage_bonus"])),
+    }
+
+
+def signals(ranking: Ranking) -> Column:
+    """The structural signals of one (query, operation) row, each with its evidence."""
+    values = signal_values(ranking)
+    covered = F.filter("origins", _met)
+    evidence = {
+        "method_intent": F.array_sort(F.coalesce("allowed", _empty())).alias("allowed"),
+        "path_unmatched": F.array_sort(F.filter("origins", lambda o: ~_met(o))).alias("tokens"),
+        "product_hint": F.array_sort("hinted").alias("sources"),
+        "resource_match": F.col("last").alias("tokens"),
+        "method_order": F.col("preferred").alias("preferred"),
+        "path_coverage": F.array_sort(F.array_distinct(covered)).alias("matched"),
+    }
+    return F.struct(*[F.struct(values[k].alias("value"), evidence[k]).alias(k) for k in SIGNALS])
 
 
 def _order_flags(ranking: Ranking) -> tuple[Column, Column]:
@@ -250,8 +266,10 @@ SIGNALS = ("method_intent", "path_unmatched", "product_hint", "resource_match",
 
 def score(lex: DataFrame, query_rows: DataFrame, op_rows: DataFrame, ranking: Ranking) -> DataFrame:
     """Final scores above 0, with signals and ordering columns."""
+    # the score takes numbers only: evidence is made where it is asked for, for rows that are shown
     both = lex.join(op_rows, "key").join(query_rows, "query_id").withColumn("signals", signals(ranking))
-    structural = sum((F.col(f"signals.{s}.value") for s in SIGNALS[1:]), F.col(f"signals.{SIGNALS[0]}.value"))
+    values = signal_values(ranking)
+    structural = sum((values[s] for s in SIGNALS[1:]), values[SIGNALS[0]])
     factor = F.when(F.col("deprecated"), DEPRECATED_FACTOR).otherwise(1.0)
     both = both.withColumn("structural", structural).withColumn("final", F.greatest(F.col("lexical") + F.col("structural"), F.lit(0.0)) * factor).where("final > 0")
     tier, tie = _order_flags(ranking)

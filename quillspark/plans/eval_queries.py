@@ -12,6 +12,7 @@ from quillspark.operators import lexicon as X
 from quillspark.operators import search as S
 from quillspark.operators import tuning as N
 from quillspark.plans import search_queries as B
+from quillspark.sources.stages import written
 
 SECTIONS = ["held_out", "negative", "seed", "regression_positive", "regression_negative"]
 WRITES = B.Q.words(E.WRITE_METHODS)
@@ -95,7 +96,7 @@ def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the points that keep the fixtures (seeds that are right at the baseline),
     each query's best key taken as its recommendation; the choice."""
-    every = _best(spark, sf_dir).join(records(spark, sf_dir), F.col("query_id") == F.col("id")).persist()
+    every = written(_best(spark, sf_dir).join(records(spark, sf_dir), F.col("query_id") == F.col("id")))
     no = F.lit(False)
     hit = F.coalesce(F.array_contains("expected", F.col("key")), no)
     fixtures = every.where((F.col("section") == "seed") & (F.col("point_id") == BASE_POINT) & hit).select("query_id", F.col("expected").alias("keys"))
