@@ -158,6 +158,8 @@ def query_features(queries: DataFrame, tokens: DataFrame, ranking: Ranking) -> D
 # ---- scoring --------------------------------------------------------------------------
 
 
+#: Postings of a token that one task joins at most, about.
+HEAVY = 1 << 17
 #: Words of a query that one 64-bit mask tells apart.
 MASK = 62
 
@@ -179,6 +181,17 @@ def _met_masks(queries: DataFrame, tokens: DataFrame) -> tuple[DataFrame, list[s
     return tokens.join(words, "query_id").select("query_id", "token", "kind", full.alias("full"), *[mask(k).alias(names[k]) for k in range(n)]), names
 
 
+def _dealt_by_token(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """``tokens`` joined with their postings. A token with more than ``HEAVY`` postings is cut
+    into parts of about that many, by key; its query rows go to each part. Tokens with parts
+    are one in ``HEAVY`` postings at most, which bounds what is broadcast."""
+    parts = F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")
+    heavy = F.broadcast(index.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("token", parts))
+    cut = index.join(heavy, "token", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), F.col("parts")))).drop("parts")
+    asked = tokens.join(heavy, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return asked.withColumn("part", F.col("part").cast("long")).join(cut.withColumn("part", F.col("part").cast("long")), ["token", "part"]).drop("part")
+
+
 def lexical_parts(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranking: Ranking) -> DataFrame:
     """(query_id, key, whole, direct, cond, every): summed weights of every operation with a
     hit by kind of token, and whether it meets all words of the query.
@@ -191,7 +204,7 @@ def lexical_parts(queries: DataFrame, tokens: DataFrame, index: DataFrame, ranki
     kind = F.col("kind")
     masked, names = _met_masks(queries, tokens)
     # dealt by query, which serves the sums as well as the places of a query's rows later
-    hits = masked.join(index, "token").repartition("query_id").groupBy("query_id", "key").agg(
+    hits = _dealt_by_token(masked, index).repartition("query_id").groupBy("query_id", "key").agg(
         part(kind.isin("base", "joined") | at_last).alias("whole"),
         part((kind == "direct") & ~at_last).alias("direct"),
         part((kind == "cond") & ~at_last).alias("cond"),
