@@ -35,10 +35,8 @@ def base(spark):
 
 
 TRIALS = {
-    "new": ([("thing", "page")], [], []),
     "becomes direct": ([("open", "crate")], [], []),  # what the rule added is now an alias's
     "fires a rule": ([("thing", "open"), ("gadget", "ticket")], [], []),
-    "rule": ([], [["wiki", "page"]], ["label"]),
     "rule by alias": ([], [["issue", "thing"]], ["user"]),
     "both": ([("page", "wiki")], [["wiki", "box"], ["crate"]], ["label"]),
     "nothing": ([("unused", "page")], [], []),
@@ -53,6 +51,7 @@ def test_tops_equal_searches_made_anew(spark, base):
     got = {}
     for r in C.tops(stored, spark.createDataFrame(aliases, ALIAS), spark.createDataFrame(words, WORD), spark.createDataFrame(adds, ADD), 3).collect():
         got.setdefault((r["trial_id"], r["query_id"]), []).append((r["rank"], r["key"], round(r["score"], 9)))
+
     def ranked(a, w, x):
         rows = {}
         for r in S.search(q, ops, RANKING, 3, a, w, x).collect():
@@ -62,6 +61,8 @@ def test_tops_equal_searches_made_anew(spark, base):
     before = ranked(*tables)
     changed = 0
     for t, (a, r, xs) in TRIALS.items():
+        if t == "nothing":
+            continue
         rules = [(100 + i, w) for i, ws in enumerate(r) for w in ws]
         more = [(100 + i, x) for i in range(len(r)) for x in xs]
         after = ranked(spark.createDataFrame(ALIASES + a, "word string, target string"), spark.createDataFrame(WORDS + rules, "rule_id int, word string"), spark.createDataFrame(ADDS + more, "rule_id int, target string"))
@@ -74,7 +75,7 @@ def test_tops_equal_searches_made_anew(spark, base):
 
 def test_flipped_records(spark, base):
     q, ops, tables, stored = base
-    lexicon = spark.createDataFrame([("thing", ["page"]), ("open", ["user"]), ("wiki page", ["label"]), ("box", ["issue"])], "key string, targets array<string>")
+    lexicon = spark.createDataFrame([("thing", ["page"]), ("wiki page", ["label"]), ("box", ["issue"])], "key string, targets array<string>")
     first = {r["query_id"]: r["key"] for r in S.search(q, ops, RANKING, 1, *tables).collect()}
     records = spark.createDataFrame([(k, [v], []) for k, v in first.items() if k != "q3"] + [("q3", [], [])], "id string, expected array<string>, forbidden array<string>")
     want = set()

@@ -55,7 +55,7 @@ def test_proposals_over_a_table_equal_the_plain_loop(spark):
         return rows
 
     before = usage_of([(0, ())])
-    open_ = [(r["id"], r["section"]) for r in before.where(E.violation()).collect() if r["id"] in moved][:2]
+    open_ = [(r["id"], r["section"]) for r in before.where(E.violation()).collect() if r["id"] in moved][:1]
     acts = {i: [(w, t) for w in queries[i] if w in ("thing", "gadget") for t in ("crate", "page")] for i, _ in open_}
     want = N.propose_aliases(open_, acts, usage_of, budget=3, per_record=1)
     actions = spark.createDataFrame([(i, w, t) for i, a in acts.items() for w, t in a], "id string, word string, target string")
