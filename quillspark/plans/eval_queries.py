@@ -153,11 +153,11 @@ def regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aliases for records that call for a change: a word of the part's name may stand for the
-    part itself, as its path names it; two are accepted at most."""
+    part itself, as its path names it; the first that helps and harms nothing is accepted."""
     recs = records(spark, sf_dir)
     word = F.explode(T.singular_tokens(F.split("id", "/")[0])).alias("word")
     acts = recs.where(F.size("expected") > 0).select("id", word, F.regexp_extract(F.col("expected")[0], "/(p[0-9]+)", 1).alias("target"))
-    return N.propose_over(_base(spark, sf_dir), recs, acts, _shown, budget=2, per_record=1)
+    return N.propose_over(_base(spark, sf_dir), recs, acts, _shown, budget=1, per_record=1)
 
 
 QUERIES = {
