@@ -18,13 +18,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
+from quillspark.operators import jsonevents
+
 # Keywords whose values are schemas, whose entries are named by the user, that
-# hold examples; references and the members that make a specification.
+# hold examples; references.
 SCHEMA_KEYS = ("allOf", "oneOf", "anyOf", "items", "properties", "additionalProperties", "not")
 NAME_MAPS = ("properties", "patternProperties", "definitions", "$defs")
 EXAMPLE_KEYS = ("example", "examples")
-LOCAL_REF = r"^#/components/(schemas|parameters|requestBodies|responses)/(.+)$"
-SPEC_MEMBERS = {"openapi": str, "info": dict, "paths": dict}
+SECTIONS = ("schemas", "parameters", "requestBodies", "responses")
+LOCAL_REF = rf"^#/components/({'|'.join(SECTIONS)})/(.+)$"
 
 ROWS = ArrayType(StructType().add("path", StringType()).add("kind", StringType()).add("value", StringType()))
 
@@ -111,22 +113,15 @@ def canonical_sha256(text: Column) -> Column:
 @F.pandas_udf(StructType().add("readable", BooleanType()).add("n", IntegerType()).add("spec_json", StringType()))
 def specs_in(texts: pd.Series) -> pd.DataFrame:
     """How many specifications the JSON value at the start of a text holds, at any depth, and
-    the one if it is one. They are noted while the text is decoded."""
+    the one if it is one. Only that one is decoded: what stands around it, and a text with none
+    or several, never becomes values."""
 
     def one(text):
-        seen = []
-
-        def note(pairs):
-            node = dict(pairs)
-            if all(isinstance(node.get(k), kind) for k, kind in SPEC_MEMBERS.items()):
-                seen.append(node)
-            return node
-
-        try:
-            json.JSONDecoder(object_pairs_hook=note).raw_decode(text or "")
-        except (ValueError, RecursionError):
+        found = jsonevents.candidates(text or "")
+        if found is None:
             return False, 0, None
-        return True, len(seen), json.dumps(seen[0], ensure_ascii=False) if len(seen) == 1 else None
+        n, span = found
+        return True, n, json.dumps(json.loads(text[span[0] : span[1]]), ensure_ascii=False) if n == 1 else None
 
     return pd.DataFrame([one(t) for t in texts], columns=["readable", "n", "spec_json"])
 
@@ -162,14 +157,6 @@ def ref_names(text: Column, max_depth: int = 6) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda x: x != "")))
 
 
-def outermost_refs(refs: Column) -> Column:
-    """References among ``ref_rows`` (a column, as it is looked at twice), in document order,
-    without those below a node that is a reference itself."""
-    node = lambda r: F.regexp_replace(r["path"], r"/\$ref$", "")
-    inside = lambda r, q: r["path"].startswith(F.concat(node(q), F.lit("/"))) | r["path"].startswith(F.concat(node(q), F.lit("#")))
-    return F.transform(F.filter(refs, lambda r: ~F.exists(refs, lambda q: (r["path"] != q["path"]) & inside(r, q))), lambda r: r["value"])
-
-
 class _Document:
     """Rows of a JSON value, and where in them a schema is a reference: number of the node's
     row, the reference, and the number of the first row behind the node."""
@@ -189,6 +176,38 @@ class _Document:
         self.after = at
 
 
+_placed = lambda: StructType().add("at", IntegerType()).add("path", StringType())
+PARTS = (
+    StructType()
+    .add("is_object", BooleanType())
+    .add("rows", ArrayType(_placed().add("kind", StringType()).add("value", StringType())))
+    .add("refs", ArrayType(_placed().add("ref", StringType())))
+)
+
+
+@F.pandas_udf(PARTS)
+def schema_parts(texts: pd.Series) -> pd.DataFrame:
+    """A schema's rows outside references, and its outermost references, each with its place in
+    the text. Without rows for a null text or what isn't JSON."""
+
+    def one(text):
+        value = _load(text)
+        if not isinstance(value, dict):
+            return False, [], []
+        doc, rows, refs, i = _Document(value), [], [], 0
+        while i < len(doc.rows):
+            path, kind, text = doc.rows[i]
+            if i in doc.refs:
+                refs.append({"at": i, "path": path, "ref": doc.refs[i]})
+                i = doc.after[i]
+            else:
+                rows.append({"at": i, "path": path, "kind": kind, "value": text})
+                i += 1
+        return True, rows, refs
+
+    return pd.DataFrame([one(t) for t in texts], columns=["is_object", "rows", "refs"])
+
+
 def expand(root, component: Callable[[str, str], object], max_depth: int, max_nodes: int) -> dict:
     """Bounded expansion of references. Rows of the root are copied in order; at a reference
     the rows of what it names go in between, under its path. What comes first decides: a
