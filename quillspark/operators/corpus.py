@@ -29,12 +29,13 @@ def preflight(sitemaps: DataFrame, rules: DataFrame) -> DataFrame:
     """Per source how many urls stay and how many are discarded, and the first problem.
 
     ``rules``: source, host, prefix. A url of another host is a problem; one of a urlset
-    outside the prefix is discarded; a sitemap that keeps none is a problem."""
+    outside the prefix is discarded; keeping none is a problem. A source may have several
+    sitemaps; one that is invalid makes it so."""
     j = sitemap_rows(sitemaps).join(rules, "source")
     here = F.coalesce(host(F.col("loc")) == F.col("host"), F.lit(False))
     inside = F.col("loc").startswith(F.col("prefix"))
     per = j.groupBy("source").agg(
-        F.first("kind").alias("kind"), F.count_if(F.col("loc").isNotNull() & ~here).alias("foreign"),
+        F.min("kind").alias("kind"), F.count_if(F.col("loc").isNotNull() & ~here).alias("foreign"),
         F.count_if(here & ((F.col("kind") == "sitemapindex") | inside)).alias("kept"), F.count_if(here & (F.col("kind") == "urlset") & ~inside).alias("discarded"),
     )
     return per.withColumn("problem", F.when(F.col("kind") == "invalid", "invalid_root").when(F.col("foreign") > 0, "foreign_host").when(F.col("kept") == 0, "nothing_kept"))
