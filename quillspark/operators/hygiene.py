@@ -47,9 +47,12 @@ def _methods(keys: Column) -> Column:
 def check_records(records: DataFrame, operations: DataFrame, ranking: Ranking) -> DataFrame:
     """(id, rule, detail) for every rule a record breaks by itself or against the catalog.
 
-    ``records``: section (held_out or negative), id, query, expected, forbidden."""
+    ``records``: section (held_out or negative), id, query, expected, forbidden; written once, as
+    each rule reads them. Keys of a record are told apart in its row, and a bigram is looked up in
+    the operation's row, so no task groups keys or bigrams of the catalog."""
     q, exp, forb = F.col("query"), F.col("expected"), F.col("forbidden")
     rec = records.withColumn("words", F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))).withColumn("allowed", method_intent(T.unigrams("query"), ranking))
+    rec = written(rec)
     bad = lambda df, rule, detail: df.select("id", F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
     out = bad(rec.where(~F.col("words").between(MIN_QUERY_WORDS, MAX_QUERY_WORDS)), "words", F.col("words"))
     out = out.union(bad(rec.where(~q.rlike(ASCII_QUERY)), "ascii", q))
@@ -59,16 +62,18 @@ def check_records(records: DataFrame, operations: DataFrame, ranking: Ranking) -
     reason = F.when(F.col("allowed").isNull(), "no verb").when(allowed == 0, "no common method").when(~F.arrays_overlap(_methods(exp), F.col("allowed")), "expected methods outside intent")
     out = out.union(bad(rec.where(~negative).withColumn("r", reason).where("r is not null"), "actionable", F.col("r")))
     out = out.union(bad(rec.where(negative & (allowed > 0) & ~F.arrays_overlap(_methods(forb), F.col("allowed"))), "negative-method", F.lit(None)))
-    keys = rec.select("id", F.explode(F.concat(exp, forb)).alias("key")).distinct()
-    out = out.union(bad(keys.join(operations.select("key"), "key", "left_anti"), "catalog", F.col("key")))
+    # a catalog in few small files looks small enough to be broadcast, but isn't
+    keys = rec.select("id", F.explode(F.array_distinct(F.concat(exp, forb))).alias("key"))
+    out = out.union(bad(keys.join(operations.select("key").hint("merge"), "key", "left_anti").distinct(), "catalog", F.col("key")))
     ids = operations.where(F.col("operation_id").isNotNull()).select(_set_key("operation_id").alias("k"), "operation_id")
     same = rec.select("id", _set_key("query").alias("k")).join(ids, "k").groupBy("id").agg(F.min("operation_id").alias("o"))
     out = out.union(bad(same, "operationId", F.col("o")))
     # bigrams of an expected operation's summary or tags
-    texts = operations.select("key", F.explode(F.concat(F.array(F.coalesce("summary", F.lit(""))), F.coalesce("tags", F.array().cast("array<string>")))).alias("t"))
-    theirs = texts.select("key", F.explode(_bigrams(_content(F.col("t")))).alias("bigram")).distinct()
-    ours = rec.select("id", F.explode(exp).alias("key"), _bigrams(_content(q)).alias("b")).select("id", "key", F.explode("b").alias("bigram"))
-    out = out.union(bad(ours.join(theirs, ["key", "bigram"]).groupBy("id").agg(F.min("bigram").alias("b")), "summary/tags", F.col("b")))
+    texts = operations.select("key", F.concat(F.array(F.coalesce("summary", F.lit(""))), F.coalesce("tags", F.array().cast("array<string>"))).alias("t"))
+    ours = rec.select("id", F.explode(F.array_distinct(exp)).alias("key"), _bigrams(_content(q)).alias("b"))
+    theirs = F.flatten(F.transform("t", lambda t: _bigrams(_content(t))))
+    copied = ours.join(texts.hint("merge"), "key").select("id", F.array_min(F.array_intersect("b", theirs)).alias("b")).where("b is not null").distinct()
+    out = out.union(bad(copied.groupBy("id").agg(F.min("b").alias("b")), "summary/tags", F.col("b")))
     # a negative that is just an operation's summary or last path segment
     last = F.coalesce(F.try_element_at(T.literal_segments(F.regexp_replace("key", "^[^:]*:[^:]*:", "")), F.lit(-1)), F.lit(""))
     phrases = operations.select("key", F.explode(F.array_distinct(F.array(_phrase(F.col("summary")), _phrase(last)))).alias("phrase"))
