@@ -49,3 +49,33 @@ def test_synonyms_are_dealt_once(spark, tmp_path):
     got = D.normalize_synonyms(spark, str(tmp_path))
     assert "SortAggregate" not in _plan(got) and "ObjectHashAggregate" not in _plan(got) and len(_dealt(got)) == 1
     assert dict(map(tuple, got.collect()))["zebra apple"] == "s1,s2"
+
+
+def test_aliases_and_rules_are_looked_up_at_once(spark):
+    """Words among alias words, phrases among rules of the same words in any order; the lexicon
+    is met by one table, before by two."""
+    lexicon = spark.createDataFrame([("box", ["a"]), ("page box", ["b", "c"]), ("box page", []), ("page", ["d"]), ("red page", ["e"]), ("issue", None)], "key string, targets array<string>")
+    words = spark.createDataFrame([("box",), ("box",), ("red page",)], "word string")
+    rules = spark.createDataFrame([(["page", "box"],), (["box", "page"],), (["page"],)], "words array<string>")
+    got = X.merge_aliases(lexicon, words, rules)
+    assert {r["key"]: (r["kind"], r["targets"], r["skipped"]) for r in got.collect()} == {
+        "box": ("alias", ["a"], True), "page box": ("rule", ["b", "c"], True), "box page": ("rule", [], True),
+        "page": ("alias", ["d"], False), "red page": ("rule", ["e"], False), "issue": ("alias", None, False),
+    }
+    assert got.count() == 6 and _plan(got).count("Join") == 1
+
+
+def test_aliases_read_texts_once(spark, tmp_path):
+    """Before, the tokens of all texts were taken for the lexicon, its words and its phrases."""
+    for n in (3, 70):
+        path = f"{tmp_path}/{n}"
+        rows = [(i, TEXTS[i % len(TEXTS)], "en", f"s{i % n}" if i % n else None, 1) for i in range(140)]
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+        out = B.merge_aliases(spark, path)
+        assert "documents.parquet" not in out._jdf.queryExecution().executedPlan().toString()
+        want = {}
+        for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "source", T.unigrams("text").alias("w")).collect():
+            for key in r["w"] if r["doc_id"] % 2 == 0 else [f"{a} {b}" for a, b in zip(r["w"], r["w"][1:])]:
+                want.setdefault(key, set()).update([r["source"]] if r["source"] else [])
+        got = sorted(map(tuple, out.collect()))
+        assert got == sorted((k, "rule" if " " in k else "alias", ",".join(sorted(v)), len(k) % 3 == 0) for k, v in want.items())
